@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing
+from . import exact_dedup, language_id, mixing, near_dedup, packing
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(documents(spark, sf_dir), word_vocabulary()))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_near_duplicates(documents(spark, sf_dir), words=2)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
@@ -36,8 +40,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op6_mixing": op6_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op6_mixing": op6_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_near_dedup": near_dedup.oracle(), "op9_exact_dedup": exact_dedup.ORACLE}
