@@ -107,7 +107,7 @@ def _predictor(profiles: dict[str, list[str]], longest: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Grams(longest)
-        for part in slices(batches, most=2 << 20):
+        for part in slices(batches, most=1 << 19):
             codes, names, offsets = _letters(texts_of(part))
             rows = len(offsets) - 1
             lists = known.of(names)
