@@ -97,7 +97,7 @@ def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def build_index(docs: DataFrame, capacity: int = 20_000, max_depth: int = 16) -> DataFrame:
+def build_index(docs: DataFrame, capacity: int = 2_000, max_depth: int = 20) -> DataFrame:
     """The index over ``docs`` (doc_id, text, hash), written to the shared folder: a row a different text."""
     spark = docs.sparkSession
     lead = F.shiftrightunsigned("hash", 64 - max_depth).cast("int")
