@@ -89,18 +89,56 @@ class _Grams:
         self.longest, self.most = longest, most
         self.words: dict = {}
         self.code: dict = {}
+        self.spelled: list = []
 
     def of(self, names: list[str]) -> list[np.ndarray]:
         if len(self.words) > self.most:
-            self.words, self.code = {}, {}
+            self.words, self.code, self.spelled = {}, {}, []
         out = []
         for w in names:
             got = self.words.get(w)
             if got is None:
                 got = self.words[w] = np.array([self.code.setdefault(g, len(self.code)) for g in grams(w, self.longest)], np.int64)
             out.append(got)
+        if len(self.spelled) < len(self.code):
+            self.spelled += list(self.code)[len(self.spelled) :]
         return out
 
+    def in_order(self, used: np.ndarray) -> np.ndarray:
+        """``used`` codes in the code-point order of their n-grams."""
+        names = self.spelled
+        return np.array(sorted(used.tolist(), key=names.__getitem__), np.int64)
+
+
+def _profiles(codes, offsets, flat, sizes, begins, total: int, size: int):
+    """Rows of all documents' profiles: document, n-gram (its place in code-point order), rank.
+
+    Counts are dense over blocks of documents, at most some 4 million cells at once.
+    """
+    out = [(np.empty(0, np.int64),) * 3]
+    rows, block = len(offsets) - 1, max(1, (4 << 20) // total)
+    width = int(total).bit_length()
+    for at in range(0, rows, block):
+        upto = min(rows, at + block)
+        word = codes[offsets[at] : offsets[upto]]
+        doc = np.repeat(np.arange(upto - at), np.diff(offsets[at : upto + 1]))
+        each = sizes[word]
+        ends = np.cumsum(each)
+        if not len(ends) or not ends[-1]:
+            continue
+        cell = np.repeat(doc * total, each) + flat[np.repeat(begins[word] - (ends - each), each) + np.arange(ends[-1])]
+        count = np.bincount(cell, minlength=1)
+        cell = np.flatnonzero(count)
+        count = count[cell]
+        doc, gram = np.divmod(cell, total)
+        deep = int(count.max()).bit_length()
+        key = np.sort((doc << (deep + width)) | ((count.max() - count) << width) | gram)
+        doc, gram = key >> (deep + width), key & ((1 << width) - 1)
+        rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(upto - at))[doc]
+        top = rank < size
+        out.append((doc[top] + at, gram[top], rank[top]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
 
 def _predictor(profiles: dict[str, list[str]], longest: int, size: int):
     langs = sorted(profiles)
@@ -113,35 +151,20 @@ def _predictor(profiles: dict[str, list[str]], longest: int, size: int):
             lists = known.of(names)
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             flat, begins = (np.concatenate(lists) if lists else np.empty(0, np.int64)), np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            doc = np.repeat(np.arange(rows), np.diff(offsets))
-            pairs, n = np.unique(doc * max(1, len(names)) + codes, return_counts=True)
-            doc, word = np.divmod(pairs, max(1, len(names)))
-            each = sizes[word]
-            upto = np.concatenate([[0], np.cumsum(each)])
-            at = np.repeat(begins[word] - upto[:-1], each) + np.arange(upto[-1])
-            spelled = np.array(list(known.code), dtype=object)
-            order_of = np.empty(len(spelled), np.int64)
-            order_of[np.argsort(spelled)] = np.arange(len(spelled))
-            total = max(1, len(spelled))
-            key = np.repeat(doc, each) * total + order_of[flat[at]]
-            by = np.argsort(key, kind="stable")
-            key, weight = key[by], np.repeat(n, each)[by]
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            count = np.add.reduceat(weight, first) if len(first) else np.empty(0, np.int64)
-            doc, gram = np.divmod(key[first], total)
-            by = np.lexsort((gram, -count, doc))
-            doc, gram = doc[by], gram[by]
-            begin = np.searchsorted(doc, np.arange(rows))
-            rank = np.arange(len(doc)) - begin[doc]
-            top = rank < size
-            doc, gram, rank = doc[top], gram[top], rank[top]
+            used = np.flatnonzero(np.bincount(flat, minlength=len(known.code))) if len(flat) else np.empty(0, np.int64)
+            place_of = np.zeros(len(known.code) + 1, np.int64)
+            place_of[known.in_order(used)] = np.arange(len(used))
+            flat, total = place_of[flat], max(1, len(used))
+            doc, gram, rank = _profiles(codes, offsets, flat, sizes, begins, total, size)
+            there_is = np.zeros(len(known.code) + 1, bool)
+            there_is[used] = True
             own = np.bincount(doc, minlength=rows)
             best, name, second = np.full(rows, np.inf), np.full(rows, -1), np.full(rows, np.inf)
             for k, lang in enumerate(langs):
                 place = np.full(total, -1, np.int64)
                 for r, g in enumerate(profiles[lang]):
-                    if g in known.code:
-                        place[order_of[known.code[g]]] = r
+                    if g in known.code and there_is[known.code[g]]:
+                        place[place_of[known.code[g]]] = r
                 there = place[gram]
                 far = np.bincount(doc, weights=np.where(there < 0, size, np.minimum(size, np.abs(there - rank))), minlength=rows)
                 better = far < best
