@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, substring_dedup
+from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, substring_dedup
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op6_mixing": op6_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
