@@ -45,8 +45,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(a, b - a)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+def texts_of(batch: pa.RecordBatch | pa.Table, column: str = "text") -> pa.Array:
+    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:

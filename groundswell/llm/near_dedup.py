@@ -13,8 +13,9 @@ Linking does not list the pairs of a key:
    shuffle and link to the least. A key shared by a third of all rows is a row a batch there.
 2. Links whose sizes or sketches (a bit a symbol) rule them out are dropped, each node's best link is confirmed on full
    sets, then all links between nodes that are still in different components.
-3. Nodes of one component need no more links. For keys whose nodes lie in different components, all pairs across
-   components (that size and sketch allow) are confirmed: what a hub did not reach is compared with everything.
+3. Nodes of one component need no more links. Where a key's nodes lie in different components, each node of the smaller one
+   that sizes and sketches allow is asked about the larger one, and compared on full sets with all its members, block
+   against block: what a hub did not reach is compared with everything, and only confirmed links are listed.
 
 So a link within the distance is lost only where its sketches differ in more than ``sketch`` bits (probability below 1e-6
 at 0.8). Components, links and texts stay in tables in the shared folder.
@@ -258,17 +259,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     more = written(_confirmed(_labelled(near.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), texts, words, least), "near-links")
     links = links.unionByName(more)
     labels = written(components(links), "near-labels")
-    # Keys whose nodes are in different components: all pairs across, less those that were confirmed or refused above.
+    # Keys whose nodes are in different components: each node of the smaller one against all of the other, in blocks.
     own = alive.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = own.select("node", "label", "n", "bits", "sign").mapInArrow(_list_keys(symbols, plan), "key long, node long, label long, n int, bits long")
+    sizes = own.groupBy("label").agg(F.count("*").alias("members"))
+    own = written(own.join(sizes, "label"), "near-own")
+    rows = own.select("node", "label", "members", "n", "bits", "sign").mapInArrow(_list_keys(symbols, plan), LISTED)
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    across = written(rows.join(mixed, "key"), "near-across")
-    x, y = across.alias("x"), across.alias("y")
-    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
-    fits &= F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= sketch
-    fits &= 100 * F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")
-    rest = x.join(y, fits).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
-    last = written(_confirmed(written(rest, "near-rest"), texts, words, least), "near-links")
+    across = rows.join(mixed, "key").repartition("key").sortWithinPartitions("key", "label")
+    asked = written(across.mapInArrow(_across(least, sketch), "node long, other long").distinct(), "near-asked")
+    last = written(_against(asked, own, texts, words, least), "near-links")
     labels = components(links.unionByName(last)) if last.limit(1).count() else labels
     return signed.select("doc_id", "print", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left")
 
@@ -285,16 +284,104 @@ def _sketched(symbols: int):
     return run
 
 
+LISTED = "key long, node long, label long, members long, n int, bits long"
+
+
 def _list_keys(symbols: int, plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column="sign", most=1 << 20):
             key = _keys_of(part, symbols, plan)
             row = pa.array(np.repeat(np.arange(part.num_rows), key.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(part.column(c).take(row) for c in ("node", "label", "n", "bits"))], names=["key", "node", "label", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(part.column(c).take(row) for c in ("node", "label", "members", "n", "bits"))], names=[x.split()[0] for x in LISTED.split(", ")])
+
+    return run
+
+
+def _across(least: int, sketch: int):
+    """Rows by key and label: for each node the other, larger components in which some node of its key is near enough."""
+
+    def asked(label, node, members, n, bits):
+        starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+        ends = np.append(starts[1:], len(label))
+        out = []
+        for x, (a, b) in enumerate(zip(starts, ends)):
+            for y, (c, d) in enumerate(zip(starts, ends)):
+                if x == y or (members[c], label[c]) < (members[a], label[a]):
+                    continue
+                near = np.zeros(b - a, bool)
+                for at in range(c, d, 4096):
+                    upto = min(d, at + 4096)
+                    for r in range(a, b, 256):
+                        q = min(b, r + 256)
+                        apart = _popcount(bits[r:q, None] ^ bits[None, at:upto])
+                        near[r - a : q - a] |= _allowed(n[r:q, None], n[None, at:upto], apart, least, sketch).any(axis=1)
+                out.append((node[a:b][near], np.full(near.sum(), label[c])))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
+    names = ["label", "node", "members", "n", "bits"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            cols = [batch.column(c).to_numpy() for c in names]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            found = []
+            for a, b in zip(starts, np.append(starts[1:], len(key))):
+                if open_ is not None and key[a] != open_:
+                    found.append(asked(*(np.concatenate(x) for x in zip(*held))))
+                    held = []
+                open_ = key[a]
+                held.append([c[a:b] for c in cols])
+            if found:
+                node, other = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64())], names=["node", "other"])
+        if held:
+            node, other = asked(*(np.concatenate(x) for x in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64())], names=["node", "other"])
+
+    return run
+
+
+BLOCK = 128
+
+
+def _compare_blocks(words: int, least: int):
+    """Confirmed links between two blocks of texts: one counts table for all members, a lookup for each node asked."""
+
+    def run(key, asked, members):
+        out = []
+        if asked.num_rows and members.num_rows:
+            mine = [shingle_sets(texts_of(t, "text"), words) for t in (asked, members)]
+            number, begins = np.cumsum([0, *map(len, mine[1])]), None
+            names, flat = np.unique(np.concatenate(mine[1]), return_inverse=True)
+            begins, sizes = number[:-1], np.diff(number)
+            nodes = members["node"].to_pylist()
+            for s, node in zip(mine[0], asked["node"].to_pylist()):
+                mark = np.isin(names, s, assume_unique=True)
+                both = np.add.reduceat(mark[flat], begins, dtype=np.int64)
+                out += [(node, nodes[k]) for k in np.flatnonzero(100 * both >= least * (len(s) + sizes - both))]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
+def _against(asked: DataFrame, own: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
+    """Confirmed links of each (node, other component): blocks of nodes against blocks of the component's members."""
+    slot = lambda c, n: F.pmod(F.xxhash64(c), n)
+    load = asked.groupBy("other").agg(F.ceil(F.count("*") / BLOCK).alias("asks"))
+    load = load.join(own.select(F.col("label").alias("other"), "members").distinct(), "other").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    ask = asked.join(load, "other").withColumn("x", slot("node", F.col("asks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    ask = ask.select("other", "x", "y", "node").join(texts, "node")
+    member = own.select("node", F.col("label").alias("other")).join(load, "other").withColumn("y", slot("node", F.col("blocks"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
+    member = member.select("other", "x", "y", "node").join(texts, "node")
+    own_names = lambda df: df.select(*[F.col(c).alias(c) for c in ("other", "x", "y", "node", "text")])
+    ask, member = own_names(ask), own_names(member)  # both come from the same tables
+    return ask.groupBy("other", "x", "y").cogroup(member.groupBy("other", "x", "y")).applyInArrow(_compare_blocks(words, least), "a long, b long")
+
+
 def find_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
     linked = link(docs, **options)
