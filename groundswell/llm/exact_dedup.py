@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from groundswell.session import written
 
-from .common import slices, texts_of, unused
+from .common import salt_bits, slices, texts_of, unused
 
 ENTRY = "hash long, text string, keep_id long, n long"
 INDEX = "bucket int, hash long, text_sha256 string, keep_id long, group_size long, chain int"
@@ -100,12 +100,14 @@ def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, capacity: int = 2_000, max_depth: int = 20) -> DataFrame:
     """The index over ``docs`` (doc_id, text, hash), written to the shared folder: a row a different text."""
     spark = docs.sparkSession
-    lead = F.shiftrightunsigned("hash", 64 - max_depth).cast("int")
-    counts = {r[0]: r[1] for r in docs.groupBy(lead.alias("lead")).count().collect()}  # at most 2^max_depth rows
-    buckets = directory(counts, capacity, max_depth)
-    cells = [(lead_of, k) for k, (prefix, depth, _) in enumerate(buckets) for lead_of in range(prefix << (max_depth - depth), (prefix + 1) << (max_depth - depth)) if lead_of in counts]
-    table = F.broadcast(spark.createDataFrame(cells, "lead int, bucket int"))  # at most 2^max_depth rows
-    entries = docs.mapInArrow(_combine, ENTRY).withColumn("lead", lead).join(table, "lead")
+    deepest = min(max_depth, salt_bits(docs.count(), capacity) + 4)  # 16 counters a bucket let the directory follow the hashes
+    lead = lambda bits: (F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0)).cast("int")
+    counts = {r[0]: r[1] for r in docs.groupBy(lead(deepest).alias("lead")).count().collect()}  # at most 2^max_depth rows
+    buckets = directory(counts, capacity, deepest)
+    depth = max(d for _, d, _ in buckets)
+    cells = [(cell, k) for k, (prefix, d, _) in enumerate(buckets) for cell in range(prefix << (depth - d), (prefix + 1) << (depth - d))]
+    table = F.broadcast(spark.createDataFrame(cells, "lead int, bucket int"))  # the directory: at most 2^max_depth rows
+    entries = docs.mapInArrow(_combine, ENTRY).withColumn("lead", lead(depth)).join(table, "lead")
     owned = entries.repartition("bucket").sortWithinPartitions("bucket", "hash")
     return written(owned.select("bucket", "hash", "text", "keep_id", "n").mapInArrow(_owner, INDEX), "exact-index")
 
