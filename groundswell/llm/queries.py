@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, substring_dedup, suffix_tree_lm
+from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, pii, substring_dedup, suffix_tree_lm
 from .common import documents
 
 
@@ -41,6 +41,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_duplicates(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_lm_scoring": op7_lm_scoring, "op9_exact_dedup": op9_exact_dedup, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_lm_scoring": op7_lm_scoring, "op8_pii": op8_pii, "op9_exact_dedup": op9_exact_dedup, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
