@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, pii, substring_dedup, suffix_tree_lm
+from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, pii, quality, substring_dedup, suffix_tree_lm
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(documents(spark, sf_dir), word_vocabulary()))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_near_duplicates(documents(spark, sf_dir), words=2)
 
@@ -56,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_near_dedup": op3_near_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_lm_scoring": op7_lm_scoring, "op8_pii": op8_pii, "op9_exact_dedup": op9_exact_dedup, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_near_dedup": op3_near_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_lm_scoring": op7_lm_scoring, "op8_pii": op8_pii, "op9_exact_dedup": op9_exact_dedup, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
