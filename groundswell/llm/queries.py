@@ -59,8 +59,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, profiles).select("doc_id", (language_id.fold() == 1).alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_near_dedup": op3_near_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_lm_scoring": op7_lm_scoring, "op8_pii": op8_pii, "op9_exact_dedup": op9_exact_dedup, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_near_dedup": op3_near_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op5_fingerprints": op5_fingerprints, "op6_mixing": op6_mixing, "op7_lm_scoring": op7_lm_scoring, "op8_pii": op8_pii, "op9_exact_dedup": op9_exact_dedup, "op10_language_id": op10_language_id, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
