@@ -14,7 +14,7 @@ Linking does not list the pairs of a key:
 2. Links whose sizes or sketches (a bit a symbol) rule them out are dropped, each node's best link is confirmed on full
    sets, then all links between nodes that are still in different components.
 3. Nodes of one component need no more links. Where a key's nodes lie in different components, each node of the smaller one
-   that sizes and sketches allow is asked about the larger one, and compared on full sets with all its members, block
+   whose signature is within the distance is asked about the larger one, and compared on full sets with all its members, block
    against block: what a hub did not reach is compared with everything, and only confirmed links are listed.
 
 So a link within the distance is lost only where its sketches differ in more than ``sketch`` bits (probability below 1e-6
@@ -265,8 +265,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     own = written(own.join(sizes, "label"), "near-own")
     rows = own.select("node", "label", "members", "n", "bits", "sign").mapInArrow(_list_keys(symbols, plan), LISTED)
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    across = rows.join(mixed, "key").repartition("key").sortWithinPartitions("key", "label")
-    asked = written(across.mapInArrow(_across(least, sketch), "node long, other long").distinct(), "near-asked")
+    across = rows.join(mixed, "key").join(own.select("node", "sign"), "node").repartition("key").sortWithinPartitions("key", "label")
+    asked = written(across.mapInArrow(_across(least, sketch, distance), "node long, other long").distinct(), "near-asked")
     last = written(_against(asked, own, texts, words, least), "near-links")
     labels = components(links.unionByName(last)) if last.limit(1).count() else labels
     return signed.select("doc_id", "print", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left")
@@ -297,36 +297,39 @@ def _list_keys(symbols: int, plan):
     return run
 
 
-def _across(least: int, sketch: int):
-    """Rows by key and label: for each node the other, larger components in which some node of its key is near enough."""
-
-    def asked(label, node, members, n, bits):
-        starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
-        ends = np.append(starts[1:], len(label))
-        out = []
-        for x, (a, b) in enumerate(zip(starts, ends)):
-            for y, (c, d) in enumerate(zip(starts, ends)):
-                if x == y or (members[c], label[c]) < (members[a], label[a]):
-                    continue
-                near = np.zeros(b - a, bool)
-                for at in range(c, d, 4096):
-                    upto = min(d, at + 4096)
-                    for r in range(a, b, 256):
-                        q = min(b, r + 256)
-                        apart = _popcount(bits[r:q, None] ^ bits[None, at:upto])
-                        near[r - a : q - a] |= _allowed(n[r:q, None], n[None, at:upto], apart, least, sketch).any(axis=1)
-                out.append((node[a:b][near], np.full(near.sum(), label[c])))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+def _across(least: int, sketch: int, distance: int):
+    """Rows by key and label: for each node the other, larger components in which some node of its key is within the distance."""
+
+    def asked(label, node, members, n, bits, sign):
+        order = np.lexsort((label, members))
+        rank = np.empty(len(label), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], label[order][1:] != label[order][:-1]]))
+        out = [(np.empty(0, np.int64),) * 2]
+        for r in range(0, len(label), 256):
+            q = min(len(label), r + 256)
+            for at in range(0, len(label), 4096):
+                upto = min(len(label), at + 4096)
+                near = _allowed(n[r:q, None], n[None, at:upto], _popcount(bits[r:q, None] ^ bits[None, at:upto]), least, sketch)
+                x, y = np.nonzero(near & (rank[None, at:upto] > rank[r:q, None]))
+                for c in range(0, len(x), 1 << 16):
+                    i, j = x[c : c + (1 << 16)] + r, y[c : c + (1 << 16)] + at
+                    close = (sign[i] != sign[j]).sum(axis=1) <= distance
+                    out.append(tuple(np.unique(np.stack([node[i[close]], label[j[close]]]), axis=1)))
+        return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
 
     names = ["label", "node", "members", "n", "bits"]
 
+    def columns(batch):
+        sign = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+        return [*(batch.column(c).to_numpy() for c in names), sign]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column("key").to_numpy()
-            cols = [batch.column(c).to_numpy() for c in names]
+            cols = columns(batch)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             found = []
             for a, b in zip(starts, np.append(starts[1:], len(key))):

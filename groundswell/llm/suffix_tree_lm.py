@@ -1,8 +1,8 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 A symbol is a word (A-Z lower-cased) or the end of a text. The root gives a symbol the add-0.1 share of its count among all training
-tokens (unseen words are one symbol). Contexts are the one to ``longest`` symbols before, back to the text's start, and seen at
-least twice in training. A context is a state if its next-symbol counts diverge from its suffix's by a deleted
+tokens (unseen words are one symbol). Contexts are the one to ``longest`` symbols before, back to the text's start, seen at
+least twice in training; a longer one must end a pair of a state (the tree grows from its states). A context is a state if its next-symbol counts diverge from its suffix's by a deleted
 estimate: each training occurrence is predicted from the others, and the gain in log-likelihood over the next shorter state must
 exceed the log of the context's count. So a context whose next symbols are all new teaches nothing, and one that repeats does.
 A state's probabilities are smoothed with the next shorter one's: p = (c + m p') / (n + m), m its distinct next symbols
