@@ -2,17 +2,20 @@
 
 A symbol is a word (A-Z lower-cased) or the end of a text. The root gives a symbol the add-0.1 share of its count among all training
 tokens (unseen words are one symbol). Contexts are the one to ``longest`` symbols before, back to the text's start, seen at
-least twice in training; a longer one must end a pair of a state (the tree grows from its states). A context is a state if its next-symbol counts diverge from its suffix's by a deleted
+least twice in training; a longer one must end a pair of a state (the tree grows from its states).
+A context is a state if its next-symbol counts diverge from its suffix's by a deleted
 estimate: each training occurrence is predicted from the others, and the gain in log-likelihood over the next shorter state must
 exceed the log of the context's count. So a context whose next symbols are all new teaches nothing, and one that repeats does.
-A state's probabilities are smoothed with the next shorter one's: p = (c + m p') / (n + m), m its distinct next symbols
-(Witten-Bell). A symbol's score is that of the longest suffix that is a state.
+A state's probabilities are smoothed with the next shorter one's: p = (c + k p') / (n + k), where the context has n occurrences and
+k = n^(3/4). A symbol's score is that of the longest suffix that is a state. A context with more than ``CLASS`` occurrences is tested in
+hash classes of its next symbols, so that no task has all of a very frequent context.
 
 Data flow: nothing of the tree is collected or broadcast, it is as large as the corpus makes it.
 1. A pass cuts the input into chunks: documents as word numbers, and the chunk's distinct word hashes. Texts aren't shuffled.
 2. Each chunk sends each bucket of hashes one sorted array with training counts and gets counts back: the root.
-3. Length by length, each chunk sends its distinct (context, symbol) pairs, by the context's hash, with training counts and
-   the shorter state's probability; the bucket has all of a context, tests it, and answers with (c, n, m), zeros for no state.
+3. Length by length, each chunk sends its distinct (context, symbol) pairs, by the context's hash, with training counts, the
+   context's n and the shorter state's probability; the bucket has all of a context (class), tests it, and answers with
+   1 + c, or 0 for no state.
 4. Chunks sum their tokens' scores by document.
 
 An entry is sent once a chunk, so a word or phrase of a third of all documents is as many entries as there are chunks.
@@ -40,6 +43,8 @@ END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 NEXT_BITS = np.uint64(24)
 BUCKET_ENTRIES = 1 << 19
+CLASS = 1 << 16
+CHUNK_BYTES = 4 << 20
 NATS = 8.0  # parts of a nat
 
 
@@ -62,15 +67,15 @@ def unascending(b: bytes) -> np.ndarray:
 
 
 CHUNKS = "chunk long, ids binary, train binary, tokens binary, codes binary, prints binary"
-SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("shorter", pa.binary())])
-SENTS = "chunk long, bucket long, keys binary, counts binary, shorter binary"
+SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("often", pa.binary()), ("shorter", pa.binary())])
+SENTS = "chunk long, bucket long, keys binary, counts binary, often binary, shorter binary"
 ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("answer", pa.binary())])
 ANSWERS = "chunk long, bucket long, answer binary"
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
-    for part in slices(batches):
+    for part in slices(batches, most=CHUNK_BYTES):
         codes, names, offsets = split_words(texts_of(part), lower=True)
         prints, codes = np.unique(word_hashes(names)[codes], return_inverse=True)
         ids = part.column("doc_id")
@@ -114,12 +119,12 @@ class Chunk:
         return made, place >= k - 1
 
 
-def _cut(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, shorter: np.ndarray | None = None) -> list[dict]:
+def _cut(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, often: np.ndarray | None = None, shorter: np.ndarray | None = None) -> list[dict]:
     """Ascending keys by bucket of their leading bits."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else [0]
     return [
-        {"chunk": chunk, "bucket": int(bucket[a]), "keys": ascending(keys[a:b]), "counts": planes(counts[a:b], "<i4"), "shorter": None if shorter is None else shorter[a:b].tobytes()}
+        {"chunk": chunk, "bucket": int(bucket[a]), "keys": ascending(keys[a:b]), "counts": planes(counts[a:b], "<i4"), "often": None if often is None else planes(often[a:b], "<i4"), "shorter": None if shorter is None else shorter[a:b].tobytes()}
         for a, b in zip(edges[:-1], edges[1:])
     ]
 
@@ -147,11 +152,9 @@ def _total_words(key, table):
     return pa.table({"known": [int((sums > 0).sum())], "total": [int(sums.sum())]})
 
 
-def _replies(table, sizes: list[int], *values: np.ndarray):
-    out, at = [], 0
-    for n in sizes:
-        out.append(b"".join(planes(v[at : at + n], "<i4") for v in values))
-        at += n
+def _replies(table, sizes: list[int], values: np.ndarray):
+    ends = np.cumsum(sizes)
+    out = [planes(values[e - n : e], "<i4") for e, n in zip(ends.tolist(), sizes)]
     return pa.Table.from_arrays([table["chunk"], table["bucket"], pa.array(out, pa.binary())], schema=ANSWER)
 
 
@@ -160,21 +163,23 @@ def _count_words(key, table):
     return _replies(table, sizes, sums[which])
 
 
+def weight_of(n):
+    """The weight of the next shorter state against n occurrences."""
+    return n**0.75
+
+
 def _test_contexts(key, table):
-    """Which contexts of a bucket are states: (c, n, m) for the pairs of a state, zeros for others."""
+    """Which contexts of a bucket are states: 1 + c for the pairs of a state, 0 for others."""
     sizes, names, which, c = _gathered(table)
-    p = np.empty(len(names))
+    p, n = np.empty(len(names)), np.empty(len(names))
     p[which] = np.exp(np.concatenate([np.frombuffer(x, np.uint8) for x in table["shorter"].to_pylist()]) / -NATS)
-    _, of = np.unique(names >> NEXT_BITS, return_inverse=True)
-    n = np.bincount(of, weights=c)
-    m = np.bincount(of, weights=c > 0)
-    n_, m_ = n[of], m[of]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(c > 1, (c - 1 + m_ * p) / (n_ - 1 + m_), (m_ - 1) * p / (n_ + m_ - 2))
-        each = np.where((c > 0) & (n_ > 1), c * (np.log(np.maximum(left, 1e-300)) - np.log(p)), 0.0)
-    gain = np.bincount(of, weights=each)
-    state = ((n > 1) & (gain > np.log(np.maximum(n, 1))))[of]
-    return _replies(table, sizes, *(np.where(state, x, 0).astype(np.int64)[which] for x in (c, n_, m_)))
+    n[which] = np.concatenate([unplanes(x, "<i4") for x in table["often"].to_pylist()])
+    _, first, of = np.unique(names >> NEXT_BITS, return_index=True, return_inverse=True)
+    k = weight_of(n)
+    left = (np.maximum(c - 1, 0) + k * p) / (n - 1 + k)
+    gain = np.bincount(of, weights=c * (np.log(left) - np.log(p)))
+    state = (gain > np.log(n[first]))[of]
+    return _replies(table, sizes, np.where(state, c + 1, 0)[which])
 
 
 class Model:
@@ -190,7 +195,9 @@ class Model:
         """Ascending distinct pairs of the contexts of length k that are seen twice, each symbol's place among them, or -1."""
         hashes, there = own.context(k)
         at = np.flatnonzero(there & (seen > 1))
-        key = (hashes[at] >> NEXT_BITS << NEXT_BITS) | (mix64(own.symbol[at]) >> (np.uint64(64) - NEXT_BITS))
+        last = mix64(own.symbol[at])
+        part = last % (1 + seen[at] // CLASS).astype(np.uint64)
+        key = (mix64(hashes[at] + part) >> NEXT_BITS << NEXT_BITS) | (last >> (np.uint64(64) - NEXT_BITS))
         keys, which = np.unique(key, return_inverse=True)
         place = np.full(len(own.doc), -1)
         place[at] = which
@@ -198,35 +205,34 @@ class Model:
 
     def upto(self, own: Chunk, answers, k: int):
         """Probabilities at the longest states of fewer than k symbols, root counts, how often each context of k symbols is seen."""
-        counts = np.append(_joined(answers, 0, 1)[0], self.ends)
+        counts = np.append(_joined(answers, 0), self.ends)
         root = counts[own.code]
         p = self.root(root)
         first = np.arange(len(own.doc)) == np.repeat(own.at_end - own.sizes + 1, own.sizes)
         seen = np.where(first, self.ends, np.concatenate([[0], root[:-1]]))  # the start is seen once a training text
         for j in range(1, k):
             keys, place, at = self.pairs(own, j, seen)
-            c, n, m = _joined(answers, j, 3)
+            c = _joined(answers, j)
             if len(c) != len(keys):
                 raise ValueError(f"{len(c)} answers for {len(keys)} pairs")
-            got = place >= 0
-            w = place[got]
-            state = m[w] > 0
-            here = np.flatnonzero(got)[state]
-            w = w[state]
-            p[here] = (c[w] + m[w] * p[here]) / (n[w] + m[w])
+            got = np.flatnonzero(place >= 0)
+            c = c[place[got]]
+            here, c = got[c > 0], c[c > 0] - 1
+            n = seen[here]
+            k_ = weight_of(n.astype(float))
+            p[here] = (c + k_ * p[here]) / (n + k_)
             pair = np.zeros(len(own.doc), np.int64)  # a state's pair that is seen twice may be a longer context
-            pair[here] = c[w]
+            pair[here] = c
             seen = np.concatenate([[0], pair[:-1]])
             seen[first] = 0
         return p, root, seen
 
 
-def _joined(answers, level: int, parts: int) -> list[np.ndarray]:
+def _joined(answers, level: int) -> np.ndarray:
     """The answers to what a chunk has sent for a level, in its order."""
     rows = answers.filter(pc.equal(answers["level"], level))
     got = sorted(zip(rows["bucket"].to_pylist(), rows["answer"].to_pylist()))
-    cut = [[unplanes(b[len(b) * i // parts : len(b) * (i + 1) // parts], "<i4").astype(np.int64) for _, b in got] for i in range(parts)]
-    return [np.concatenate(x) if x else np.empty(0, np.int64) for x in cut]
+    return np.concatenate([unplanes(b, "<i4") for _, b in got]).astype(np.int64) if got else np.empty(0, np.int64)
 
 
 def _send_pairs(model: Model, k: int):
@@ -237,7 +243,9 @@ def _send_pairs(model: Model, k: int):
         n = np.bincount(place[at], weights=own.teaches[at], minlength=len(keys)).astype(np.int64)
         shorter = np.zeros(len(keys), np.uint8)
         shorter[place[at]] = np.minimum(255, np.round(-np.log(p[at]) * NATS)).astype(np.uint8)
-        return pa.Table.from_pylist(_cut(own.number, keys, n, model.bits, shorter), schema=SENT)
+        often = np.zeros(len(keys), np.int64)
+        often[place[at]] = seen[at]
+        return pa.Table.from_pylist(_cut(own.number, keys, n, model.bits, often, shorter), schema=SENT)
 
     return run
 

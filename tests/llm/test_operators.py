@@ -300,17 +300,18 @@ def test_lm_scoring(docs, rows, empty):
         for k in range(1, upto + 1):
             own = states[k].get(tuple(full[j - k : j])) if j >= k else None
             if own:
-                q = (own[full[j]] + len(own) * q) / (sum(own.values()) + len(own))
+                n = sum(own.values())
+                q = (own[full[j]] + n**0.75 * q) / (n + n**0.75)
         return q
 
     for k in (1, 2):
         for ctx, own in counts[k].items():
-            n, m, gain = sum(own.values()), len(own), 0.0
+            n, gain = sum(own.values()), 0.0
             if n < 2 or (k == 2 and ctx[:1] not in states[1]):
                 continue  # a longer context begins with a state's pair
             for w, x in own.items():
                 q = math.exp(-round(-math.log(prob([*ctx, w], len(ctx), k - 1)) * 8) / 8)
-                left = (x - 1 + m * q) / (n - 1 + m) if x > 1 else (m - 1) * q / (n + m - 2)
+                left = (x - 1 + n**0.75 * q) / (n - 1 + n**0.75)
                 gain += x * (math.log(left) - math.log(q))
             if gain > math.log(n):
                 states[k][ctx] = own
