@@ -33,10 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundswell.session import written
+
 from .common import mix64, salt_bits, slices, split_words, texts_of, word_hashes
 
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -49,13 +52,14 @@ NATS = 8.0  # parts of a nat
 
 
 def planes(x: np.ndarray, kind: str = "<i8") -> bytes:
-    """Integers byte by byte of all, so that leading zeros compress."""
+    """Integers byte by byte of all, compressed: leading zeros and small values take little."""
     x = np.ascontiguousarray(x, kind)
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def unplanes(b: bytes, kind: str = "<i8") -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def ascending(x: np.ndarray) -> bytes:
@@ -124,7 +128,7 @@ def _cut(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, often: np.
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else [0]
     return [
-        {"chunk": chunk, "bucket": int(bucket[a]), "keys": ascending(keys[a:b]), "counts": planes(counts[a:b], "<i4"), "often": None if often is None else planes(often[a:b], "<i4"), "shorter": None if shorter is None else shorter[a:b].tobytes()}
+        {"chunk": chunk, "bucket": int(bucket[a]), "keys": ascending(keys[a:b]), "counts": planes(counts[a:b], "<i4"), "often": None if often is None else planes(often[a:b], "<i4"), "shorter": None if shorter is None else planes(shorter[a:b], "u1")}
         for a, b in zip(edges[:-1], edges[1:])
     ]
 
@@ -147,20 +151,21 @@ def _gathered(table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     return [len(k) for k in keys], names, which, np.bincount(which, weights=counts, minlength=len(names)).astype(np.int64)
 
 
-def _total_words(key, table):
-    _, names, _, sums = _gathered(table)
-    return pa.table({"known": [int((sums > 0).sum())], "total": [int(sums.sum())]})
-
-
 def _replies(table, sizes: list[int], values: np.ndarray):
     ends = np.cumsum(sizes)
     out = [planes(values[e - n : e], "<i4") for e, n in zip(ends.tolist(), sizes)]
     return pa.Table.from_arrays([table["chunk"], table["bucket"], pa.array(out, pa.binary())], schema=ANSWER)
 
 
+ROOTS = ANSWERS + ", known long, total long"
+
+
 def _count_words(key, table):
+    """The words' counts; a bucket's first answer has the bucket's numbers of known words and of tokens."""
     sizes, _, which, sums = _gathered(table)
-    return _replies(table, sizes, sums[which])
+    made, rest = _replies(table, sizes, sums[which]), [0] * (len(sizes) - 1)
+    known, total = (pa.array([x, *rest], pa.int64()) for x in (int((sums > 0).sum()), int(sums.sum())))
+    return made.append_column("known", known).append_column("total", total)
 
 
 def weight_of(n):
@@ -171,10 +176,12 @@ def weight_of(n):
 def _test_contexts(key, table):
     """Which contexts of a bucket are states: 1 + c for the pairs of a state, 0 for others."""
     sizes, names, which, c = _gathered(table)
-    p, n = np.empty(len(names)), np.empty(len(names))
-    p[which] = np.exp(np.concatenate([np.frombuffer(x, np.uint8) for x in table["shorter"].to_pylist()]) / -NATS)
-    n[which] = np.concatenate([unplanes(x, "<i4") for x in table["often"].to_pylist()])
+    p, sent = np.empty(len(names)), np.empty(len(names))
+    p[which] = np.exp(np.concatenate([unplanes(x, "u1") for x in table["shorter"].to_pylist()]) / -NATS)
+    sent[which] = np.concatenate([unplanes(x, "<i4") for x in table["often"].to_pylist()])
     _, first, of = np.unique(names >> NEXT_BITS, return_index=True, return_inverse=True)
+    n = np.where(sent > 0, sent, np.bincount(of, weights=c)[of])
+    n = np.maximum(n, 1)
     k = weight_of(n)
     left = (np.maximum(c - 1, 0) + k * p) / (n - 1 + k)
     gain = np.bincount(of, weights=c * (np.log(left) - np.log(p)))
@@ -244,7 +251,7 @@ def _send_pairs(model: Model, k: int):
         shorter = np.zeros(len(keys), np.uint8)
         shorter[place[at]] = np.minimum(255, np.round(-np.log(p[at]) * NATS)).astype(np.uint8)
         often = np.zeros(len(keys), np.int64)
-        often[place[at]] = seen[at]
+        often[place[at]] = np.where(seen[at] >= CLASS, seen[at], 0)  # else the bucket has all of the context and counts itself
         return pa.Table.from_pylist(_cut(own.number, keys, n, model.bits, often, shorter), schema=SENT)
 
     return run
@@ -280,10 +287,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     bits = salt_bits(size // 8, BUCKET_ENTRIES)
     chunks = base.mapInArrow(_chunk, CHUNKS)
     words = chunks.mapInArrow(_send_words(bits), SENTS).groupBy("bucket")
-    known, total = words.applyInArrow(_total_words, "known long, total long").agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    roots = written(words.applyInArrow(_count_words, ROOTS), "lm-roots")
+    known, total = roots.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     model = Model(total + ends, known + (ends > 0), ends, longest, bits)
     dealt = chunks.repartition("chunk")
-    answers = words.applyInArrow(_count_words, ANSWERS).withColumn("level", F.lit(0))
+    answers = roots.drop("known", "total").withColumn("level", F.lit(0))
     for k in range(1, longest + 1):
         sent = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_pairs(model, k), SENTS)
         answers = answers.unionByName(sent.groupBy("bucket").applyInArrow(_test_contexts, ANSWERS).withColumn("level", F.lit(k)))
