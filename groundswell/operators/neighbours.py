@@ -35,6 +35,8 @@ def _bucket(dims: list[str], edge: float, shift: Column | None = None) -> list[C
 def nearest(probes: DataFrame, build: DataFrame, k: int, dims: list[str], payload: str | None = None, edge: float | None = None, per_bucket: float = 3.0) -> DataFrame:
     """(point_id, rank, d2, near_id[, payload]) of the k nearest others of each probe, ties by id."""
     first, extent = _edge(build, dims, per_bucket)
+    r = probes.select(*dims).unionByName(build.select(*dims)).agg(*[F.max(d) - F.min(d) for d in dims]).first()
+    extent = max([extent, *(float(v) for v in r if v is not None)])  # probes may lie outside
     edge = edge or first
     if all(t in ("bigint", "int") for c, t in build.dtypes if c in dims):
         edge = math.ceil(edge)
