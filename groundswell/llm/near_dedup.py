@@ -13,9 +13,10 @@ Linking does not list the pairs of a key:
    shuffle and link to the least. A key shared by a third of all rows is a row a batch there.
 2. Links whose sizes or sketches (a bit a symbol) rule them out are dropped, each node's best link is confirmed on full
    sets, then all links between nodes that are still in different components.
-3. Nodes of one component need no more links. Where a key's nodes lie in different components, each node of the smaller one
-   whose signature is within the distance is asked about the larger one, and compared on full sets with all its members, block
-   against block: what a hub did not reach is compared with everything, and only confirmed links are listed.
+3. Nodes of one component need no more links. Where a key's nodes lie in different components with signatures within the distance,
+   these components touch. Touching components form clusters, in which every node but those of the largest component is
+   compared with all on full sets, block against block: what a hub did not reach is compared with everything, and only
+   confirmed links are listed.
 
 So a link within the distance is lost only where its sketches differ in more than ``sketch`` bits (probability below 1e-6
 at 0.8). Components, links and texts stay in tables in the shared folder.
@@ -259,15 +260,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     more = written(_confirmed(_labelled(near.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), texts, words, least), "near-links")
     links = links.unionByName(more)
     labels = written(components(links), "near-labels")
-    # Keys whose nodes are in different components: each node of the smaller one against all of the other, in blocks.
+    # Keys whose nodes are in different components: those that touch are compared in blocks.
     own = alive.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = own.groupBy("label").agg(F.count("*").alias("members"))
     own = written(own.join(sizes, "label"), "near-own")
     rows = own.select("node", "label", "members", "n", "bits", "sign").mapInArrow(_list_keys(symbols, plan), LISTED)
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     across = rows.join(mixed, "key").join(own.select("node", "sign"), "node").repartition("key").sortWithinPartitions("key", "label")
-    asked = written(across.mapInArrow(_across(least, sketch, distance), "node long, other long").distinct(), "near-asked")
-    last = written(_against(asked, own, texts, words, least), "near-links")
+    touching = written(across.mapInArrow(_across(least, sketch, distance), "a long, b long").distinct(), "near-touching")
+    clusters = written(components(touching), "near-clusters").select(F.col("node").alias("label"), F.col("label").alias("other"))
+    last = written(_against(own.join(clusters, "label"), texts, words, least), "near-links")
     labels = components(links.unionByName(last)) if last.limit(1).count() else labels
     return signed.select("doc_id", "print", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left")
 
@@ -298,24 +300,29 @@ def _list_keys(symbols: int, plan):
 
 
 def _across(least: int, sketch: int, distance: int):
-    """Rows by key and label: for each node the other, larger components in which some node of its key is within the distance."""
-
-    def asked(label, node, members, n, bits, sign):
-        order = np.lexsort((label, members))
-        rank = np.empty(len(label), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], label[order][1:] != label[order][:-1]]))
-        out = [(np.empty(0, np.int64),) * 2]
-        for r in range(0, len(label), 256):
-            q = min(len(label), r + 256)
-            for at in range(0, len(label), 4096):
-                upto = min(len(label), at + 4096)
-                near = _allowed(n[r:q, None], n[None, at:upto], _popcount(bits[r:q, None] ^ bits[None, at:upto]), least, sketch)
-                x, y = np.nonzero(near & (rank[None, at:upto] > rank[r:q, None]))
-                for c in range(0, len(x), 1 << 16):
-                    i, j = x[c : c + (1 << 16)] + r, y[c : c + (1 << 16)] + at
+    """Rows by key and label: components that touch, some node of each within the distance; a star for those of a key."""
+
+    def touching(label, node, members, n, bits, sign):
+        names, of = np.unique(label, return_inverse=True)
+        root = np.arange(len(names))
+        for r in range(0, len(of), 256):
+            q = min(len(of), r + 256)
+            for at in range(r, len(of), 4096):
+                upto = min(len(of), at + 4096)
+                near = root[of[r:q]][:, None] != root[of[at:upto]][None, :]
+                near &= _allowed(n[r:q, None], n[None, at:upto], _popcount(bits[r:q, None] ^ bits[None, at:upto]), least, sketch)
+                x, y = np.nonzero(near)
+                for c in range(0, len(x), 1 << 14):
+                    i, j = x[c : c + (1 << 14)] + r, y[c : c + (1 << 14)] + at
+                    apart = root[of[i]] != root[of[j]]
+                    i, j = i[apart], j[apart]
                     close = (sign[i] != sign[j]).sum(axis=1) <= distance
-                    out.append(tuple(np.unique(np.stack([node[i[close]], label[j[close]]]), axis=1)))
-        return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
+                    for u, v in {tuple(t) for t in np.stack([of[i[close]], of[j[close]]], axis=1).tolist()}:
+                        u, v = root[u], root[v]
+                        if u != v:
+                            root[root == max(u, v)] = min(u, v)
+        other = np.flatnonzero(root != np.arange(len(names)))
+        return names[other], names[root[other]]
 
     names = ["label", "node", "members", "n", "bits"]
 
@@ -334,16 +341,16 @@ def _across(least: int, sketch: int, distance: int):
             found = []
             for a, b in zip(starts, np.append(starts[1:], len(key))):
                 if open_ is not None and key[a] != open_:
-                    found.append(asked(*(np.concatenate(x) for x in zip(*held))))
+                    found.append(touching(*(np.concatenate(x) for x in zip(*held))))
                     held = []
                 open_ = key[a]
                 held.append([c[a:b] for c in cols])
             if found:
                 node, other = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64())], names=["node", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
         if held:
-            node, other = asked(*(np.concatenate(x) for x in zip(*held)))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64())], names=["node", "other"])
+            node, other = touching(*(np.concatenate(x) for x in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -371,14 +378,21 @@ def _compare_blocks(words: int, least: int):
     return run
 
 
-def _against(asked: DataFrame, own: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
-    """Confirmed links of each (node, other component): blocks of nodes against blocks of the component's members."""
+def _against(members: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
+    """Confirmed links within clusters of components that touch: all nodes but those of the largest component, against all.
+
+    ``members``: node, label, members (of the component), other (the cluster). Blocks of nodes meet blocks of nodes.
+    """
     slot = lambda c, n: F.pmod(F.xxhash64(c), n)
-    load = asked.groupBy("other").agg(F.ceil(F.count("*") / BLOCK).alias("asks"))
-    load = load.join(own.select(F.col("label").alias("other"), "members").distinct(), "other").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    ask = asked.join(load, "other").withColumn("x", slot("node", F.col("asks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.select(*[F.col(c).alias(c) for c in ("node", "label", "members", "other")])
+    load = members.groupBy("other").agg(F.max(F.struct("members", "label")).alias("most"), F.count("*").alias("all"))
+    load = load.select("other", F.col("most.label").alias("largest"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most.members")) / BLOCK).alias("asks"))
+    load = written(load, "near-load")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    met = members.join(load, "other")
+    ask = met.where("label <> largest").withColumn("x", slot("node", F.col("asks"))).withColumn("y", upto("blocks"))
     ask = ask.select("other", "x", "y", "node").join(texts, "node")
-    member = own.select("node", F.col("label").alias("other")).join(load, "other").withColumn("y", slot("node", F.col("blocks"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
+    member = met.withColumn("y", slot("node", F.col("blocks"))).withColumn("x", upto("asks"))
     member = member.select("other", "x", "y", "node").join(texts, "node")
     own_names = lambda df: df.select(*[F.col(c).alias(c) for c in ("other", "x", "y", "node", "text")])
     ask, member = own_names(ask), own_names(member)  # both come from the same tables
