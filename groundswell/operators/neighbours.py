@@ -40,10 +40,9 @@ def nearest(probes: DataFrame, build: DataFrame, k: int, dims: list[str], payloa
     edge = edge or first
     if all(t in ("bigint", "int") for c, t in build.dtypes if c in dims):
         edge = math.ceil(edge)
-    spark = probes.sparkSession
-    left, done = probes.select("point_id", *dims), []
+    left, done = written(probes.select("point_id", *dims), "probes"), []  # read in every round
     extra = [payload] if payload else []
-    other = build.select(F.col("point_id").alias("near_id"), *[F.col(d).alias(f"o_{d}") for d in dims], *[F.col(p).alias(f"o_{p}") for p in extra])
+    other = written(build.select(F.col("point_id").alias("near_id"), *[F.col(d).alias(f"o_{d}") for d in dims], *[F.col(p).alias(f"o_{p}") for p in extra]), "build")
     total = None
     while True:
         last = edge > extent
