@@ -1,77 +1,130 @@
-"""Nearest neighbours by bucket and verify, height above ground, and statistical outliers.
+"""Nearest neighbours by block and verify, height above ground, and statistical outliers.
 
-Probes meet the build side in their own and the adjacent buckets (3^d equi-join keys), pairs farther than the bucket's edge are
-dropped: within the edge the ring is complete. Probes with enough neighbours are done; the others try again with edges
-twice as long, until the edge spans the extent. So isolated points cost a few more rounds of few probes, and none is left out.
-Rounds are written tables. A bucket's edge starts from the density, so it holds a few points at any scale.
+Probes are grouped by square blocks, build points by the blocks within a halo of them; a task finds neighbours in its block with
+dense distances between small boxes and what surrounds them (boxes are halved until few points are in them, so dense places
+cost no more a point). A probe is done when its k-th neighbour is no farther than what was searched around it. The others try
+again with blocks and halos four times as wide, until the halo spans the extent: isolated points cost a few rounds of few probes, and
+none is left out. Rounds are written tables. A block's edge starts from the density, so it holds some thousand points at any scale.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundswell.model import GROUND_CLASS, NOISE_CLASS, OUTLIER_K, OUTLIER_MULTIPLIER, require
-from groundswell.session import written
-
-
-def _edge(build: DataFrame, dims: list[str], per_bucket: float) -> tuple[float, float]:
-    """An edge whose bucket holds about ``per_bucket`` points, and the extent. Heights count by their central spread."""
-    r = build.agg(F.count("*").alias("n"), *[f(d).alias(f"{name}_{d}") for d in dims for name, f in (("lo", F.min), ("hi", F.max))], F.percentile_approx(dims[-1], F.array(F.lit(0.05), F.lit(0.95)), 1000).alias("mid")).first()
-    if not r["n"]:
-        return 1.0, 0.0
-    spans = [float(r[f"hi_{d}"] - r[f"lo_{d}"]) for d in dims]
-    used = spans[:2] + [max(1e-9, float(r["mid"][1] - r["mid"][0]))] * (len(dims) - 2)
-    volume = math.prod(max(s, 1e-9) for s in used)
-    return max(1e-9, (volume * per_bucket / r["n"]) ** (1 / len(dims))), max(spans)
-
-
-def _bucket(dims: list[str], edge: float, shift: Column | None = None) -> list[Column]:
-    return [F.floor(F.col(d) / F.lit(edge)).cast("long").alias(f"b{k}") for k, d in enumerate(dims)]
-
-
-def nearest(probes: DataFrame, build: DataFrame, k: int, dims: list[str], payload: str | None = None, edge: float | None = None, per_bucket: float = 3.0) -> DataFrame:
-    """(point_id, rank, d2, near_id[, payload]) of the k nearest others of each probe, ties by id."""
-    first, extent = _edge(build, dims, per_bucket)
-    r = probes.select(*dims).unionByName(build.select(*dims)).agg(*[F.max(d) - F.min(d) for d in dims]).first()
-    extent = max([extent, *(float(v) for v in r if v is not None)])  # probes may lie outside
-    edge = edge or first
-    if all(t in ("bigint", "int") for c, t in build.dtypes if c in dims):
-        edge = math.ceil(edge)
-    left, done = written(probes.select("point_id", *dims), "probes"), []  # read in every round
+from groundswell.session import importable, written
+
+
+PER_BLOCK = 1024
+CELLS_AT_ONCE = 1 << 20
+
+
+def _search(k: int, dims: list[str], kind: type, payload: str | None, halo, last: bool):
+    """Neighbours within a block: (point_id, rank, d2, near_id[, payload]) of the probes that are done."""
+    far = np.iinfo(np.int64).max if kind is np.int64 else np.inf
+
+    def run(key, probes, build):
+        pid, qid = probes["point_id"].to_numpy(), build["near_id"].to_numpy()
+        p = np.stack([probes[d].to_numpy().astype(kind) for d in dims], axis=1)
+        q = np.stack([build[f"o_{d}"].to_numpy().astype(kind) for d in dims], axis=1) if build.num_rows else np.empty((0, len(dims)), kind)
+        found: list[tuple] = []
+
+        def dense(idx, cand, reach, final):
+            """Neighbours of ``idx`` among ``cand``, which has all within ``reach``; the probes that need more."""
+            left = []
+            for at in range(0, len(idx), step := max(1, CELLS_AT_ONCE // max(1, len(cand)))):
+                rows = idx[at : at + step]
+                d = np.zeros((len(rows), len(cand)), kind)
+                for j in range(len(dims)):
+                    one = p[rows, j][:, None] - q[cand, j][None, :]
+                    d += one * one
+                d[pid[rows][:, None] == qid[cand][None, :]] = far
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1] if len(cand) >= k else np.full(len(rows), far)
+                done = np.ones(len(rows), bool) if final else edge <= reach * reach
+                left.append(rows[~done])
+                r, c = np.nonzero((d <= edge[:, None]) & (d < far) & done[:, None])
+                order = np.lexsort((qid[cand[c]], d[r, c], r))
+                r, c = r[order], c[order]
+                rank = np.arange(len(r)) - np.searchsorted(r, r)
+                r, c, rank = r[rank < k], c[rank < k], rank[rank < k]
+                found.append((rows[r], rank + 1, d[r, c], cand[c]))
+            return left
+
+        def halved(idx, cand, reach, final):
+            if len(idx) > 128 and len(cand) > 1024:
+                box = p[idx, :2]
+                axis = int(np.argmax(np.ptp(box, axis=0)))
+                order = np.argpartition(box[:, axis], len(idx) // 2)
+                left = []
+                for half in (order[: len(idx) // 2], order[len(idx) // 2 :]):
+                    own = idx[half]
+                    lo, hi = p[own, :2].min(axis=0) - reach, p[own, :2].max(axis=0) + reach
+                    near = cand[(q[cand, 0] >= lo[0]) & (q[cand, 0] <= hi[0]) & (q[cand, 1] >= lo[1]) & (q[cand, 1] <= hi[1])]
+                    if len(own) == len(idx) or (len(near) == len(cand) and np.ptp(p[own, :2], axis=0).max() == 0):
+                        left += dense(own, near, reach, final)
+                    else:
+                        left += halved(own, near, reach, final)
+                return left
+            return dense(idx, cand, reach, final)
+
+        todo = np.arange(len(pid))
+        span = np.ptp(p[:, :2], axis=0).max() if len(pid) else 0
+        reach = max(span * math.sqrt(4 * k / max(1, len(qid))), 1e-9 if kind is float else 1)
+        while len(todo):
+            wide = reach >= halo
+            reach = halo if wide else kind(reach)
+            left = halved(todo, np.arange(len(qid)), reach, wide and last)
+            todo = np.concatenate(left) if left else np.empty(0, np.int64)
+            if wide:
+                break
+            reach *= 2
+        rows, rank, d2, near = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 4
+        cols = {"point_id": pid[rows.astype(np.int64)], "rank": pa.array(rank, pa.int32()), "d2": pa.array(d2.astype(kind)), "near_id": qid[near.astype(np.int64)]}
+        if payload:
+            cols[payload] = build[f"o_{payload}"].take(pa.array(near.astype(np.int64)))
+        return pa.table(cols)
+
+    return run
+
+
+def nearest(probes: DataFrame, build: DataFrame, k: int, dims: list[str], payload: str | None = None, edge: float | None = None, per_block: int = PER_BLOCK) -> DataFrame:
+    """(point_id, rank, d2, near_id[, payload]) of the k nearest others of each probe, ties by id. ``edge``: of the first blocks."""
+    importable(probes.sparkSession)
+    kinds = dict(build.dtypes)
+    whole = all(kinds[d] in ("bigint", "int") for d in dims)
     extra = [payload] if payload else []
+    left, done = written(probes.select("point_id", *dims), "probes"), []  # read in every round
     other = written(build.select(F.col("point_id").alias("near_id"), *[F.col(d).alias(f"o_{d}") for d in dims], *[F.col(p).alias(f"o_{p}") for p in extra]), "build")
-    total = None
+    ends = [f(d).alias(f"{n}{j}") for j, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    both = left.select(*dims).unionByName(other.select(*[F.col(f"o_{d}").alias(d) for d in dims])).agg(*ends).first()
+    spans = [float((both[f"hi{j}"] or 0) - (both[f"lo{j}"] or 0)) for j in range(len(dims))]
+    number = other.count()
+    extent = max(spans[:2])  # blocks and halos are in the plane
+    edge = edge or max(math.sqrt(max(spans[0], 1e-9) * max(spans[1], 1e-9) * per_block / max(1, number)), 1e-9)
+    schema = f"point_id long, rank int, d2 {'long' if whole else 'double'}, near_id long" + "".join(f", {p} {kinds[p]}" for p in extra)
+    cell = lambda c: F.floor(c / F.lit(edge)).cast("long")
     while True:
-        last = edge > extent
-        steps = F.sequence(F.lit(-1), F.lit(1))
-        asks = left.select("*", *_bucket(dims, edge))
-        for j in range(len(dims)):
-            asks = asks.withColumn("s", F.explode(steps)).withColumn(f"b{j}", F.col(f"b{j}") + F.col("s")).drop("s")
-        there = other.select("*", *[F.floor(F.col(f"o_{d}") / F.lit(edge)).cast("long").alias(f"b{j}") for j, d in enumerate(dims)])
-        d2 = sum(((F.col(d) - F.col(f"o_{d}")) * (F.col(d) - F.col(f"o_{d}")) for d in dims), F.lit(0))
-        pairs = asks.join(there, [f"b{j}" for j in range(len(dims))]).where(F.col("point_id") != F.col("near_id")).withColumn("d2", d2)
-        if not last:
-            pairs = pairs.where(F.col("d2") <= F.lit(edge) * F.lit(edge))
-        if k == 1:
-            best = pairs.groupBy("point_id").agg(F.min(F.struct("d2", "near_id", *[f"o_{p}" for p in extra])).alias("m"))
-            ranked = best.select("point_id", F.lit(1).alias("rank"), "m.*")
-        else:
-            order = Window.partitionBy("point_id").orderBy("d2", "near_id")
-            ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        ranked = written(ranked.select("point_id", "rank", "d2", "near_id", *[F.col(f"o_{p}").alias(p) for p in extra]), "neighbours")
+        if whole:
+            edge = math.ceil(edge / 4) * 4
+        halo = edge // 4 if whole else edge / 4
+        last = halo > extent
+        asks = left.withColumn("bx", cell(F.col(dims[0]))).withColumn("by", cell(F.col(dims[1])))
+        around = lambda c: F.explode(F.sequence(cell(c - F.lit(halo)), cell(c + F.lit(halo))))
+        there = other.withColumn("bx", around(F.col(f"o_{dims[0]}"))).withColumn("by", around(F.col(f"o_{dims[1]}")))
+        run = _search(k, dims, np.int64 if whole else float, payload, halo, last)
+        found = written(asks.groupBy("bx", "by").cogroup(there.groupBy("bx", "by")).applyInArrow(run, schema), "neighbours")
+        done.append(found)
         if last:
-            done.append(ranked)
             break
-        full = ranked.where(F.col("rank") == k).select("point_id")
-        done.append(ranked.join(full, "point_id", "left_semi"))
-        left = written(left.join(full, "point_id", "left_anti"), "unresolved")
-        total = left.count()
-        if not total:
+        left = written(left.join(found.select("point_id").distinct(), "point_id", "left_anti"), "unresolved")
+        if not left.count():
             break
-        edge *= 2
+        edge *= 4
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
