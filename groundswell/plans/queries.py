@@ -313,7 +313,7 @@ def nodata_mask(spark, sf_dir):
 
 
 STACK = f"""{FILLED}, {FOCAL}, {VEG}, cv AS MATERIALIZED (SELECT "row", col, chm AS value FROM vg), {fill_sql("cf", "cv", 3, 6)},
-st AS MATERIALIZED (SELECT c."row", c.col, df.value AS dtm, cf.value AS chm, greatest(-{LIM}.0, least({LIM}.0, coalesce(fo.value, 0.0) - med))::DOUBLE AS mrm, {VDI} AS vdi
+st AS MATERIALIZED (SELECT c."row", c.col, df.value AS dtm, cf.value AS chm, greatest(-{LIM}.0, least({LIM}.0, coalesce(fo.value, 0.0) - med))::DOUBLE AS mrm, coalesce({VDI}, 0.1) AS vdi
 FROM df_all c LEFT JOIN df USING ("row", col) LEFT JOIN cf USING ("row", col) LEFT JOIN fo USING ("row", col) LEFT JOIN vg USING ("row", col))"""
 
 
