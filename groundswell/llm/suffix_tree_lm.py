@@ -19,7 +19,8 @@ Data flow: nothing of the tree is collected or broadcast, it is as large as the
 4. Chunks sum their tokens' scores by document.
 
 An entry is sent once a chunk, so a word or phrase of a third of all documents is as many entries as there are chunks.
-Symbols go by 64-bit hashes of words; pairs by 40 bits of the context and 24 of the symbol; p' by eighths of a nat, in the test only.
+Symbols go by 64-bit hashes of words; pairs by 40 bits of the context and 24 of the symbol; p' by eighths of a nat, in the test only. ``docs`` should be a table read from files: its splits number the
+chunks, and a pass that saw others is refused.
 
 Cases: null and empty texts are the end symbol alone; a null id counts as the text without characters for the fold; repeated rows
 each give a row; with no training rows all counts are 0; long texts are used whole; an empty table gives no rows; other columns
@@ -77,17 +78,25 @@ ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("answer", pa
 ANSWERS = "chunk long, bucket long, answer binary"
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbered(batches: Iterator[pa.RecordBatch]):
+    """Chunks: number, rows, word hashes ascending, each word's number, offsets, whether each row teaches."""
     number = TaskContext.get().partitionId() << 32
     for part in slices(batches, most=CHUNK_BYTES):
         codes, names, offsets = split_words(texts_of(part), lower=True)
-        prints, codes = np.unique(word_hashes(names)[codes], return_inverse=True)
+        used = np.flatnonzero(np.bincount(codes, minlength=len(names)))
+        prints, of = np.unique(word_hashes(names.take(pa.array(used))), return_inverse=True)
+        place = np.zeros(len(names) + 1, np.int32)
+        place[used] = of
+        yield number, part, prints, place[codes], offsets, part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        number += 1
+
+
+def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for number, part, prints, codes, offsets, train in _numbered(batches):
         ids = part.column("doc_id")
         ids = np.append(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False))
-        train = part.column("train").to_numpy(zero_copy_only=False).astype(bool).tobytes()
-        row = [number, planes(ids), train, planes(np.diff(offsets)), planes(codes, "<i4"), ascending(prints)]
+        row = [number, planes(ids), train.tobytes(), planes(np.diff(offsets)), planes(codes, "<i4"), ascending(prints)]
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), *[pa.binary()] * 5])], names=[x.split()[0] for x in CHUNKS.split(", ")])
-        number += 1
 
 
 class Chunk:
@@ -108,10 +117,6 @@ class Chunk:
         self.symbol = np.append(self.prints, END)[self.code]
         self.teaches = self.train[self.doc]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct word hashes and their training counts."""
-        return self.prints, np.bincount(self.code, weights=self.teaches, minlength=len(self.prints) + 1)[:-1].astype(np.int64)
-
     def context(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k symbols before each, and whether there are as many (the start counts as one)."""
         first = np.repeat(self.at_end - self.sizes + 1, self.sizes)
@@ -134,11 +139,12 @@ def _cut(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, often: np.
 
 
 def _send_words(bits: int):
+    """The distinct words of each chunk with their training counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = Chunk(row)
-                yield from pa.Table.from_pylist(_cut(own.number, *own.words(), bits), schema=SENT).to_batches()
+        for number, _, prints, codes, offsets, train in _numbered(batches):
+            counts = np.bincount(codes, weights=np.repeat(train, np.diff(offsets)), minlength=len(prints)).astype(np.int64)
+            yield from pa.Table.from_pylist(_cut(number, prints, counts, bits), schema=SENT).to_batches()
 
     return run
 
@@ -273,6 +279,13 @@ def _score(model: Model):
     return run
 
 
+def _hold_splits(spark) -> None:
+    """Chunks are numbered by input split, in two passes: splits mustn't follow the number of executors, which may change between."""
+    key = "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def trained_on(id_col: str = "doc_id", folds: int = 10) -> Column:
     """Whether a document teaches: crc32 of its id as text modulo ``folds`` is not 0."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != 0
@@ -280,13 +293,14 @@ def trained_on(id_col: str = "doc_id", folds: int = 10) -> Column:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, longest: int = 2) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    _hold_splits(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     teach = F.coalesce(trained_on(id_col) if train is None else train, F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), teach.alias("train"))
     size, ends = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     bits = salt_bits(size // 8, BUCKET_ENTRIES)
     chunks = base.mapInArrow(_chunk, CHUNKS)
-    words = chunks.mapInArrow(_send_words(bits), SENTS).groupBy("bucket")
+    words = base.mapInArrow(_send_words(bits), SENTS).groupBy("bucket")
     roots = written(words.applyInArrow(_count_words, ROOTS), "lm-roots")
     known, total = roots.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     model = Model(total + ends, known + (ends > 0), ends, longest, bits)
