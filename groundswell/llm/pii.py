@@ -79,10 +79,11 @@ def matches(texts: DataFrame, key: str) -> DataFrame:
     some = texts.where(text.rlike("[0-9@]"))
     rows = some.select(key, F.explode(F.array(*found)).alias("x")).where(F.size("x.values") > 0)
     rows = rows.select(key, "x.kind", "x.rule", F.posexplode(F.arrays_zip(F.col("x.pieces").alias("piece"), F.col("x.values").alias("value"))).alias("at", "m"))
-    rows = rows.select(key, "kind", "rule", "at", F.col("m.piece").alias("piece"), F.col("m.value").alias("value"))
+    piece = F.col("m.piece")  # of the text between matches only its length and ends are shuffled
+    rows = rows.select(key, "kind", "rule", "at", F.length(piece).alias("gap"), F.substring(piece, -24, 24).alias("before"), F.substring(piece, 1, 1).alias("first"), F.col("m.value").alias("value"))
     own = Window.partitionBy(key, "kind", "rule").orderBy("at")
-    upto = F.sum(F.length("piece") + F.coalesce(F.length("value"), F.lit(0))).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("end", upto).withColumn("after", F.substring(F.coalesce(F.lead("piece").over(own), F.lit("")), 1, 1)).where("value IS NOT NULL")
+    upto = F.sum(F.col("gap") + F.coalesce(F.length("value"), F.lit(0))).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("end", upto).withColumn("after", F.coalesce(F.lead("first").over(own), F.lit(""))).where("value IS NOT NULL")
     rows = rows.withColumn("start", F.col("end") - F.length("value"))
     n = F.length(F.regexp_replace("value", "[^0-9]", ""))
     keep = F.when(F.col("rule"), _valid(F.col("kind"), F.col("value"))).when(F.col("kind").isin("card", "phone"), n.between(7, 24)).otherwise(True)
@@ -94,8 +95,8 @@ def matches(texts: DataFrame, key: str) -> DataFrame:
             F.when(n < 7, 0).when(n < 10, 1).when(n <= 11, 2).when(n <= 13, 3).when(n == 14, 4).when(n == 15, 5).when(n == 16, 6).when(n <= 19, 7).when(n <= 21, 8).otherwise(9).alias("digits"),
             (sign("+", 1) + sign("(", 2) + sign(" ", 4) + sign("-", 8) + sign(".", 16)).alias("signs"),
             F.least(F.size(F.split("value", r"[.,_]")), F.lit(FEATURES["parts"])).alias("parts") - 1,
-            _class(F.substring("piece", -1, 1)).alias("before"), _class(F.col("after")).alias("after"),
-            F.when(F.substring("piece", -24, 24).rlike(WORDS), 1).otherwise(0).alias("word"),
+            _class(F.substring("before", -1, 1)).alias("before"), _class(F.col("after")).alias("after"),
+            F.when(F.col("before").rlike(WORDS), 1).otherwise(0).alias("word"),
         ).cast(", ".join(["struct<" + ", ".join(f"{f}:int" for f in FEATURES) + ">"])).alias("features"),
     )
 
