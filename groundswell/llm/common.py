@@ -25,6 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def hold_splits(spark: SparkSession) -> None:
+    """For operators that number rows by input split in two scans: splits mustn't follow the number of executors, which may change."""
+    key = "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or a longer form that no column of ``df`` has (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import hold_splits
+
 KINDS = ["email", "ip", "card", "phone"]
 #: Same matches as the rules' own patterns: the look-behinds skip starts within a run that can only fail like its first.
 RULES = {
@@ -180,6 +182,7 @@ def _score(trees: list[tuple]) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.95, rounds: int = 30) -> DataFrame:
     """One row a document: doc_id, base and spans: arrays of (start, number, end) in order, number the kind's place from 1."""
+    hold_splits(docs.sparkSession)  # rows are numbered by split, in two scans of the table
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
     found = matches(base.select("row", "text"), "row")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from groundswell.session import written
 
-from .common import mix64, salt_bits, slices, split_words, texts_of, word_hashes
+from .common import hold_splits, mix64, salt_bits, slices, split_words, texts_of, word_hashes
 
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -279,13 +279,6 @@ def _score(model: Model):
     return run
 
 
-def _hold_splits(spark) -> None:
-    """Chunks are numbered by input split, in two passes: splits mustn't follow the number of executors, which may change between."""
-    key = "spark.sql.files.minPartitionNum"
-    if not spark.conf.get(key, None):
-        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
-
-
 def trained_on(id_col: str = "doc_id", folds: int = 10) -> Column:
     """Whether a document teaches: crc32 of its id as text modulo ``folds`` is not 0."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != 0
@@ -293,7 +286,7 @@ def trained_on(id_col: str = "doc_id", folds: int = 10) -> Column:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, longest: int = 2) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    _hold_splits(docs.sparkSession)
+    hold_splits(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     teach = F.coalesce(trained_on(id_col) if train is None else train, F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), teach.alias("train"))
