@@ -161,7 +161,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     patterns = (numbers[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
     post, _ = label_model(patterns, np.array([r["count"] for r in seen], float)) if len(seen) else (np.empty(0), None)
     posterior = dict(zip(numbers.tolist(), post.tolist()))
-    taken = base.orderBy(F.xxhash64(F.lit(29), "doc_id", "text"), "doc_id").limit(sample).select("text")
+    hashed = base.withColumn("hash", F.xxhash64(F.lit(29), "doc_id", "text"))
+    last = hashed.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]  # hashes only: texts stay where they are
+    taken = hashed.where(F.col("hash") <= F.lit(last)).orderBy("hash", "doc_id").limit(sample).select("text")
     rows = taken.mapInArrow(_taught(width, posterior), "cols array<long>, vals array<double>, target double").toPandas()
     number = rows["cols"].map(len).to_numpy() if len(rows) else np.empty(0, np.int64)
     flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in rows[c]]) if len(rows) else np.empty(0, kind)
