@@ -186,7 +186,7 @@ def _packer(path: str, window: int, end_id: int, piece: int, group_tokens: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
             rows, items, held = [], [], 0
 
-        for part in slices(batches):
+        for part in slices(batches, most=8 << 20):
             flat, upto = encode(texts_of(part), path)
             for k, doc in enumerate(part.column(0).to_pylist()):
                 ids = np.append(flat[upto[k] : upto[k + 1]], np.uint32(end_id)).astype("<u4")
