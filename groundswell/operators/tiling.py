@@ -73,8 +73,8 @@ def tile_assign(cells: DataFrame, height: int, width: int, tile: int = TILE, str
     for axis, size, t, o in (("row", height, "ty", "i"), ("col", width, "tx", "j")):
         last = len(starts(size, tile, stride, drop_border)) - 1
         low = F.greatest(F.lit(0), F.expr(f"cast(floor(({axis} - {tile}) / {stride}) + 1 as int)"))
-        cells = cells.withColumn("_k", F.sequence(F.lit(0), F.lit(last))).withColumn("_a", low).withColumn("_b", F.least(F.lit(last), F.expr(f"cast({axis} div {stride} as int)"))).where("_a <= _b")
-        cells = cells.withColumn(t, F.explode(F.sequence("_a", "_b"))).drop("_k", "_a", "_b").withColumn(o, (F.col(axis) - F.col(t) * stride).cast("int"))
+        cells = cells.withColumn("_a", low).withColumn("_b", F.least(F.lit(last), F.expr(f"cast({axis} div {stride} as int)"))).where("_a <= _b")
+        cells = cells.withColumn(t, F.explode(F.sequence("_a", "_b"))).drop("_a", "_b").withColumn(o, (F.col(axis) - F.col(t) * stride).cast("int"))
     return cells
 
 
@@ -208,5 +208,3 @@ def _predicted(cells: DataFrame, bands: list[str], tile: int, stride: int, borde
         blocks = blocks.withColumn("_a", low).withColumn("_b", F.least(F.lit(n - 1), F.floor(F.col(b) / step).cast("int"))).where("_a <= _b").withColumn(t, F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
     parts = blocks.groupBy("ty", "tx").applyInArrow(to_tile, "by int, bx int, up binary, down binary")
     return parts.groupBy("by", "bx").applyInArrow(add, "row int, col int, value double")
-
-
