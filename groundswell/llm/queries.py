@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, pii, quality, substring_dedup, suffix_tree_lm
 from .common import documents
