@@ -1,13 +1,13 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a weighted set: its shingles of ``words`` words, hashed to ``1 << width`` terms, with their counts. For each of
+A text is a weighted set: its shingles of ``words`` words, by their 64-bit hashes (terms), with their counts. For each of
 ``samples`` draws a term of weight w has r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1), fixed by term and draw; with
 t = floor(ln w / r + b) and y = exp(r (t - b)) its rank is a = c / (y exp(r)), and the least rank of the text is its sample
 (Ioffe's scheme). Two texts agree in a sample with probability sum min(w) / sum max(w), the generalised Jaccard
 similarity; a rank stands for its (term, t), so a fingerprint is ``samples`` 16-bit hashes of least ranks in hexadecimal.
 
-Each text is fingerprinted in one pass without a shuffle. Ranks at weight 1 are a table a worker (``samples`` << ``width``
-floats, 64 MB as set); the others are drawn when they are met.
+Each text is fingerprinted in one pass without a shuffle. Ranks are drawn when a term is met at a weight; a worker keeps those last
+met in ``1 << width`` slots (``samples`` floats each, 64 MB as set), keyed by the whole hash, which changes no result.
 
 Cases: null counts as empty; empty and wordless texts have the fingerprint of zeros, alike only to each other; fewer words
 than a shingle are one term; long texts are used whole; equal texts have equal fingerprints anywhere; repeated rows
@@ -28,13 +28,16 @@ from pyspark.sql import functions as F
 from .common import mix64, slices, split_words, word_hashes
 
 SEED = np.uint64(0x51ED270B7A1F3C2D)
-_TABLES: dict = {}
+STEP = np.uint64(0x9E3779B97F4A7C15)
+_KEPT: dict = {}
 
 
 def _draws(term: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, c and b of each term, a row a term."""
-    base = term.astype(np.uint64)[:, None] * np.uint64(samples) + np.arange(samples, dtype=np.uint64)[None, :]
-    unit = [((mix64(base * np.uint64(8) + np.uint64(j) + SEED) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24) for j in range(5)]
+    """r, c and b of each term, a row a term: 24 bits for each uniform from two words of the stream that the term starts."""
+    base = (term.astype(np.uint64) ^ SEED)[:, None] + np.arange(2, 2 * samples + 2, 2, dtype=np.uint64)[None, :] * STEP
+    x, y = mix64(base), mix64(base + STEP)
+    low, u24 = np.uint64((1 << 24) - 1), lambda v: (v.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    unit = [u24(v) for v in (x >> np.uint64(40), (x >> np.uint64(16)) & low, y >> np.uint64(40), (y >> np.uint64(16)) & low, ((x & np.uint64(0xFFFF)) << np.uint64(8)) | (y & np.uint64(0xFF)))]
     return -np.log(unit[0] * unit[1]), -np.log(unit[2] * unit[3]), unit[4]
 
 
@@ -45,24 +48,35 @@ def ranks(term: np.ndarray, weight: np.ndarray, samples: int) -> np.ndarray:
     return c * np.exp(r * (b - t - np.float32(1)))
 
 
-def _ones(samples: int, width: int) -> np.ndarray:
-    if (samples, width) not in _TABLES:
-        table = np.empty((1 << width, samples), np.float32)
-        for a in range(0, 1 << width, 4096):
-            term = np.arange(a, min(a + 4096, 1 << width))
-            table[term] = ranks(term, np.ones(len(term)), samples)
-        _TABLES[samples, width] = table
-    return _TABLES[samples, width]
-
-
-def _lower(out: np.ndarray, text: np.ndarray, values) -> None:
-    """Take the least of the rows of each text (ascending) into ``out``; ``values`` gives rows [a, b)."""
-    for a in range(0, len(text), 1 << 15):
-        b = min(a + (1 << 15), len(text))
-        own = text[a:b]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        who = own[first]
-        out[who] = np.minimum(out[who], np.minimum.reduceat(values(a, b), first, axis=0))
+def _kept(samples: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A worker's slots: which are used, their keys, their ranks."""
+    if (samples, width) not in _KEPT:
+        _KEPT[samples, width] = np.zeros(1 << width, bool), np.zeros(1 << width, np.uint64), np.empty((1 << width, samples), np.float32)
+    return _KEPT[samples, width]
+
+
+def _least(text: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, samples: int, width: int) -> np.ndarray:
+    """The least ranks of each text (ascending), a bounded block of terms at a time."""
+    out = np.full((rows, samples), np.inf, np.float32)
+    used, keys, table = _kept(samples, width)
+    key = np.where(weight == 1, term, mix64(term + STEP * weight.astype(np.uint64)))
+    block = max(1, (1 << 21) // samples)
+    for a in range(0, len(text), block):
+        own, slot = key[a : a + block], (key[a : a + block] >> np.uint64(64 - width)).astype(np.int64)
+        new = np.flatnonzero(~used[slot] | (keys[slot] != own))
+        values = table[slot]
+        if len(new):
+            _, first, which = np.unique(own[new], return_index=True, return_inverse=True)
+            first = new[first]
+            drawn = np.concatenate([ranks(term[a + first[k : k + 1024]], weight[a + first[k : k + 1024]], samples) for k in range(0, len(first), 1024)])
+            values[new] = drawn[which]
+            to, one = np.unique(slot[first], return_index=True)
+            used[to], keys[to], table[to] = True, own[first[one]], drawn[one]
+        here = text[a : a + block]
+        start = np.flatnonzero(np.diff(here, prepend=-1))
+        who = here[start]
+        out[who] = np.minimum(out[who], np.minimum.reduceat(values, start, axis=0))
+    return out
 
 
 def fingerprint(texts: pa.Array, words: int, samples: int, width: int) -> np.ndarray:
@@ -77,23 +91,12 @@ def fingerprint(texts: pa.Array, words: int, samples: int, width: int) -> np.nda
         run = np.where(k < length, run * np.uint64(0x9E3779B97F4A7C15) + flat[np.minimum(np.arange(len(flat)) + k, max(0, len(flat) - 1))], run)
     text = np.repeat(np.arange(len(sizes)), number)
     place = np.repeat(offsets[:-1] - (np.cumsum(number) - number), number) + np.arange(len(text))
-    term = (mix64(run[place]) >> np.uint64(64 - width)).astype(np.int64)
-    key = np.sort((text << width) | term)
+    coded = pa.array(mix64(run[place])).dictionary_encode()
+    terms, deep = coded.dictionary.to_numpy(), max(1, len(coded.dictionary).bit_length())
+    key = np.sort((text << deep) | coded.indices.to_numpy().astype(np.int64))
     first = np.flatnonzero(np.diff(key, prepend=-1))
     weight = np.diff(np.append(first, len(key)))
-    text, term = key[first] >> width, key[first] & ((1 << width) - 1)
-    out = np.full((len(sizes), samples), np.inf, np.float32)
-    table, one = _ones(samples, width), weight == 1
-    own = term[one]
-    _lower(out, text[one], lambda a, b: table[own[a:b]])
-    many, which = np.unique(np.stack([term[~one], weight[~one]]), axis=1, return_inverse=True) if (~one).any() else (None, None)
-    if many is not None:
-        which = which.ravel()
-        for a in range(0, many.shape[1], 1 << 15):  # a block of (term, weight) at a time
-            block = ranks(many[0, a : a + (1 << 15)], many[1, a : a + (1 << 15)], samples)
-            here = (which >= a) & (which < a + len(block))
-            at = which[here] - a
-            _lower(out, text[~one][here], lambda x, y, block=block, at=at: block[at[x:y]])
+    out = _least(key[first] >> deep, terms[key[first] & ((1 << deep) - 1)], weight, len(sizes), samples, width)
     marks = mix64(out.view(np.uint32).astype(np.uint64)).astype(np.uint16)
     marks[number == 0] = 0
     return marks
@@ -132,8 +135,9 @@ def _edit(words: int, samples: int, width: int):
         after = [*texts[1:], ending[1]]
         halves = [len(t) // 2 for t in texts]
         edited = [t[: len(t) - h] + n[:h] for t, n, h in zip(texts, after, halves)]
-        own = fingerprint(pa.array([*texts, ending[1]], pa.large_string()), words, samples, width)
-        new = fingerprint(pa.array(edited, pa.large_string()), words, samples, width)
+        both = [t for pair in zip(texts, edited) for t in pair]  # side by side: they share most of their terms
+        marks = fingerprint(pa.array([*both, ending[1]], pa.large_string()), words, samples, width)
+        own, new = marks[::2], marks[1::2]
         return pa.RecordBatch.from_arrays([
             pa.array([i for i, _ in rows], pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
             pa.array(_hex(own[:-1])), pa.array(_hex(new)), pa.array(likeness(own[:-1], new)), pa.array(likeness(own[:-1], own[1:])),

@@ -244,6 +244,23 @@ def test_collision_rate_is_generalised_jaccard():
         assert abs(fingerprints.likeness(marks[a : a + 1], marks[a + 1 : a + 2])[0] - want) < 0.08
 
 
+def test_likeness_of_long_texts_is_not_inflated():
+    import pyarrow as pa
+
+    said = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    marks = fingerprints.fingerprint(pa.array([said(0, 100_000), said(100_000, 200_000), said(50_000, 150_000)], pa.large_string()), 2, 256, 12)
+    assert fingerprints.likeness(marks[:1], marks[1:2])[0] < 0.02  # nothing in common
+    assert abs(fingerprints.likeness(marks[:1], marks[2:])[0] - 1 / 3) < 0.1
+
+
+def test_ranks_kept_change_no_fingerprint():
+    import pyarrow as pa
+
+    r = random.Random(6)
+    texts = pa.array([" ".join(r.choice("abcdefghij") for _ in range(200)) + f" {k}" for k in range(40)], pa.large_string())
+    assert (fingerprints.fingerprint(texts, 3, 64, 2) == fingerprints.fingerprint(texts, 3, 64, 14)).all()
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.taken(docs, block=64).collect()
     sizes = [len(WORD.findall(t or "")) for _, t, *_ in rows]
