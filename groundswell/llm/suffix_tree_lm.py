@@ -7,15 +7,17 @@ A context is a state if its next-symbol counts diverge from its suffix's by a de
 estimate: each training occurrence is predicted from the others, and the gain in log-likelihood over the next shorter state must
 exceed the log of the context's count. So a context whose next symbols are all new teaches nothing, and one that repeats does.
 A state's probabilities are smoothed with the next shorter one's: p = (c + k p') / (n + k), where the context has n occurrences and
-k = n^(3/4). A symbol's score is that of the longest suffix that is a state. A context with more than ``CLASS`` occurrences is tested in
-hash classes of its next symbols, so that no task has all of a very frequent context.
+k = n^(3/4). A symbol's score is that of the longest suffix that is a state. The pairs of a context with ``CLASS`` occurrences or more are dealt out by
+hash classes of its next symbols, so that no task has all of a very frequent context; its classes' gains are summed and it is tested once.
 
-Data flow: nothing of the tree is collected or broadcast, it is as large as the corpus makes it.
+Data flow: the tree isn't collected, it is as large as the corpus makes it; the driver gets only which frequent contexts are states (fewer than
+one for ``CLASS`` tokens a length) and sends them with the next length's work. Each length is a job.
 1. A pass cuts the input into chunks: documents as word numbers, and the chunk's distinct word hashes. Texts aren't shuffled.
 2. Each chunk sends each bucket of hashes one sorted array with training counts and gets counts back: the root.
 3. Length by length, each chunk sends its distinct (context, symbol) pairs, by the context's hash, with training counts, the
-   context's n and the shorter state's probability; the bucket has all of a context (class), tests it, and answers with
-   1 + c, or 0 for no state.
+   context's n and the shorter state's probability; the bucket has all of a context, tests it, and answers with
+   1 + c, or 0 for no state. Of a frequent context it has a class: it answers with 1 + c and gives the class's gain, for
+   the sum by context.
 4. Chunks sum their tokens' scores by document.
 
 An entry is sent once a chunk, so a word or phrase of a third of all documents is as many entries as there are chunks.
@@ -35,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,8 +74,8 @@ def unascending(b: bytes) -> np.ndarray:
 
 
 CHUNKS = "chunk long, ids binary, train binary, tokens binary, codes binary, prints binary"
-SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("often", pa.binary()), ("shorter", pa.binary())])
-SENTS = "chunk long, bucket long, keys binary, counts binary, often binary, shorter binary"
+SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("often", pa.binary()), ("shorter", pa.binary()), ("whole", pa.binary())])
+SENTS = "chunk long, bucket long, keys binary, counts binary, often binary, shorter binary, whole binary"
 ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("answer", pa.binary())])
 ANSWERS = "chunk long, bucket long, answer binary"
 
@@ -128,16 +130,23 @@ class Chunk:
         return made, place >= k - 1
 
 
-def _cut(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, often: np.ndarray | None = None, shorter: np.ndarray | None = None) -> list[dict]:
-    """Ascending keys by bucket of their leading bits."""
+def _cut(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, often: np.ndarray | None = None, shorter: np.ndarray | None = None, whole: np.ndarray | None = None) -> list[dict]:
+    """Ascending keys by bucket of their leading bits; of ``whole`` (the keys' contexts) one a frequent class is sent."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else [0]
     return [
-        {"chunk": chunk, "bucket": int(bucket[a]), "keys": ascending(keys[a:b]), "counts": planes(counts[a:b], "<i4"), "often": None if often is None else planes(often[a:b], "<i4"), "shorter": None if shorter is None else planes(shorter[a:b], "u1")}
+        {"chunk": chunk, "bucket": int(bucket[a]), "keys": ascending(keys[a:b]), "counts": planes(counts[a:b], "<i4"), "often": None if often is None else planes(often[a:b], "<i4"), "shorter": None if shorter is None else planes(shorter[a:b], "u1"), "whole": None if whole is None else planes(whole[a:b][_classes(keys[a:b], often[a:b])[1]], "<u8")}
         for a, b in zip(edges[:-1], edges[1:])
     ]
 
 
+def _classes(keys: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of frequent contexts among ascending keys, and the place of each one's first key."""
+    at = np.flatnonzero(often)
+    names, first = np.unique(keys[at] >> NEXT_BITS, return_index=True)
+    return names, at[first]
+
+
 def _send_words(bits: int):
     """The distinct words of each chunk with their training counts."""
 
@@ -179,8 +188,14 @@ def weight_of(n):
     return n**0.75
 
 
+TESTED = ANSWERS + ", states long, contexts array<long>, gains array<double>, often array<long>"
+
+
 def _test_contexts(key, table):
-    """Which contexts of a bucket are states: 1 + c for the pairs of a state, 0 for others."""
+    """1 + c for the pairs of a state or of a frequent context, 0 for others.
+
+    A bucket's first answer has the number of its states, and the frequent contexts with their gains here and their n.
+    """
     sizes, names, which, c = _gathered(table)
     p, sent = np.empty(len(names)), np.empty(len(names))
     p[which] = np.exp(np.concatenate([unplanes(x, "u1") for x in table["shorter"].to_pylist()]) / -NATS)
@@ -191,30 +206,45 @@ def _test_contexts(key, table):
     k = weight_of(n)
     left = (np.maximum(c - 1, 0) + k * p) / (n - 1 + k)
     gain = np.bincount(of, weights=c * (np.log(left) - np.log(p)))
-    state = (gain > np.log(n[first]))[of]
-    return _replies(table, sizes, np.where(state, c + 1, 0)[which])
+    parts = [_classes(unascending(k), unplanes(o, "<i4"))[0] for k, o in zip(table["keys"].to_pylist(), table["often"].to_pylist())]
+    classes, one = np.unique(np.concatenate(parts), return_index=True)
+    contexts = np.concatenate([unplanes(x, "<u8") for x in table["whole"].to_pylist()])[one]
+    place = of[np.searchsorted(names >> NEXT_BITS, classes)]
+    state, pending = gain > np.log(n[first]), np.zeros(len(first), bool)
+    pending[place] = True
+    made, rest = _replies(table, sizes, np.where((state | pending)[of], c + 1, 0)[which]), [None] * (len(sizes) - 1)
+    ends = ((int((state & ~pending).sum()), pa.int64()), (contexts.view(np.int64).tolist(), pa.list_(pa.int64())), (gain[place].tolist(), pa.list_(pa.float64())), (n[first][place].astype(np.int64).tolist(), pa.list_(pa.int64())))
+    for name, (x, kind) in zip(("states", "contexts", "gains", "often"), ends):
+        made = made.append_column(name, pa.array([x, *rest], kind))
+    return made
+
+
+def _verdicts(tested: DataFrame) -> np.ndarray:
+    """The frequent contexts that are states, ascending: the gains of a context's classes together exceed the log of its n."""
+    parts = tested.where("contexts IS NOT NULL").select(F.explode(F.arrays_zip("contexts", "gains", "often")).alias("x")).select("x.*")
+    sums = parts.groupBy("contexts").agg(F.sum("gains").alias("gain"), F.max("often").alias("n"))
+    return np.sort(np.array([r["contexts"] for r in sums.where("gain > ln(n)").select("contexts").collect()], np.int64).view(np.uint64))
 
 
 class Model:
     """What the workers need to go from a chunk and its answers to probabilities."""
 
-    def __init__(self, total: int, kinds: int, ends: int, longest: int, bits: int):
-        self.total, self.kinds, self.ends, self.longest, self.bits = total, kinds, ends, longest, bits
+    def __init__(self, total: int, kinds: int, ends: int, bits: int, frequent: int):
+        self.total, self.kinds, self.ends, self.bits, self.frequent = total, kinds, ends, bits, frequent
+        self.states: list[np.ndarray] = []  # by length: frequent contexts that are states
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.total + 0.1 * (self.kinds + 1))
 
-    def pairs(self, own: Chunk, k: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ascending distinct pairs of the contexts of length k that are seen twice, each symbol's place among them, or -1."""
+    def pairs(self, own: Chunk, k: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ascending distinct pairs of the contexts of length k that are seen twice; symbols that end one, their places among them, their contexts."""
         hashes, there = own.context(k)
         at = np.flatnonzero(there & (seen > 1))
         last = mix64(own.symbol[at])
-        part = last % (1 + seen[at] // CLASS).astype(np.uint64)
+        part = last % (1 + seen[at] // self.frequent).astype(np.uint64)
         key = (mix64(hashes[at] + part) >> NEXT_BITS << NEXT_BITS) | (last >> (np.uint64(64) - NEXT_BITS))
         keys, which = np.unique(key, return_inverse=True)
-        place = np.full(len(own.doc), -1)
-        place[at] = which
-        return keys, place, at
+        return keys, which, at, hashes[at]
 
     def upto(self, own: Chunk, answers, k: int):
         """Probabilities at the longest states of fewer than k symbols, root counts, how often each context of k symbols is seen."""
@@ -224,13 +254,13 @@ class Model:
         first = np.arange(len(own.doc)) == np.repeat(own.at_end - own.sizes + 1, own.sizes)
         seen = np.where(first, self.ends, np.concatenate([[0], root[:-1]]))  # the start is seen once a training text
         for j in range(1, k):
-            keys, place, at = self.pairs(own, j, seen)
+            keys, place, at, whole = self.pairs(own, j, seen)
             c = _joined(answers, j)
             if len(c) != len(keys):
                 raise ValueError(f"{len(c)} answers for {len(keys)} pairs")
-            got = np.flatnonzero(place >= 0)
-            c = c[place[got]]
-            here, c = got[c > 0], c[c > 0] - 1
+            c = c[place]
+            state = (c > 0) & ((seen[at] < self.frequent) | np.isin(whole, self.states[j - 1]))
+            here, c = at[state], c[state] - 1
             n = seen[here]
             k_ = weight_of(n.astype(float))
             p[here] = (c + k_ * p[here]) / (n + k_)
@@ -252,13 +282,14 @@ def _send_pairs(model: Model, k: int):
     def run(key, chunks, answers):
         own = Chunk(chunks.to_pylist()[0])
         p, _, seen = model.upto(own, answers, k)
-        keys, place, at = model.pairs(own, k, seen)
-        n = np.bincount(place[at], weights=own.teaches[at], minlength=len(keys)).astype(np.int64)
+        keys, place, at, context = model.pairs(own, k, seen)
+        n = np.bincount(place, weights=own.teaches[at], minlength=len(keys)).astype(np.int64)
         shorter = np.zeros(len(keys), np.uint8)
-        shorter[place[at]] = np.minimum(255, np.round(-np.log(p[at]) * NATS)).astype(np.uint8)
-        often = np.zeros(len(keys), np.int64)
-        often[place[at]] = np.where(seen[at] >= CLASS, seen[at], 0)  # else the bucket has all of the context and counts itself
-        return pa.Table.from_pylist(_cut(own.number, keys, n, model.bits, often, shorter), schema=SENT)
+        shorter[place] = np.minimum(255, np.round(-np.log(p[at]) * NATS)).astype(np.uint8)
+        often, whole = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
+        often[place] = np.where(seen[at] >= model.frequent, seen[at], 0)  # else the bucket has all of the context and counts itself
+        whole[place] = context
+        return pa.Table.from_pylist(_cut(own.number, keys, n, model.bits, often, shorter, whole), schema=SENT)
 
     return run
 
@@ -269,7 +300,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _score(model: Model):
     def run(key, chunks, answers):
         own = Chunk(chunks.to_pylist()[0])
-        p, root, _ = model.upto(own, answers, model.longest + 1)
+        p, root, _ = model.upto(own, answers, len(model.states) + 1)
         add = lambda x: np.bincount(own.doc, weights=x, minlength=len(own.sizes))
         return pa.Table.from_arrays([
             pa.array(own.ids, pa.int64(), mask=own.none.astype(bool)), pa.array(~own.train), pa.array(own.sizes), pa.array(add(root > 0).astype(np.int64)),
@@ -284,7 +315,7 @@ def trained_on(id_col: str = "doc_id", folds: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != 0
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, longest: int = 2) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, longest: int = 2, frequent: int = CLASS) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     hold_splits(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -292,14 +323,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), teach.alias("train"))
     size, ends = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     bits = salt_bits(size // 8, BUCKET_ENTRIES)
-    chunks = base.mapInArrow(_chunk, CHUNKS)
     words = base.mapInArrow(_send_words(bits), SENTS).groupBy("bucket")
     roots = written(words.applyInArrow(_count_words, ROOTS), "lm-roots")
     known, total = roots.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    model = Model(total + ends, known + (ends > 0), ends, longest, bits)
-    dealt = chunks.repartition("chunk")
+    model = Model(total + ends, known + (ends > 0), ends, bits, frequent)
+    dealt = base.mapInArrow(_chunk, CHUNKS).repartition("chunk").persist(StorageLevel.DISK_ONLY)  # every length reads the chunks
     answers = roots.drop("known", "total").withColumn("level", F.lit(0))
     for k in range(1, longest + 1):
         sent = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_pairs(model, k), SENTS)
-        answers = answers.unionByName(sent.groupBy("bucket").applyInArrow(_test_contexts, ANSWERS).withColumn("level", F.lit(k)))
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model), SCORED)
+        tested = written(sent.groupBy("bucket").applyInArrow(_test_contexts, TESTED), f"lm-tested-{k}")
+        model.states.append(_verdicts(tested))
+        answers = answers.unionByName(tested.select("chunk", "bucket", "answer").withColumn("level", F.lit(k)))
+        docs.sparkSession.sparkContext._jvm.System.gc()  # the shuffles of ended jobs go when the driver has no reference to them
+    scored = written(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model), SCORED), "lm-scored")
+    dealt.unpersist()
+    return scored

@@ -345,6 +345,11 @@ def test_lm_scoring(docs, rows, empty):
     assert suffix_tree_lm.score(empty).count() == 0
 
 
+def test_lm_scoring_is_the_same_in_classes(docs):
+    said = lambda **how: sorted(((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in suffix_tree_lm.score(docs, **how).collect()), key=key)
+    assert said(frequent=4) == said()
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
