@@ -41,7 +41,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree_lm.score(documents(spark, sf_dir))
+    return suffix_tree_lm.score(documents(spark, sf_dir), longest=None)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 A symbol is a word (A-Z lower-cased) or the end of a text. The root gives a symbol the add-0.1 share of its count among all training
-tokens (unseen words are one symbol). Contexts are the one to ``longest`` symbols before, back to the text's start, seen at
-least twice in training; a longer one must end a pair of a state (the tree grows from its states).
+tokens (unseen words are one symbol). Contexts are the symbols before, back to the text's start, seen at least twice in training
+(so their suffixes are too), by length until a length has no state. With a number for ``longest`` the tree is a bounded one: contexts
+of up to so many symbols, and a longer one must end a pair of a state.
 A context is a state if its next-symbol counts diverge from its suffix's by a deleted
 estimate: each training occurrence is predicted from the others, and the gain in log-likelihood over the next shorter state must
 exceed the log of the context's count. So a context whose next symbols are all new teaches nothing, and one that repeats does.
@@ -16,7 +17,7 @@ one for ``CLASS`` tokens a length) and sends them with the next length's work. E
 2. Each chunk sends each bucket of hashes one sorted array with training counts and gets counts back: the root.
 3. Length by length, each chunk sends its distinct (context, symbol) pairs, by the context's hash, with training counts, the
    context's n and the shorter state's probability; the bucket has all of a context, tests it, and answers with
-   1 + c, or 0 for no state. Of a frequent context it has a class: it answers with 1 + c and gives the class's gain, for
+   1 + c, or for no state with -c from 2 on (the pair is a longer context), else 0. Of a frequent context it has a class: it answers with 1 + c and gives the class's gain, for
    the sum by context.
 4. Chunks sum their tokens' scores by document.
 
@@ -119,15 +120,12 @@ class Chunk:
         self.symbol = np.append(self.prints, END)[self.code]
         self.teaches = self.train[self.doc]
 
-    def context(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the k symbols before each, and whether there are as many (the start counts as one)."""
-        first = np.repeat(self.at_end - self.sizes + 1, self.sizes)
-        place = np.arange(len(self.doc)) - first
-        made = np.full(len(self.doc), np.uint64(k))
-        for j in range(1, k + 1):
-            before = np.where(place >= j, self.symbol[np.maximum(0, np.arange(len(self.doc)) - j)], START)
-            made = mix64(made * STEP + before)
-        return made, place >= k - 1
+        self.place = np.arange(len(self.doc)) - np.repeat(self.at_end - self.sizes + 1, self.sizes)
+
+    def context(self, k: int, at: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Hashes of the k symbols before each of ``at`` (the start counts as one) from those of k - 1."""
+        before = np.where(self.place[at] >= k, self.symbol[np.maximum(0, at - k)], START)
+        return mix64(shorter * STEP + before)
 
 
 def _cut(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, often: np.ndarray | None = None, shorter: np.ndarray | None = None, whole: np.ndarray | None = None) -> list[dict]:
@@ -191,32 +189,36 @@ def weight_of(n):
 TESTED = ANSWERS + ", states long, contexts array<long>, gains array<double>, often array<long>"
 
 
-def _test_contexts(key, table):
-    """1 + c for the pairs of a state or of a frequent context, 0 for others.
+def _test_contexts(bounded: bool):
+    """1 + c for the pairs of a state or of a frequent context; for others -c from 2 on, or 0 in a bounded tree.
 
     A bucket's first answer has the number of its states, and the frequent contexts with their gains here and their n.
     """
-    sizes, names, which, c = _gathered(table)
-    p, sent = np.empty(len(names)), np.empty(len(names))
-    p[which] = np.exp(np.concatenate([unplanes(x, "u1") for x in table["shorter"].to_pylist()]) / -NATS)
-    sent[which] = np.concatenate([unplanes(x, "<i4") for x in table["often"].to_pylist()])
-    _, first, of = np.unique(names >> NEXT_BITS, return_index=True, return_inverse=True)
-    n = np.where(sent > 0, sent, np.bincount(of, weights=c)[of])
-    n = np.maximum(n, 1)
-    k = weight_of(n)
-    left = (np.maximum(c - 1, 0) + k * p) / (n - 1 + k)
-    gain = np.bincount(of, weights=c * (np.log(left) - np.log(p)))
-    parts = [_classes(unascending(k), unplanes(o, "<i4"))[0] for k, o in zip(table["keys"].to_pylist(), table["often"].to_pylist())]
-    classes, one = np.unique(np.concatenate(parts), return_index=True)
-    contexts = np.concatenate([unplanes(x, "<u8") for x in table["whole"].to_pylist()])[one]
-    place = of[np.searchsorted(names >> NEXT_BITS, classes)]
-    state, pending = gain > np.log(n[first]), np.zeros(len(first), bool)
-    pending[place] = True
-    made, rest = _replies(table, sizes, np.where((state | pending)[of], c + 1, 0)[which]), [None] * (len(sizes) - 1)
-    ends = ((int((state & ~pending).sum()), pa.int64()), (contexts.view(np.int64).tolist(), pa.list_(pa.int64())), (gain[place].tolist(), pa.list_(pa.float64())), (n[first][place].astype(np.int64).tolist(), pa.list_(pa.int64())))
-    for name, (x, kind) in zip(("states", "contexts", "gains", "often"), ends):
-        made = made.append_column(name, pa.array([x, *rest], kind))
-    return made
+
+    def run(key, table):
+        sizes, names, which, c = _gathered(table)
+        p, sent = np.empty(len(names)), np.empty(len(names))
+        p[which] = np.exp(np.concatenate([unplanes(x, "u1") for x in table["shorter"].to_pylist()]) / -NATS)
+        sent[which] = np.concatenate([unplanes(x, "<i4") for x in table["often"].to_pylist()])
+        _, first, of = np.unique(names >> NEXT_BITS, return_index=True, return_inverse=True)
+        n = np.where(sent > 0, sent, np.bincount(of, weights=c)[of])
+        n = np.maximum(n, 1)
+        k = weight_of(n)
+        left = (np.maximum(c - 1, 0) + k * p) / (n - 1 + k)
+        gain = np.bincount(of, weights=c * (np.log(left) - np.log(p)))
+        parts = [_classes(unascending(k), unplanes(o, "<i4"))[0] for k, o in zip(table["keys"].to_pylist(), table["often"].to_pylist())]
+        classes, one = np.unique(np.concatenate(parts), return_index=True)
+        contexts = np.concatenate([unplanes(x, "<u8") for x in table["whole"].to_pylist()])[one]
+        place = of[np.searchsorted(names >> NEXT_BITS, classes)]
+        state, pending = gain > np.log(n[first]), np.zeros(len(first), bool)
+        pending[place] = True
+        made, rest = _replies(table, sizes, np.where((state | pending)[of], c + 1, 0 if bounded else np.where(c > 1, -c, 0))[which]), [None] * (len(sizes) - 1)
+        ends = ((int((state & ~pending).sum()), pa.int64()), (contexts.view(np.int64).tolist(), pa.list_(pa.int64())), (gain[place].tolist(), pa.list_(pa.float64())), (n[first][place].astype(np.int64).tolist(), pa.list_(pa.int64())))
+        for name, (x, kind) in zip(("states", "contexts", "gains", "often"), ends):
+            made = made.append_column(name, pa.array([x, *rest], kind))
+        return made
+
+    return run
 
 
 def _verdicts(tested: DataFrame) -> np.ndarray:
@@ -229,46 +231,52 @@ def _verdicts(tested: DataFrame) -> np.ndarray:
 class Model:
     """What the workers need to go from a chunk and its answers to probabilities."""
 
-    def __init__(self, total: int, kinds: int, ends: int, bits: int, frequent: int):
-        self.total, self.kinds, self.ends, self.bits, self.frequent = total, kinds, ends, bits, frequent
+    def __init__(self, total: int, kinds: int, ends: int, bits: int, frequent: int, bounded: bool):
+        self.total, self.kinds, self.ends, self.bits, self.frequent, self.bounded = total, kinds, ends, bits, frequent, bounded
         self.states: list[np.ndarray] = []  # by length: frequent contexts that are states
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.total + 0.1 * (self.kinds + 1))
 
-    def pairs(self, own: Chunk, k: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ascending distinct pairs of the contexts of length k that are seen twice; symbols that end one, their places among them, their contexts."""
-        hashes, there = own.context(k)
-        at = np.flatnonzero(there & (seen > 1))
+    def pairs(self, own: Chunk, k: int, seen: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ascending distinct pairs of the contexts of length k that are seen twice; symbols that end one, their places among them, their contexts.
+
+        ``at`` and ``hashes`` are those of k - 1: the suffix of a context that is seen twice is, too.
+        """
+        there = (own.place[at] >= k - 1) & (seen[at] > 1)
+        at = at[there]
+        hashes = own.context(k, at, hashes[there])
         last = mix64(own.symbol[at])
         part = last % (1 + seen[at] // self.frequent).astype(np.uint64)
-        key = (mix64(hashes[at] + part) >> NEXT_BITS << NEXT_BITS) | (last >> (np.uint64(64) - NEXT_BITS))
+        key = (mix64(hashes + part) >> NEXT_BITS << NEXT_BITS) | (last >> (np.uint64(64) - NEXT_BITS))
         keys, which = np.unique(key, return_inverse=True)
-        return keys, which, at, hashes[at]
+        return keys, which, at, hashes
 
     def upto(self, own: Chunk, answers, k: int):
-        """Probabilities at the longest states of fewer than k symbols, root counts, how often each context of k symbols is seen."""
+        """Probabilities at the longest states of fewer than k symbols, root counts, and for ``pairs`` how often each context of k symbols is seen, places and hashes."""
         counts = np.append(_joined(answers, 0), self.ends)
         root = counts[own.code]
         p = self.root(root)
-        first = np.arange(len(own.doc)) == np.repeat(own.at_end - own.sizes + 1, own.sizes)
+        first = own.place == 0
+        at, whole = np.arange(len(own.doc)), np.zeros(len(own.doc), np.uint64)
         seen = np.where(first, self.ends, np.concatenate([[0], root[:-1]]))  # the start is seen once a training text
         for j in range(1, k):
-            keys, place, at, whole = self.pairs(own, j, seen)
+            keys, place, at, whole = self.pairs(own, j, seen, at, whole)
             c = _joined(answers, j)
             if len(c) != len(keys):
                 raise ValueError(f"{len(c)} answers for {len(keys)} pairs")
             c = c[place]
             state = (c > 0) & ((seen[at] < self.frequent) | np.isin(whole, self.states[j - 1]))
-            here, c = at[state], c[state] - 1
+            times = np.where(c > 0, c - 1, -c)
+            here, c = at[state], times[state]
             n = seen[here]
             k_ = weight_of(n.astype(float))
             p[here] = (c + k_ * p[here]) / (n + k_)
-            pair = np.zeros(len(own.doc), np.int64)  # a state's pair that is seen twice may be a longer context
-            pair[here] = c
+            pair = np.zeros(len(own.doc), np.int64)  # a pair that is seen twice is a longer context; in a bounded tree, a state's
+            pair[here if self.bounded else at] = c if self.bounded else times
             seen = np.concatenate([[0], pair[:-1]])
             seen[first] = 0
-        return p, root, seen
+        return p, root, (seen, at, whole)
 
 
 def _joined(answers, level: int) -> np.ndarray:
@@ -281,8 +289,8 @@ def _joined(answers, level: int) -> np.ndarray:
 def _send_pairs(model: Model, k: int):
     def run(key, chunks, answers):
         own = Chunk(chunks.to_pylist()[0])
-        p, _, seen = model.upto(own, answers, k)
-        keys, place, at, context = model.pairs(own, k, seen)
+        p, _, (seen, *shorter) = model.upto(own, answers, k)
+        keys, place, at, context = model.pairs(own, k, seen, *shorter)
         n = np.bincount(place, weights=own.teaches[at], minlength=len(keys)).astype(np.int64)
         shorter = np.zeros(len(keys), np.uint8)
         shorter[place] = np.minimum(255, np.round(-np.log(p[at]) * NATS)).astype(np.uint8)
@@ -315,8 +323,8 @@ def trained_on(id_col: str = "doc_id", folds: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != 0
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, longest: int = 2, frequent: int = CLASS) -> DataFrame:
-    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, longest: int | None = 2, frequent: int = CLASS) -> DataFrame:
+    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; the whole tree where ``longest`` is None."""
     hold_splits(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     teach = F.coalesce(trained_on(id_col) if train is None else train, F.lit(False))
@@ -326,15 +334,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     words = base.mapInArrow(_send_words(bits), SENTS).groupBy("bucket")
     roots = written(words.applyInArrow(_count_words, ROOTS), "lm-roots")
     known, total = roots.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    model = Model(total + ends, known + (ends > 0), ends, bits, frequent)
+    model = Model(total + ends, known + (ends > 0), ends, bits, frequent, longest is not None)
     dealt = base.mapInArrow(_chunk, CHUNKS).repartition("chunk").persist(StorageLevel.DISK_ONLY)  # every length reads the chunks
     answers = roots.drop("known", "total").withColumn("level", F.lit(0))
-    for k in range(1, longest + 1):
+    while longest is None or len(model.states) < longest:
+        k = len(model.states) + 1
         sent = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_pairs(model, k), SENTS)
-        tested = written(sent.groupBy("bucket").applyInArrow(_test_contexts, TESTED), f"lm-tested-{k}")
-        model.states.append(_verdicts(tested))
-        answers = answers.unionByName(tested.select("chunk", "bucket", "answer").withColumn("level", F.lit(k)))
+        tested = written(sent.groupBy("bucket").applyInArrow(_test_contexts(model.bounded), TESTED), f"lm-tested-{k}")
         docs.sparkSession.sparkContext._jvm.System.gc()  # the shuffles of ended jobs go when the driver has no reference to them
+        frequents = _verdicts(tested)
+        if longest is None and not len(frequents) + (tested.agg(F.sum("states")).first()[0] or 0):
+            break
+        model.states.append(frequents)
+        answers = answers.unionByName(tested.select("chunk", "bucket", "answer").withColumn("level", F.lit(k)))
     scored = written(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model), SCORED), "lm-scored")
     dealt.unpersist()
     return scored

@@ -345,6 +345,47 @@ def test_lm_scoring(docs, rows, empty):
     assert suffix_tree_lm.score(empty).count() == 0
 
 
+def test_lm_scoring_of_the_whole_tree(docs, rows, empty):
+    tokens = [WORD.findall((t or "").translate(LOWER)) for _, t, *_ in rows]
+    full = [["^", *ws, None] for ws in tokens]
+    teach = [f for f, (i, *_) in zip(full, rows) if crc(i) % 10 != 0]
+    c = collections.Counter(w for f in teach for w in f[1:])
+    total = sum(c.values())
+    states = []
+
+    def prob(f, j):
+        q = (c[f[j]] + 0.1) / (total + 0.1 * (len(c) + 1))
+        for k, known in enumerate(states, 1):
+            own = known.get(tuple(f[j - k : j])) if j >= k else None
+            if own:
+                n = sum(own.values())
+                q = (own[f[j]] + n**0.75 * q) / (n + n**0.75)
+        return q
+
+    while True:
+        k, counts, found = len(states) + 1, collections.defaultdict(collections.Counter), {}
+        for f in teach:
+            for j in range(k, len(f)):
+                counts[tuple(f[j - k : j])][f[j]] += 1
+        for ctx, own in counts.items():
+            n, gain = sum(own.values()), 0.0
+            for w, x in own.items() if n > 1 else ():
+                q = math.exp(-round(-math.log(prob([*ctx, w], k)) * 8) / 8)
+                gain += x * (math.log((x - 1 + n**0.75 * q) / (n - 1 + n**0.75)) - math.log(q))
+            if n > 1 and gain > math.log(n):
+                found[ctx] = own
+        if not found:
+            break
+        states.append(found)
+    assert len(states) > 2 and any(ctx[:1] not in states[0] for ctx in states[1])  # what a bounded tree lacks
+    want = sorted(((i, len(f) - 1, sum(math.log10(prob(f, j)) for j in range(1, len(f)))) for (i, *_), f in zip(rows, full)), key=key)
+    for how in ({}, {"frequent": 4}):
+        got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in suffix_tree_lm.score(docs, longest=None, **how).collect()), key=key)
+        for a, b in zip(got, want, strict=True):
+            assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3
+    assert suffix_tree_lm.score(empty, longest=None).count() == 0
+
+
 def test_lm_scoring_is_the_same_in_classes(docs):
     said = lambda **how: sorted(((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in suffix_tree_lm.score(docs, **how).collect()), key=key)
     assert said(frequent=4) == said()
