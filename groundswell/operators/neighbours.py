@@ -1,10 +1,14 @@
 """Nearest neighbours by block and verify, height above ground, and statistical outliers.
 
-Probes are grouped by square blocks, build points by the blocks within a halo of them; a task finds neighbours in its block with
-dense distances between small boxes and what surrounds them (boxes are halved until few points are in them, so dense places
-cost no more a point). A probe is done when its k-th neighbour is no farther than what was searched around it. The others try
-again with blocks and halos four times as wide, until the halo spans the extent: isolated points cost a few rounds of few probes, and
-none is left out. Rounds are written tables. A block's edge starts from the density, so it holds some thousand points at any scale.
+1. Probes are grouped by square blocks, build points by the blocks within a halo of them: one shuffle. Within a task points are sorted by
+   cells; a probe looks at the 3 x 3 cells around it, and those whose k-th neighbour is farther than a cell's edge look again with
+   cells twice as wide, up to the halo. So the cost a probe follows k, not the block.
+2. A probe whose k-th neighbour is farther than the halo (a stray point, a sparse place) descends a pyramid of occupied cells, each with its
+   count and the box of its points: at each level the cells stay that are no farther than the least distance within which cells hold
+   more than k points. Only the points of the last cells are fetched, so a stray point costs a few cells, wherever it lies.
+
+A block's edge follows the occupied area, not the extent: it is narrowed until occupied blocks hold some thousand points on average. The
+pyramid's top has at most ``TOP`` cells, which travel with the tasks. No probe is left out, and a point's neighbours are exact.
 """
 
 from __future__ import annotations
@@ -13,19 +17,26 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundswell.model import GROUND_CLASS, NOISE_CLASS, OUTLIER_K, OUTLIER_MULTIPLIER, require
 from groundswell.session import importable, written
 
-
 PER_BLOCK = 1024
 CELLS_AT_ONCE = 1 << 20
+FINE = 8  # cells of the pyramid's foot along a block's edge
+TOP = 4096
+
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All of start, start + 1, ... for each start, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
-def _search(k: int, dims: list[str], kind: type, payload: str | None, halo, last: bool):
-    """Neighbours within a block: (point_id, rank, d2, near_id[, payload]) of the probes that are done."""
+
+def _search(k: int, dims: list[str], kind: type, payload: str | None, halo):
+    """Neighbours within a block: (point_id, rank, d2, near_id[, payload]) of the probes that have k within the halo."""
     far = np.iinfo(np.int64).max if kind is np.int64 else np.inf
 
     def run(key, probes, build):
@@ -33,54 +44,53 @@ def _search(k: int, dims: list[str], kind: type, payload: str | None, halo, last
         p = np.stack([probes[d].to_numpy().astype(kind) for d in dims], axis=1)
         q = np.stack([build[f"o_{d}"].to_numpy().astype(kind) for d in dims], axis=1) if build.num_rows else np.empty((0, len(dims)), kind)
         found: list[tuple] = []
-
-        def dense(idx, cand, reach, final):
-            """Neighbours of ``idx`` among ``cand``, which has all within ``reach``; the probes that need more."""
-            left = []
-            for at in range(0, len(idx), step := max(1, CELLS_AT_ONCE // max(1, len(cand)))):
-                rows = idx[at : at + step]
-                d = np.zeros((len(rows), len(cand)), kind)
+        todo = np.arange(len(pid)) if len(qid) else np.empty(0, np.int64)
+        if len(todo):
+            low = np.minimum(p[:, :2].min(axis=0), q[:, :2].min(axis=0))
+            span = np.ptp(q[:, :2], axis=0).astype(float)
+            reach = max(math.sqrt(max(span[0], 1.0e-9) * max(span[1], 1.0e-9) * max(1, k / 3) / len(qid)), float(halo) / 64)
+        while len(todo):
+            wide = kind(math.ceil(reach) if kind is np.int64 else reach)
+            last = wide >= halo
+            wide = halo if last else wide
+            at_p, at_q = (np.floor_divide(x[:, :2] - low, wide).astype(np.int64) + 1 for x in (p[todo], q))
+            across = int(max(at_p[:, 0].max(), at_q[:, 0].max())) + 2
+            cell = at_q[:, 1] * across + at_q[:, 0]
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            own = at_p[:, 1] * across + at_p[:, 0]
+            lo = np.stack([np.searchsorted(cell, own + j * across - 1, "left") for j in (-1, 0, 1)], axis=1)
+            n = np.stack([np.searchsorted(cell, own + j * across + 1, "right") for j in (-1, 0, 1)], axis=1) - lo
+            total = n.sum(axis=1)
+            by = np.argsort(total, kind="stable")
+            left, a = [todo[by[total[by] < k]]], int(np.searchsorted(total[by], k))
+            while a < len(by):
+                area = np.arange(1, len(by) - a + 1) * total[by[a:]]
+                b = a + max(1, int(np.searchsorted(area, CELLS_AT_ONCE, "right")))
+                rows, most = by[a:b], int(total[by[b - 1]])
+                a = b
+                col = _ranges(np.zeros(len(rows), np.int64), total[rows])
+                row = np.repeat(np.arange(len(rows)), total[rows])
+                near = order[_ranges(lo[rows].ravel(), n[rows].ravel())]
+                d = np.zeros(len(near), kind)
                 for j in range(len(dims)):
-                    one = p[rows, j][:, None] - q[cand, j][None, :]
+                    one = p[todo[rows], j][row] - q[near, j]
                     d += one * one
-                d[pid[rows][:, None] == qid[cand][None, :]] = far
-                edge = np.partition(d, k - 1, axis=1)[:, k - 1] if len(cand) >= k else np.full(len(rows), far)
-                done = np.ones(len(rows), bool) if final else edge <= reach * reach
-                left.append(rows[~done])
-                r, c = np.nonzero((d <= edge[:, None]) & (d < far) & done[:, None])
-                order = np.lexsort((qid[cand[c]], d[r, c], r))
-                r, c = r[order], c[order]
+                d[pid[todo[rows]][row] == qid[near]] = far
+                wide_d = np.full((len(rows), most), far, kind)
+                wide_d[row, col] = d
+                edge = np.partition(wide_d, k - 1, axis=1)[:, k - 1]
+                done = (edge <= wide * wide) & (edge < far)
+                left.append(todo[rows[~done]])
+                pick = np.flatnonzero((d <= edge[row]) & done[row])
+                r, c, e = row[pick], near[pick], d[pick]
+                ranked = np.lexsort((qid[c], e, r))
+                r, c, e = r[ranked], c[ranked], e[ranked]
                 rank = np.arange(len(r)) - np.searchsorted(r, r)
-                r, c, rank = r[rank < k], c[rank < k], rank[rank < k]
-                found.append((rows[r], rank + 1, d[r, c], cand[c]))
-            return left
-
-        def halved(idx, cand, reach, final):
-            if len(idx) > 128 and len(cand) > 1024:
-                box = p[idx, :2]
-                axis = int(np.argmax(np.ptp(box, axis=0)))
-                order = np.argpartition(box[:, axis], len(idx) // 2)
-                left = []
-                for half in (order[: len(idx) // 2], order[len(idx) // 2 :]):
-                    own = idx[half]
-                    lo, hi = p[own, :2].min(axis=0) - reach, p[own, :2].max(axis=0) + reach
-                    near = cand[(q[cand, 0] >= lo[0]) & (q[cand, 0] <= hi[0]) & (q[cand, 1] >= lo[1]) & (q[cand, 1] <= hi[1])]
-                    if len(own) == len(idx) or (len(near) == len(cand) and np.ptp(p[own, :2], axis=0).max() == 0):
-                        left += dense(own, near, reach, final)
-                    else:
-                        left += halved(own, near, reach, final)
-                return left
-            return dense(idx, cand, reach, final)
-
-        todo = np.arange(len(pid))
-        span = np.ptp(p[:, :2], axis=0).max() if len(pid) else 0
-        reach = max(span * math.sqrt(4 * k / max(1, len(qid))), 1e-9 if kind is float else 1)
-        while len(todo):
-            wide = reach >= halo
-            reach = halo if wide else kind(reach)
-            left = halved(todo, np.arange(len(qid)), reach, wide and last)
-            todo = np.concatenate(left) if left else np.empty(0, np.int64)
-            if wide:
+                first = rank < k
+                found.append((todo[rows[r[first]]], rank[first] + 1, e[first], c[first]))
+            todo = np.concatenate(left)
+            if last:
                 break
             reach *= 2
         rows, rank, d2, near = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 4
@@ -92,43 +102,108 @@ def _search(k: int, dims: list[str], kind: type, payload: str | None, halo, last
     return run
 
 
+def _cells(df: DataFrame, x: str, y: str, edge) -> DataFrame:
+    cell = lambda c: F.floor(F.col(c) / F.lit(edge)).cast("long")
+    return df.withColumn("bx", cell(x)).withColumn("by", cell(y))
+
+
+def _block_edge(points: DataFrame, x: str, y: str, number: int, per_block: int) -> float:
+    """An edge at which occupied blocks hold some ``per_block`` points: from the extent, narrowed while stray points stretch that."""
+    lo_x, hi_x, lo_y, hi_y = points.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    spans = [max(float((hi or 0) - (lo or 0)), 1e-9) for lo, hi in ((lo_x, hi_x), (lo_y, hi_y))]
+    edge = max(math.sqrt(spans[0] * spans[1] * per_block / max(1, number)), max(spans) / 2**30, 1e-9)
+    for _ in range(8):
+        mean = number / max(1, _cells(points, x, y, edge).select("bx", "by").distinct().count())
+        if mean <= 4 * per_block or edge <= max(spans) / 2**30:
+            break
+        edge *= math.sqrt(per_block / mean)
+    return edge
+
+
+def _pyramid(build: DataFrame, dims: list[str], edge: float) -> list[DataFrame]:
+    """Levels of occupied cells (bx, by, number, box), each four times as wide as the one below, the last with ``TOP`` cells at most."""
+    box = [f(f"o_{d}").alias(f"{n}{j}") for j, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    levels = [written(_cells(build, f"o_{dims[0]}", f"o_{dims[1]}", edge).groupBy("bx", "by").agg(F.count("*").alias("number"), *box), "cells-0")]
+    while levels[-1].count() > TOP:
+        up = levels[-1].groupBy(F.shiftright("bx", 2).alias("bx"), F.shiftright("by", 2).alias("by"))
+        box = [f(f"{n}{j}").alias(f"{n}{j}") for j in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max))]
+        levels.append(written(up.agg(F.sum("number").alias("number"), *box), f"cells-{len(levels)}"))
+    return levels
+
+
+def _near_cells(met: DataFrame, dims: list[str], k: int) -> DataFrame:
+    """Of each probe's cells those that may have one of its k nearest others."""
+    inside = outside = F.lit(0.0)
+    for j, d in enumerate(dims):
+        lo, hi, at = (F.col(c).cast("double") for c in (f"lo{j}", f"hi{j}", d))
+        inside = inside + F.pow(F.greatest(lo - at, at - hi, F.lit(0.0)), 2)
+        outside = outside + F.pow(F.greatest(F.abs(at - lo), F.abs(at - hi)), 2)
+    own = Window.partitionBy("point_id")
+    upto = F.sum("number").over(own.orderBy("outside").rangeBetween(Window.unboundedPreceding, 0))
+    known = met.withColumn("inside", inside).withColumn("outside", outside).withColumn("upto", upto)
+    known = known.withColumn("reach", F.min(F.when(F.col("upto") > k, F.col("outside"))).over(own))
+    return known.where(F.col("reach").isNull() | (F.col("inside") <= F.col("reach") * (1 + 1e-9))).select("point_id", *dims, "bx", "by")
+
+
+def _descend(left: DataFrame, build: DataFrame, k: int, dims: list[str], payload: str | None, edge: float) -> DataFrame:
+    """The k nearest others of the few probes that have fewer within a halo."""
+    levels = _pyramid(build, dims, edge)
+    top = [tuple(r) for r in levels[-1].select("bx", "by", "number", *[f"{n}{j}" for j in range(len(dims)) for n in ("lo", "hi")]).collect()]  # TOP rows at most
+    def pick(batches):
+        """The top cells of each probe, as ``_near_cells`` would choose them."""
+        cells = np.array(top, float).reshape(len(top), -1)
+        for batch in batches:
+            at = np.stack([batch.column(d).to_numpy(zero_copy_only=False).astype(float) for d in dims], axis=1)
+            for a in range(0, len(at), 256):
+                own = at[a : a + 256]
+                inside, outside = np.zeros((len(own), len(cells))), np.zeros((len(own), len(cells)))
+                for j in range(len(dims)):
+                    lo, hi, x = cells[None, :, 3 + 2 * j], cells[None, :, 4 + 2 * j], own[:, j][:, None]
+                    inside += np.maximum(np.maximum(lo - x, x - hi), 0) ** 2
+                    outside += np.maximum(np.abs(x - lo), np.abs(x - hi)) ** 2
+                order = np.argsort(outside, axis=1, kind="stable")
+                upto = np.cumsum(cells[order, 2], axis=1) > k
+                at_ = np.where(upto.any(axis=1), upto.argmax(axis=1), len(cells) - 1)
+                reach = np.where(upto.any(axis=1), np.take_along_axis(outside, np.take_along_axis(order, at_[:, None], 1), 1)[:, 0], np.inf)
+                r, c = np.nonzero(inside <= reach[:, None] * (1 + 1e-9))
+                part = batch.slice(a, len(own)).take(pa.array(r))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(cells[c, j].astype(np.int64)) for j in (0, 1))], names=[*part.schema.names, "bx", "by"])
+
+    kinds = dict(left.dtypes)
+    met = left.select("point_id", *dims).mapInArrow(pick, ", ".join([*[f"{c} {kinds[c]}" for c in ("point_id", *dims)], "bx long", "by long"]))
+    for level in reversed(levels[:-1]):
+        below = level.withColumn("ux", F.shiftright("bx", 2)).withColumn("uy", F.shiftright("by", 2))
+        up = met.select("point_id", *dims, F.col("bx").alias("ux"), F.col("by").alias("uy"))
+        met = _near_cells(up.join(below, ["ux", "uy"]), dims, k)
+    there = _cells(build, f"o_{dims[0]}", f"o_{dims[1]}", edge)
+    d2 = sum((F.pow(F.col(d) - F.col(f"o_{d}"), 2) if "double" in (kinds[d], dict(build.dtypes)[f"o_{d}"]) else (F.col(d) - F.col(f"o_{d}")) * (F.col(d) - F.col(f"o_{d}")) for d in dims), start=F.lit(0))
+    ranked = met.join(there, ["bx", "by"]).where("point_id <> near_id").withColumn("d2", d2)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "near_id")))
+    return ranked.where(F.col("rank") <= k).select("point_id", "rank", "d2", "near_id", *([F.col(f"o_{payload}").alias(payload)] if payload else []))
+
+
 def nearest(probes: DataFrame, build: DataFrame, k: int, dims: list[str], payload: str | None = None, edge: float | None = None, per_block: int = PER_BLOCK) -> DataFrame:
-    """(point_id, rank, d2, near_id[, payload]) of the k nearest others of each probe, ties by id. ``edge``: of the first blocks."""
+    """(point_id, rank, d2, near_id[, payload]) of the k nearest others of each probe, ties by id. ``edge``: of the blocks."""
     importable(probes.sparkSession)
     kinds = dict(build.dtypes)
     whole = all(kinds[d] in ("bigint", "int") for d in dims)
     extra = [payload] if payload else []
-    left, done = written(probes.select("point_id", *dims), "probes"), []  # read in every round
+    asks = written(probes.select("point_id", *dims), "probes")
     other = written(build.select(F.col("point_id").alias("near_id"), *[F.col(d).alias(f"o_{d}") for d in dims], *[F.col(p).alias(f"o_{p}") for p in extra]), "build")
-    ends = [f(d).alias(f"{n}{j}") for j, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]
-    both = left.select(*dims).unionByName(other.select(*[F.col(f"o_{d}").alias(d) for d in dims])).agg(*ends).first()
-    spans = [float((both[f"hi{j}"] or 0) - (both[f"lo{j}"] or 0)) for j in range(len(dims))]
-    number = other.count()
-    extent = max(spans[:2])  # blocks and halos are in the plane
-    edge = edge or max(math.sqrt(max(spans[0], 1e-9) * max(spans[1], 1e-9) * per_block / max(1, number)), 1e-9)
+    edge = edge or _block_edge(other, f"o_{dims[0]}", f"o_{dims[1]}", other.count(), per_block)
+    edge = math.ceil(edge / FINE) * FINE if whole else edge
+    halo = edge // 4 if whole else edge / 4
     schema = f"point_id long, rank int, d2 {'long' if whole else 'double'}, near_id long" + "".join(f", {p} {kinds[p]}" for p in extra)
     cell = lambda c: F.floor(c / F.lit(edge)).cast("long")
-    while True:
-        if whole:
-            edge = math.ceil(edge / 4) * 4
-        halo = edge // 4 if whole else edge / 4
-        last = halo > extent
-        asks = left.withColumn("bx", cell(F.col(dims[0]))).withColumn("by", cell(F.col(dims[1])))
-        around = lambda c: F.explode(F.sequence(cell(c - F.lit(halo)), cell(c + F.lit(halo))))
-        there = other.withColumn("bx", around(F.col(f"o_{dims[0]}"))).withColumn("by", around(F.col(f"o_{dims[1]}")))
-        run = _search(k, dims, np.int64 if whole else float, payload, halo, last)
-        found = written(asks.groupBy("bx", "by").cogroup(there.groupBy("bx", "by")).applyInArrow(run, schema), "neighbours")
-        done.append(found)
-        if last:
-            break
-        left = written(left.join(found.select("point_id").distinct(), "point_id", "left_anti"), "unresolved")
-        if not left.count():
-            break
-        edge *= 4
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    around = lambda c: F.explode(F.sequence(cell(c - F.lit(halo)), cell(c + F.lit(halo))))
+    there = other.withColumn("bx", around(F.col(f"o_{dims[0]}"))).withColumn("by", around(F.col(f"o_{dims[1]}")))
+    run = _search(k, dims, np.int64 if whole else float, payload, halo)
+    found = written(_cells(asks, dims[0], dims[1], edge).groupBy("bx", "by").cogroup(there.groupBy("bx", "by")).applyInArrow(run, schema), "neighbours")
+    left = written(asks.join(found.where("rank = 1").select("point_id"), "point_id", "left_anti"), "unresolved")
+    if not left.limit(1).count():
+        return found
+    rest = _descend(left, other, k, dims, payload, edge // FINE if whole else edge / FINE)
+    return found.unionByName(written(rest.select(*[F.col(f.name).cast(f.dataType) for f in found.schema]), "neighbours"))
 
 
 def height_above_ground(points: DataFrame, ground: int = GROUND_CLASS, x: str = "x", y: str = "y", z: str = "z", max_distance: float | None = None, extrapolate: bool = True, out: str = "hag") -> DataFrame:

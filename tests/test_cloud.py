@@ -106,3 +106,26 @@ def test_isolated_points_are_outliers(spark, rows):
     assert got.count() == len(rows) and got.where("mean_dist IS NULL").count() == 0
     population = neighbours.outlier_stats(neighbours.mean_distances(cloud(spark, rows)), stddev="population").first()
     assert population["stddev"] < neighbours.outlier_stats(neighbours.mean_distances(cloud(spark, rows))).first()["stddev"]
+
+
+def test_stray_points_cost_cells_not_the_cloud(spark, monkeypatch):
+    """Points far from a dense cloud, in several directions and heights: exact, and no level of the pyramid is skipped."""
+    monkeypatch.setattr(neighbours, "TOP", 4)
+    r = random.Random(13)
+    rows = [(k, r.random() * 50, r.random() * 50, r.random(), 2) for k in range(3000)]
+    rows += [(5000 + k, *at, 2) for k, at in enumerate([(9e4, 1.0, 0.0), (-2e3, -2e3, 0.5), (25.0, 25.0, 4e3), (9e4, 9e4, 1.0)])]
+    got = {}
+    for f in neighbours.nearest(cloud(spark, rows), cloud(spark, rows), 5, ["x", "y", "z"]).collect():
+        got.setdefault(f["point_id"], []).append((f["rank"], f["near_id"]))
+    assert len(got) == len(rows)
+    for p in rows[:200] + rows[-4:]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(p[1:4], q[1:4])), q[0]) for q in rows if q[0] != p[0])[:5]
+        assert sorted(got[p[0]]) == [(k + 1, q) for k, (_, q) in enumerate(near)]
+
+
+def test_blocks_follow_the_occupied_area(spark):
+    r = random.Random(17)
+    rows = [(k, r.random() * 10, r.random() * 10, 0.0, 2) for k in range(4000)] + [(9000, 1e6, 1e6, 0.0, 2)]
+    edge = neighbours._block_edge(cloud(spark, rows), "x", "y", len(rows), 64)
+    held = neighbours._cells(cloud(spark, rows), "x", "y", edge).groupBy("bx", "by").count().agg({"count": "max"}).first()[0]
+    assert held <= 1024
