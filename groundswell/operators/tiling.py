@@ -1,8 +1,9 @@
 """Overlapping tiles: plan, padding, augmentation, weights, model calls, weighted blending.
 
-A scene is cut into blocks of one stride; a tile is a square of tile / stride blocks a side. Blocks (arrays, not pixels) are shuffled
-to their tiles, the model runs in that task, and the tile's blocks go back as weighted sums, to be added and divided by block. So
-pixels are shuffled as rows once in and once out.
+A scene is cut into blocks (arrays, not pixels), which is the only shuffle of pixels. Each block goes to all tiles that have a part of it, of
+every augmentation: padding, turns and flips are index arithmetic in the task that puts a tile together. There the model runs on a batch of
+tiles, and their predictions, turned back, go to the blocks they cover as weighted sums, which are added, divided by augmentation and
+averaged by block.
 """
 
 from __future__ import annotations
@@ -138,30 +139,49 @@ def segment(wide: DataFrame, grid: GridSpec, model: Callable | bytes, bands: lis
         r0, c0, height, width = window[0], window[2], window[1] - window[0], window[3] - window[2]
         wide = wide.where(F.col("row").between(r0, window[1] - 1) & F.col("col").between(c0, window[3] - 1)).withColumns({"row": F.col("row") - r0, "col": F.col("col") - c0})
     out = tile - 2 * drop_border
-    made = None
-    for number, op in enumerate(AUGMENTATIONS if augmentation else AUGMENTATIONS[:1]):
-        h, w = (width, height) if op == "rot90" else (height, width)
-        cells = reflect_pad(augment(wide, op, height, width), h, w, tile, stride, drop_border)
-        if drop_border:
-            cells = cells.withColumns({"row": F.col("row") + drop_border, "col": F.col("col") + drop_border})
-        ny, nx = len(starts(h, tile, stride, drop_border)), len(starts(w, tile, stride, drop_border))
-        part = _predicted(cells, bands, tile, stride, drop_border, ny, nx, caller(model, batch_size, providers))
-        part = part.where((F.col("row") < h) & (F.col("col") < w))
-        part = deaugment(part, op, height, width)
-        made = part if made is None else made.unionByName(part)
-    scene = made.groupBy("row", "col").agg(F.avg("value").cast("float").alias("p"))
+    ops = AUGMENTATIONS if augmentation else AUGMENTATIONS[:1]
+    for size in (height, width):
+        if max(padding(size, tile, stride, drop_border), drop_border) >= size:
+            raise ValueError(f"a side of {size} cells can't be mirrored over {max(padding(size, tile, stride, drop_border), drop_border)}")
+    scene = _predicted(wide, ops, height, width, bands, tile, stride, drop_border, caller(model, batch_size, providers), batch_size)
     if window is not None:  # zeros around the window
         moved = scene.withColumns({"row": F.col("row") + r0, "col": F.col("col") + c0})
         scene = grid.all_cells(wide.sparkSession).join(moved, ["row", "col"], "left").withColumn("p", F.coalesce("p", F.lit(0.0).cast("float")))
     return scene, {"prediction": True, "time": time.time() - began, "nodata_region": window, "out": out}
 
 
-def _predicted(cells: DataFrame, bands: list[str], tile: int, stride: int, border: int, ny: int, nx: int, call: Callable) -> DataFrame:
-    """Blended predictions of one padded scene: blocks to tiles, the model, blocks back."""
+class _Axis:
+    """One axis of an augmented scene: its tiles, and where their cells come from."""
+
+    def __init__(self, size: int, tile: int, stride: int, border: int):
+        self.size, self.tile, self.stride, self.border = size, tile, stride, border
+        self.tiles = len(starts(size, tile, stride, border))
+        self.after = padding(size, tile, stride, border)
+
+    def sources(self, t: int) -> np.ndarray:
+        """The scene's index of each cell of a tile; beyond the ends mirrored without repeating the edge."""
+        a = np.abs(np.arange(self.tile) + t * self.stride - self.border)
+        return np.where(a >= self.size, 2 * (self.size - 1) - a, a)
+
+    def needing(self, low: int, high: int) -> set[int]:
+        """The tiles with a cell that comes from ``low`` to ``high``."""
+        end = 2 * (self.size - 1)
+        runs = [(low, high), (-min(high, self.border), -max(low, 1)), (end - min(high, self.size - 2), end - max(low, self.size - 1 - self.after))]
+        found: set[int] = set()
+        for a, b in runs:
+            if a <= b:
+                a, b = a + self.border, b + self.border
+                found |= set(range(max(0, -((self.tile - 1 - a) // self.stride)), min(self.tiles - 1, b // self.stride) + 1))
+        return found
+
+
+def _predicted(wide: DataFrame, ops: list[str], height: int, width: int, bands: list[str], tile: int, stride: int, border: int, call: Callable, batch: int) -> DataFrame:
+    """(row, col, p) of a scene: blocks to batches of tiles, the model, blocks back."""
     side = math.gcd(stride, tile)
-    step, across = stride // side, tile // side  # blocks between tiles, blocks a side
     out = tile - 2 * border
     inner = weights_array(out)
+    # For each augmentation the axes of its scene; a turn makes rows of columns.
+    axes = {op: tuple(_Axis(n, tile, stride, border) for n in ((width, height) if op == "rot90" else (height, width))) for op in ops}
 
     def to_block(key, table):
         a = np.zeros((len(bands), side, side), np.float32)
@@ -170,41 +190,88 @@ def _predicted(cells: DataFrame, bands: list[str], tile: int, stride: int, borde
             a[k, r, c] = np.nan_to_num(table[b].to_numpy().astype(np.float64))
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([a.tobytes()], pa.binary())], names=["by", "bx", "data"])
 
-    def to_tile(key, table):
-        ty, tx = key[0].as_py(), key[1].as_py()
-        a = np.zeros((1, len(bands), tile, tile), np.float32)
-        for by, bx, data in zip(table["by"].to_pylist(), table["bx"].to_pylist(), table["data"].to_pylist()):
-            y, x = (by - ty * step) * side, (bx - tx * step) * side
-            a[0, :, y : y + side, x : x + side] = np.frombuffer(data, np.float32).reshape(len(bands), side, side)
-        p = np.asarray(call(a), np.float64)[0, 0]
-        if p.shape[0] != out:  # a model without borders gives its whole tile
-            p = p[border : tile - border, border : tile - border]
-        row, col = np.divmod(np.arange(out * out), out)
-        where_r, where_c = row + ty * stride, col + tx * stride
-        by, bx = where_r // side, where_c // side
+    def spread(batches):
+        """A row for each tile that needs a block."""
+        for part in batches:
+            by, bx = part.column("by").to_pylist(), part.column("bx").to_pylist()
+            for k, (y, x) in enumerate(zip(by, bx)):
+                r0, r1, c0, c1 = y * side, min(height, (y + 1) * side) - 1, x * side, min(width, (x + 1) * side) - 1
+                rows = []
+                for number, op in enumerate(ops):
+                    rr, cc = (r0, r1), (c0, c1)
+                    if op == "flipud":
+                        rr = height - 1 - r1, height - 1 - r0
+                    if op == "rot90":
+                        rr, cc = (width - 1 - c1, width - 1 - c0), (r0, r1)
+                    down, across = axes[op]
+                    rows += [(number, ty * across.tiles + tx) for ty in down.needing(*rr) for tx in across.needing(*cc)]
+                if rows:
+                    n = pa.array(np.zeros(len(rows), np.int64))
+                    tiles = np.array([t for _, t in rows], np.int64)
+                    cols = [pa.array([o for o, _ in rows], pa.int32()), pa.array(tiles // max(1, batch)), pa.array(tiles)]
+                    yield pa.RecordBatch.from_arrays([*cols, *(part.column(c).slice(k, 1).take(n) for c in ("by", "bx", "data"))], names=["op", "batch", "tile", "by", "bx", "data"])
+
+    def whence(op: str, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """The scene's rows and columns behind a tile: of its rows and columns, or, turned, of its columns and rows."""
+        down, across = axes[op]
+        r, c = down.sources(t // across.tiles), across.sources(t % across.tiles)
+        return (c, width - 1 - r) if op == "rot90" else (height - 1 - r if op == "flipud" else r, c)
+
+    def to_tiles(key, table):
+        op = ops[key[0].as_py()]
+        number, by, bx, data = (table[c].to_pylist() for c in ("tile", "by", "bx", "data"))
+        tiles = sorted(set(number))
+        a = np.zeros((len(tiles), len(bands), tile, tile), np.float32)
+        for k, t in enumerate(tiles):
+            r, c = whence(op, t)
+            y0, x0 = r.min() // side, c.min() // side
+            region = np.zeros((len(bands), (r.max() // side - y0 + 1) * side, (c.max() // side - x0 + 1) * side), np.float32)
+            for n, y, x, d in zip(number, by, bx, data):
+                if n == t:
+                    region[:, (y - y0) * side : (y - y0 + 1) * side, (x - x0) * side : (x - x0 + 1) * side] = np.frombuffer(d, np.float32).reshape(len(bands), side, side)
+            cut = region[:, r - y0 * side][:, :, c - x0 * side]
+            a[k] = cut.transpose(0, 2, 1) if op == "rot90" else cut
+        p = np.asarray(call(a), np.float64)[:, 0]
+        if p.shape[1] != out:  # a model without borders gives its whole tile
+            p = p[:, border : tile - border, border : tile - border]
         rows = []
-        for block_y in range(by.min(), by.max() + 1):
-            for block_x in range(bx.min(), bx.max() + 1):
-                up, down = np.zeros((side, side)), np.zeros((side, side))
-                a0, a1 = max(0, block_y * side - ty * stride), min(out, (block_y + 1) * side - ty * stride)
-                b0, b1 = max(0, block_x * side - tx * stride), min(out, (block_x + 1) * side - tx * stride)
-                y, x = a0 + ty * stride - block_y * side, b0 + tx * stride - block_x * side
-                up[y : y + a1 - a0, x : x + b1 - b0] = (p * inner)[a0:a1, b0:b1]
-                down[y : y + a1 - a0, x : x + b1 - b0] = inner[a0:a1, b0:b1]
-                rows.append((block_y, block_x, up.tobytes(), down.tobytes()))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["by", "bx", "up", "down"])
+        down, across = axes[op]
+        for k, t in enumerate(tiles):
+            y, x = t // across.tiles * stride, t % across.tiles * stride
+            own, weight = (q[: max(0, down.size - y), : max(0, across.size - x)] for q in (p[k] * inner, inner))
+            if not own.size:
+                continue
+            if op == "rot90":
+                own, weight, y, x = own.T[:, ::-1], weight.T[:, ::-1], x, width - y - own.shape[0]
+            elif op == "flipud":
+                own, weight, y = own[::-1], weight[::-1], height - y - own.shape[0]
+            for block_y in range(y // side, (y + own.shape[0] - 1) // side + 1):
+                for block_x in range(x // side, (x + own.shape[1] - 1) // side + 1):
+                    up, under = np.zeros((side, side)), np.zeros((side, side))
+                    a0, a1 = max(y, block_y * side), min(y + own.shape[0], (block_y + 1) * side)
+                    b0, b1 = max(x, block_x * side), min(x + own.shape[1], (block_x + 1) * side)
+                    there = slice(a0 - block_y * side, a1 - block_y * side), slice(b0 - block_x * side, b1 - block_x * side)
+                    here = slice(a0 - y, a1 - y), slice(b0 - x, b1 - x)
+                    up[there], under[there] = own[here], weight[here]
+                    rows.append((key[0].as_py(), t, block_y, block_x, up.tobytes(), under.tobytes()))
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["op", "tile", "by", "bx", "up", "under"])
 
     def add(key, table):
-        up = sum((np.frombuffer(b, np.float64) for b in table["up"].to_pylist()), np.zeros(side * side))
-        down = sum((np.frombuffer(b, np.float64) for b in table["down"].to_pylist()), np.zeros(side * side))
-        row, col = np.divmod(np.flatnonzero(down), side)
-        v = (up / (down + BLEND_EPS))[down != 0]
-        return pa.table({"row": pa.array(row + key[0].as_py() * side, pa.int32()), "col": pa.array(col + key[1].as_py() * side, pa.int32()), "value": pa.array(v)})
+        up, under = np.zeros((len(ops), side * side)), np.zeros((len(ops), side * side))
+        rows = sorted(zip(table["op"].to_pylist(), table["tile"].to_pylist(), table["up"].to_pylist(), table["under"].to_pylist()), key=lambda r: r[:2])
+        for op, _, a, b in rows:
+            up[op] += np.frombuffer(a, np.float64)
+            under[op] += np.frombuffer(b, np.float64)
+        there = under != 0
+        number = there.sum(axis=0)
+        at = np.flatnonzero(number)
+        v = np.where(there, up / (under + BLEND_EPS), 0).sum(axis=0)[at] / number[at]
+        row, col = np.divmod(at, side)
+        return pa.table({"row": pa.array(row + key[0].as_py() * side, pa.int32()), "col": pa.array(col + key[1].as_py() * side, pa.int32()), "p": pa.array(v.astype(np.float32))})
 
     place = [F.expr(f"cast({c} div {side} as int)").alias(n) for c, n in (("row", "by"), ("col", "bx"))]
-    blocks = cells.select("row", "col", *bands, *place).groupBy("by", "bx").applyInArrow(to_block, "by int, bx int, data binary")
-    for b, t, n in (("by", "ty", ny), ("bx", "tx", nx)):
-        low = F.greatest(F.lit(0), F.ceil((F.col(b) - (across - 1)) / step).cast("int"))
-        blocks = blocks.withColumn("_a", low).withColumn("_b", F.least(F.lit(n - 1), F.floor(F.col(b) / step).cast("int"))).where("_a <= _b").withColumn(t, F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
-    parts = blocks.groupBy("ty", "tx").applyInArrow(to_tile, "by int, bx int, up binary, down binary")
-    return parts.groupBy("by", "bx").applyInArrow(add, "row int, col int, value double")
+    blocks = wide.select("row", "col", *bands, *place).groupBy("by", "bx").applyInArrow(to_block, "by int, bx int, data binary")
+    dealt = blocks.mapInArrow(spread, "op int, batch long, tile long, by int, bx int, data binary")
+    parts = dealt.groupBy("op", "batch").applyInArrow(to_tiles, "op int, tile long, by int, bx int, up binary, under binary")
+    return parts.groupBy("by", "bx").applyInArrow(add, "row int, col int, p float")

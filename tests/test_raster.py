@@ -168,7 +168,7 @@ band_mean = lambda a: a.mean(axis=1, keepdims=True)
 def test_segmentation(spark, model, tile, stride, border):
     a = np.random.default_rng(5).random((2, 37, 29))
     wide = bands.stack({"a": cells_of(spark, a[0]), "b": cells_of(spark, a[1])})
-    got, run = tiling.segment(wide, grid_of(a[0]), model, ["a", "b"], tile, stride, drop_border=border)
+    got, run = tiling.segment(wide, grid_of(a[0]), model, ["a", "b"], tile, stride, drop_border=border, batch_size=1 + border)
     got = array_of(got, a.shape[1:], "p")
     want = expected(a, model, tile, stride, border)
     covered = ~np.isnan(got)
