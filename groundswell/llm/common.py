@@ -87,6 +87,10 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Ar
     return codes, names, offsets
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def ascii_lower(texts: pa.Array) -> pa.Array:
     """Lower-case A-Z only, on the bytes: no byte of a longer UTF-8 sequence is in that range."""
     kind = texts.type
@@ -95,7 +99,7 @@ def ascii_lower(texts: pa.Array) -> pa.Array:
     if data is None or not len(texts):
         return texts.cast(kind)
     raw = np.frombuffer(data, np.uint8)
-    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+    low = _LOWER[raw]
     made = pa.Array.from_buffers(pa.large_string(), len(texts), [texts.buffers()[0], ends, pa.py_buffer(low)], texts.null_count, texts.offset)
     return made.cast(kind)
 

@@ -17,7 +17,7 @@ def word_vocabulary() -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(documents(spark, sf_dir), word_vocabulary()))
+    return packing.digest(documents(spark, sf_dir), word_vocabulary())
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
