@@ -38,10 +38,15 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and the master is local (tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="groundswell-")
         atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
@@ -49,8 +54,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table stays as long as a result may need it: until ``forget``, or the end of the program.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(forget)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession | None = None) -> None:
+    """Remove all tables that ``written`` has made; DataFrames that were built on them can't be run any more."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in _WRITTEN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.clear()
