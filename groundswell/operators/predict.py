@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundswell.session import importable
+from groundswell.sources import files
 
 _SESSIONS: dict = {}
 
 
 def load_model(path: str) -> bytes:
-    with open(path, "rb") as f:
-        return f.read()
+    """An ONNX file's bytes; they travel with the tasks."""
+    return files.read(path)
 
 
 def _session(model: bytes, providers: list[str]):

@@ -91,15 +91,28 @@ def preprocess(points: DataFrame, options: PreprocessOptions | None = None, crs:
     return B.normalize(wide, BANDS, nodata=nodata), grid, findings
 
 
-def infer(raster: DataFrame, grid: GridSpec, model: Callable | bytes, config: ModelConfig | None = None, bands: list[str] | None = None, nodata: float | None = None) -> tuple[DataFrame | None, dict]:
-    """The probability map (row, col, p) of a stacked raster, and the run's record."""
+def infer(raster: DataFrame, grid: GridSpec, model: Callable | bytes, config: ModelConfig | None = None, bands: list[str] | None = None, nodata: float | None = None, progress: Callable[[int, str], bool] | None = None) -> tuple[DataFrame | None, dict]:
+    """The probability map (row, col, p) of a stacked raster, and the run's record; (None, record) where ``progress`` returns False.
+
+    The map is a table; its making is a Spark job group, which can be cancelled.
+    """
     c = config or ModelConfig()
     bands = bands or BANDS
     if raster is None:
         raise ValueError("no raster")
     if len(bands) != c.bands:
         raise ValueError(f"the model takes {c.bands} bands")
-    return tiling.segment(raster, grid, model, bands, c.tile, c.stride, c.augmentation, c.drop_border, nodata, batch_size=c.batch_size)
+    context = raster.sparkSession.sparkContext
+    scene, record = None, {"prediction": False, "nodata_region": None}
+    for k, step in enumerate(("segment", "predict")):
+        context.setJobGroup(step, f"step {k + 1} of 2", interruptOnCancel=True)
+        if progress is not None and not progress(k, step):
+            return None, record | {"prediction": False}
+        if k == 0:
+            scene, record = tiling.segment(raster, grid, model, bands, c.tile, c.stride, c.augmentation, c.drop_border, nodata, batch_size=c.batch_size)
+        elif scene is not None:
+            scene = written(scene, "probability")
+    return scene, record
 
 
 PIPELINES = {"preprocessing": preprocess, "inference": infer}

@@ -1,5 +1,6 @@
 """Rasters, kernels, bands, tiles, models and files against small NumPy versions."""
 
+import json
 import math
 
 import numpy as np
@@ -220,15 +221,39 @@ def test_geotiff_round_trip(spark, tmp_path):
     back, spec, names = geotiff.decode(geotiff.encode(a, g, ["one", "two"]))
     assert np.array_equal(back, a) and spec == g and names == ["one", "two"]
     wide = bands.stack({"one": cells_of(spark, a[0].astype(float)), "two": cells_of(spark, a[1].astype(float))})
-    for fmt, path in (("geotiff", f"{tmp_path}/a.tif"), ("parquet", f"{tmp_path}/a")):
-        write_raster(wide, g, path, fmt, ["one", "two"])
+    for fmt, path in (("geotiff", f"{tmp_path}/a.tif"), ("parquet", f"{tmp_path}/a"), ("mosaic", f"{tmp_path}/m")):
+        write_raster(wide, g, path, fmt, ["one", "two"], block=20)
         df, spec = read_raster(spark, path, fmt)
         assert spec.record() == g.record()
         assert np.allclose(np.nan_to_num(array_of(df, (70, 33), "one")), a[0])
+    with open(f"{tmp_path}/a.tif", "rb") as f:
+        assert np.array_equal(geotiff.decode(f.read())[0], a)
+    sparse = wide.where("row > 64")  # strips without a cell are nodata
+    write_raster(sparse, g, f"{tmp_path}/s.tif", "geotiff", ["one", "two"])
+    assert read_raster(spark, f"{tmp_path}/s.tif", "geotiff", rows_at_once=10)[0].count() == sparse.count()
     with pytest.raises(ValueError):
         geotiff.decode(b"PK\3\4")
 
 
+@pytest.mark.parametrize("planar", [True, False])
+def test_deflated_strips_are_read(planar):
+    import struct
+    import zlib
+
+    a = np.random.default_rng(3).integers(0, 999, (2, 10, 7)).astype("<i2")
+    rows = [a[:, r : r + 4] for r in range(0, 10, 4)]
+    step = lambda x: np.diff(x, axis=1, prepend=np.zeros_like(x[:, :1]))
+    blocks = [step(part[b]) for b in range(2) for part in rows] if planar else [step(part.transpose(1, 2, 0)) for part in rows]
+    strips = [zlib.compress(np.ascontiguousarray(b).tobytes()) for b in blocks]
+    at = np.cumsum([0, *map(len, strips)])[:-1] + 8
+    end = 8 + sum(map(len, strips))
+    lists = struct.pack(f"<{len(at)}I", *at) + struct.pack(f"<{len(at)}I", *map(len, strips))
+    tags = [(256, 3, 1, 7), (257, 3, 1, 10), (258, 3, 1, 16), (259, 3, 1, 8), (273, 4, len(at), end), (277, 3, 1, 2), (278, 3, 1, 4), (279, 4, len(at), end + 4 * len(at)), (284, 3, 1, 2 if planar else 1), (317, 3, 1, 2), (339, 3, 1, 2)]
+    raw = struct.pack("<2sHI", b"II", 42, end + len(lists)) + b"".join(strips) + lists
+    raw += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + b"\0" * 4
+    assert np.array_equal(geotiff.decode(raw)[0], a)
+
+
 def test_las_round_trip(spark, tmp_path):
     r = np.random.default_rng(9)
     x, y, z = (r.random(2500) * 100 for _ in range(3))
@@ -242,6 +267,41 @@ def test_las_round_trip(spark, tmp_path):
     got = points.orderBy("point_id").toPandas()
     assert np.allclose(got[["x", "y", "z"]], np.stack([x, y, z], axis=1), atol=6e-4) and got["classification"].tolist() == codes.tolist()
     assert merge(points, points).count() == 5000
+    las.write(f"{tmp_path}/b.las", x[:10], y[:10], z[:10], codes[:10])
+    for place in (f"{tmp_path}", f"file://{tmp_path}", f"{tmp_path}/*.las"):
+        both = spark.read.format("las").load(place)
+        assert both.count() == 2510 and both.select("point_id").distinct().count() == 2510
+
+
+def test_compressed_clouds_need_their_module(tmp_path, monkeypatch):
+    """The module's reader is asked for the right range; without it the error says what is missing."""
+    import sys
+    import types
+
+    r = np.random.default_rng(4)
+    x, y, z = (r.random(50) * 9 for _ in range(3))
+    las.write(f"{tmp_path}/a.las", x, y, z, r.integers(1, 6, 50))
+    raw = bytearray((tmp_path / "a.las").read_bytes())
+    raw[104] |= 128
+    (tmp_path / "a.laz").write_bytes(raw)
+    head = las.header(f"{tmp_path}/a.laz")
+    assert head.compressed and head.kind == 6
+    monkeypatch.setitem(sys.modules, "lazrs", None)
+    with pytest.raises(ValueError, match="lazrs"):
+        las.records(f"{tmp_path}/a.laz", head, 0, 5)
+
+    class Reader:
+        def __init__(self, source, record):
+            self.source, self.start = source, source.tell()
+
+        def seek(self, k):
+            self.source.seek(self.start + k * 30)
+
+        def decompress_many(self, into):
+            into[:] = self.source.read(len(into))
+
+    monkeypatch.setitem(sys.modules, "lazrs", types.SimpleNamespace(LasZipDecompressor=Reader))
+    assert np.allclose(las.records(f"{tmp_path}/a.laz", head, 7, 100)["x"], x[7:], atol=6e-4)
 
 
 def test_stage_lists(spark):
@@ -257,6 +317,33 @@ def test_stage_lists(spark):
         stages.run(points, [{"type": "filters.unknown"}])
 
 
+@pytest.mark.parametrize("name", ["dtm", "chm", "low", "high"])
+def test_packaged_stage_lists_read_and_write(spark, tmp_path, name):
+    from groundswell.model import FILL_WINDOWS, GridSpec
+    from groundswell.operators import neighbours
+    from groundswell.operators.rasterize import fill_gaps, rasterize
+
+    r = np.random.default_rng(12)
+    x, y, z, codes = r.random(400) * 5, r.random(400) * 5, r.random(400) * 15, np.where(np.arange(400) % 2, 2, 5)
+    las.write(f"{tmp_path}/in.las", x, y, z, codes)
+    chain = [f"{tmp_path}/in.las", *stages.packaged(name)]
+    cells, grid = stages.run(None, stages.load(json.dumps(chain)), spark=spark, options={"writers.gdal": {"filename": f"{tmp_path}/out.tif"}})
+    points = read_points(spark, f"{tmp_path}/in.las", "las", default_crs="local")[0]
+    if name == "dtm":
+        own = neighbours.flag_outliers(points).where("classification = 2")
+        value, how, power = "z", "idw", 6.0
+    else:
+        own = neighbours.height_above_ground(points)
+        own = own.where({"chm": "true", "low": "hag < 0.8", "high": "hag <= 12"}[name])
+        value, how, power = "hag", "max" if name == "chm" else "count", 1.0
+    spec = GridSpec.from_points(own, 0.25)
+    want = rasterize(own, spec, value, how, power)
+    want = fill_gaps(want, spec, FILL_WINDOWS[name]) if how != "count" else want
+    assert spec == grid and np.allclose(array_of(cells, (grid.height, grid.width), "value"), array_of(want, (grid.height, grid.width), "value"), equal_nan=True)
+    back, _ = read_raster(spark, f"{tmp_path}/out.tif", "geotiff")
+    assert np.allclose(np.nan_to_num(array_of(back, (grid.height, grid.width), "value")), np.nan_to_num(array_of(want, (grid.height, grid.width), "value")), atol=1e-4)
+
+
 @pytest.mark.parametrize("policy", ["shared", "reference"])
 def test_preprocess_then_infer(spark, policy):
     from groundswell.model import PreprocessOptions
@@ -285,3 +372,9 @@ def test_streaming_intake(spark, tmp_path):
     got = []
     watch(spark, f"{tmp_path}/in", lambda df, n: got.append(df.count()), f"{tmp_path}/state", once=True).awaitTermination(60)
     assert got == [1]
+    r = np.random.default_rng(2)
+    las.write(f"{tmp_path}/one.las", *(r.random(30) for _ in range(3)), np.full(30, 2))
+    las.write(f"{tmp_path}/two.las", *(r.random(20) for _ in range(3)), np.full(20, 2))
+    ids = []
+    watch(spark, str(tmp_path), lambda df, n: ids.extend(r["point_id"] for r in df.collect()), f"{tmp_path}/las-state", once=True, fmt="las").awaitTermination(60)
+    assert len(ids) == len(set(ids)) == 50
