@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +83,15 @@ def validate(points: DataFrame, crs: str | None = None, default_crs: str | None
     if errors and raise_on_error:
         raise ValidationError("\n".join(errors))
     return found
+
+
+def tools() -> dict[str, bool]:
+    """Which optional modules there are: ``onnxruntime`` for model files, ``lazrs`` for compressed clouds, ``zstandard`` for scoring texts."""
+    return {name: importlib.util.find_spec(name) is not None for name in ("onnxruntime", "lazrs", "zstandard")}
+
+
+def need(*names: str) -> None:
+    """Fail before any work where a module that a run needs is missing."""
+    missing = [n for n in names if not tools()[n]]
+    if missing:
+        raise ValidationError(f"missing modules: {', '.join(missing)}")

@@ -102,6 +102,8 @@ def infer(raster: DataFrame, grid: GridSpec, model: Callable | bytes, config: Mo
         raise ValueError("no raster")
     if len(bands) != c.bands:
         raise ValueError(f"the model takes {c.bands} bands")
+    if isinstance(model, bytes | bytearray):
+        validate.need("onnxruntime")
     context = raster.sparkSession.sparkContext
     scene, record = None, {"prediction": False, "nodata_region": None}
     for k, step in enumerate(("segment", "predict")):

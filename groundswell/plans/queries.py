@@ -501,6 +501,109 @@ def scan_raster(spark, sf_dir):
     return read_raster(spark, path)[0]
 
 
+def _file(spark: SparkSession, ending: str) -> str:
+    import uuid
+
+    from groundswell.session import shared_folder
+
+    return f"{shared_folder(spark)}/file-{uuid.uuid4().hex}{ending}"
+
+
+LEVEL = "floor(8 * {} + 0.37) / 8"  # eighths go through float32 as they are
+
+
+def _levels(*columns: str) -> list:
+    return [(F.floor(8 * F.col(c) + 0.37) / 8).alias(c) for c in columns]
+
+
+TIFF_BANDS = ", ".join(f"nullif({LEVEL.format(f'coalesce({b}, 0.0)')}, 0.0) AS {b}" for b in BANDS)
+
+
+@query(f'WITH {POINTS_SQL}, {NORMAL}, t AS (SELECT "row", col, {TIFF_BANDS} FROM nm) SELECT * FROM t WHERE coalesce({", ".join(BANDS)}) IS NOT NULL')
+def normalized_geotiff(spark, sf_dir):
+    """The four bands as one GeoTIFF, read again: all bands, zeros as missing."""
+    from groundswell.sources.raster import read_raster, write_raster
+
+    wide, spec = normal(spark, sf_dir)
+    path = _file(spark, ".tif")
+    write_raster(wide.fillna(0.0, BANDS).select("row", "col", *_levels(*BANDS)), spec, path, "geotiff", BANDS)
+    return read_raster(spark, path, "geotiff")[0]
+
+
+@query(f'WITH {SCENE} SELECT "row", col, value FROM sc')
+def band_mosaic(spark, sf_dir):
+    """One band as a mosaic of files of 32 x 32 cells, read again."""
+    from groundswell.sources.raster import read_raster, write_raster
+
+    cells, h, w = scene(spark, sf_dir)
+    path = _file(spark, "")
+    write_raster(cells, GridSpec(0.0, 0.0, 1.0, w, h), path, "mosaic", ["value"], block=32)
+    return read_raster(spark, path, "mosaic")[0]
+
+
+@query(f"""WITH {POINTS_SQL}, {NORMAL} SELECT "row", col, nullif(floor(8 * (coalesce(dtm,0)+coalesce(chm,0)+coalesce(mrm,0)+coalesce(vdi,0))/4 + 0.37) / 8, 0.0) AS p FROM nm WHERE floor(8 * (coalesce(dtm,0)+coalesce(chm,0)+coalesce(mrm,0)+coalesce(vdi,0))/4 + 0.37) / 8 <> 0""")
+def trail_map_geotiff(spark, sf_dir):
+    """The end of the second pipeline: a probability map written as a GeoTIFF and read again, by batches of tiles of 224 by 112."""
+    from groundswell.model import ModelConfig
+    from groundswell.plans.pipelines import infer
+    from groundswell.sources.raster import read_raster, write_raster
+
+    wide, spec = normal(spark, sf_dir)
+    found, _ = infer(written(wide, "normal"), spec, channel_levels, ModelConfig(tile=min(224, spec.height, spec.width) // 2 * 2, stride=min(224, spec.height, spec.width) // 2, batch_size=4))
+    path = _file(spark, ".tif")
+    write_raster(found.withColumn("p", F.round("p", 4)), spec, path, "geotiff", ["p"])
+    return read_raster(spark, path, "geotiff")[0]
+
+
+@query("""SELECT vec_id, floor(8 * (embedding[1]::DOUBLE + embedding[17] + embedding[33] + embedding[49]) / 4 + 0.37) / 8 AS first, floor(8 * (embedding[16]::DOUBLE + embedding[32] + embedding[48] + embedding[64]) / 4 + 0.37) / 8 AS last FROM embeddings""")
+def predict_onnx(spark, sf_dir):
+    """A model file, loaded from the shared folder, on batches; its raw output in eighths."""
+    from groundswell.operators.predict import load_model
+    from groundswell.plans.surrogate import mean_model
+    from groundswell.sources import files
+
+    path = _file(spark, ".onnx")
+    files.write(path, [mean_model(4, 4)])
+    tiles = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("data"))
+    out = predict(tiles, load_model(path), 4, 4)
+    return out.select("vec_id", F.element_at("data", 1).cast("double").alias("first"), F.element_at("data", 16).cast("double").alias("last")).select("vec_id", *_levels("first", "last"))
+
+
+@query(f"""WITH {SCENE}, m AS (SELECT r, c, CASE WHEN r BETWEEN 12 AND 55 AND c BETWEEN 8 AND 41 THEN (coalesce(value, 0.0) + 1) / 64 ELSE 0.0 END AS value FROM range(70) a(r), range(50) b(c) LEFT JOIN sc ON sc."row" = r AND sc.col = c)
+SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, {LEVEL.format("value")} AS p FROM m""")
+def zero_pad(spark, sf_dir):
+    """Segmentation of the window that has data, with zeros around it up to the whole grid."""
+    cells, h, w = scene(spark, sf_dir)
+    inside = F.col("row").between(12, 55) & F.col("col").between(8, 41)
+    spec = GridSpec(0.0, 0.0, 1.0, w, h)
+    full = spec.all_cells(spark).join(cells, ["row", "col"], "left")
+    wide = written(full.withColumn("value", F.when(inside, (F.coalesce("value", F.lit(0.0)) + 1) / 64).otherwise(0.0)), "windowed")
+    out, _ = tiling.segment(wide, spec, channel_levels, ["value"], TILE, STRIDE, nodata=0.0, batch_size=4)
+    return out.select("row", "col", F.round(F.col("p").cast("double"), 4).alias("p"))
+
+
+@query(f"WITH {POINTS_SQL}, {FLAGS} SELECT point_id, x, y, z, cls AS classification FROM fl WHERE cls = 2")
+def stage_list(spark, sf_dir):
+    """A stage list from a reader to the ground filter, run on a file in the shared folder."""
+    from groundswell.plans import stages
+
+    path = _file(spark, "")
+    points(spark, sf_dir).write.parquet(path)
+    chain = [{"type": "readers.parquet"}, {"type": "filters.outlier", "mean_k": 8, "multiplier": 3.0}, {"type": "filters.expression", "expression": "Classification == 2"}]
+    found, _ = stages.run(None, chain, spark=spark, options={"readers.parquet": {"filename": path}})
+    return found.select("point_id", *[F.col(c).cast("long").alias(c) for c in "xyz"], "classification")
+
+
+@query("""SELECT * FROM (VALUES ('default', 'b', 'warning', 'crs'), ('none', NULL, 'error', 'crs'), ('source', 'a', NULL, NULL)) v("case", crs, severity, code)""")
+def crs_findings(spark, sf_dir):
+    """Which CRS a cloud has and what is said about it: from its source, from the default, from neither."""
+    rows = []
+    for case, source, default in (("source", "a", "b"), ("default", None, "b"), ("none", None, None)):
+        known, findings = validate.crs_of(source, default)
+        rows.append((case, known, *(findings[0][:2] if findings else (None, None))))
+    return spark.createDataFrame(rows, "case string, crs string, severity string, code string")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

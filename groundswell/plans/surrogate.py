@@ -64,3 +64,19 @@ def nearest_sql(name: str, probes: str, build: str, k: int, dims: list[str], edg
   FROM (SELECT * FROM {probes} WHERE point_id NOT IN (SELECT point_id FROM {name}_f)) p, {build} q WHERE p.point_id <> q.point_id) WHERE rank <= {k}),
 {name} AS MATERIALIZED (SELECT a.* FROM {name}_a a SEMI JOIN {name}_f f ON a.point_id = f.point_id UNION ALL SELECT * FROM {name}_b)
 """
+
+
+def mean_model(bands: int, side: int, batch: int = 1) -> bytes:
+    """An ONNX file of one node, the mean over the bands of (batch, bands, side, side): protocol buffer fields, written out."""
+
+    def field(number: int, kind: int, body: bytes) -> bytes:
+        return bytes([number << 3 | kind]) + (body if kind == 0 else bytes([len(body)]) + body)
+
+    def value(name: bytes, *dims: int) -> bytes:
+        shape = b"".join(field(1, 2, field(1, 0, bytes([d]))) for d in dims)
+        return field(1, 2, name) + field(2, 2, field(1, 2, field(1, 0, b"\x01") + field(2, 2, shape)))
+
+    axes = field(1, 2, b"axes") + field(8, 0, b"\x01") + b"\xa0\x01\x07"
+    node = field(1, 2, b"x") + field(2, 2, b"y") + field(4, 2, b"ReduceMean") + field(5, 2, axes)
+    graph = field(1, 2, node) + field(2, 2, b"g") + field(11, 2, value(b"x", batch, bands, side, side)) + field(12, 2, value(b"y", batch, 1, side, side))
+    return field(1, 0, b"\x07") + field(7, 2, graph) + field(8, 2, field(2, 0, b"\x0b"))

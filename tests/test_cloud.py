@@ -129,3 +129,11 @@ def test_blocks_follow_the_occupied_area(spark):
     edge = neighbours._block_edge(cloud(spark, rows), "x", "y", len(rows), 64)
     held = neighbours._cells(cloud(spark, rows), "x", "y", edge).groupBy("bx", "by").count().agg({"count": "max"}).first()[0]
     assert held <= 1024
+
+
+def test_missing_modules_are_named(monkeypatch):
+    monkeypatch.setattr(validate.importlib.util, "find_spec", lambda name: None if name == "lazrs" else object())
+    assert validate.tools() == {"onnxruntime": True, "lazrs": False, "zstandard": True}
+    validate.need("onnxruntime")
+    with pytest.raises(validate.ValidationError, match="lazrs"):
+        validate.need("onnxruntime", "lazrs")

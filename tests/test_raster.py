@@ -15,6 +15,7 @@ from groundswell.operators.predict import predict
 from groundswell.operators.rasterize import fill_gaps, rasterize
 from groundswell.plans import stages
 from groundswell.plans.pipelines import PIPELINES, infer
+from groundswell.plans.surrogate import mean_model
 from groundswell.sources import geotiff, las
 from groundswell.sources.points import merge, read_points
 from groundswell.sources.raster import read_raster, write_raster
@@ -189,27 +190,10 @@ def test_data_window(spark):
     assert none is None and not run["prediction"]
 
 
-def channel_mean_onnx(n):
-    """ReduceMean over axis 1 as a hand-written model file."""
-    def field(k, kind, body):
-        return bytes([k << 3 | kind]) + (body if kind == 0 else bytes([len(body)]) + body)
-
-    def shape(*dims):
-        return b"".join(field(1, 2, field(1, 0, bytes([d]))) for d in dims)
-
-    def tensor(name, *dims):
-        return field(1, 2, name) + field(2, 2, field(1, 2, field(1, 0, b"\x01") + field(2, 2, shape(*dims))))
-
-    axes = field(1, 2, b"axes") + field(8, 0, b"\x01") + b"\xa0\x01\x07"
-    node = field(1, 2, b"x") + field(2, 2, b"y") + field(4, 2, b"ReduceMean") + field(5, 2, axes)
-    graph = field(1, 2, node) + field(2, 2, b"g") + field(11, 2, tensor(b"x", 1, 4, n, n)) + field(12, 2, tensor(b"y", 1, 1, n, n))
-    return field(1, 0, b"\x07") + field(7, 2, graph) + field(8, 2, field(2, 0, b"\x0b"))
-
-
 def test_onnx_models(spark):
     r = np.random.default_rng(6).random((6, 4 * 8 * 8))
     tiles = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(r)], "k int, data array<double>")
-    got = {x["k"]: x["data"] for x in predict(tiles, channel_mean_onnx(8), 4, 8).collect()}
+    got = {x["k"]: x["data"] for x in predict(tiles, mean_model(4, 8), 4, 8).collect()}
     for k, v in enumerate(r):
         assert np.allclose(got[k], v.reshape(4, 64).mean(axis=0), atol=1e-6)
 
@@ -309,7 +293,7 @@ def test_stage_lists(spark):
     rows = [(k, *(float(v) for v in r.random(2) * 5), float(r.random() * 2), int(2 + 3 * (k % 2))) for k in range(300)]
     points = spark.createDataFrame(rows, "point_id long, x double, y double, z double, classification int")
     text = '["in.las", {"type": "filters.hag_nn"}, {"type": "filters.expression", "expression": "HeightAboveGround < 0.8 && Classification != 9"}, {"type": "writers.gdal", "filename": "o.tif", "resolution": 0.25, "output_type": "count", "dimension": "HeightAboveGround"}]'
-    cells, grid = stages.run(points, stages.load(text))
+    cells, grid = stages.run(points, stages.load(text), options={"writers.gdal": {"filename": None}})
     assert cells.count() and grid.res == 0.25
     left, _ = stages.run(points, stages.load('{"pipeline": [{"type": "filters.expression", "expression": "Classification == 2"}]}'))
     assert left.count() == 150
