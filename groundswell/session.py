@@ -64,7 +64,21 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
         atexit.register(forget)
     _WRITTEN.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` has made and that nothing still to be run reads."""
+    for table in tables:
+        _remove(table.sparkSession, table.written_to)
 
 
 def forget(spark: SparkSession | None = None) -> None:
@@ -72,7 +86,5 @@ def forget(spark: SparkSession | None = None) -> None:
     spark = spark or SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
-    for path in _WRITTEN:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _WRITTEN.clear()
+    for path in list(_WRITTEN):
+        _remove(spark, path)
