@@ -12,6 +12,9 @@ found and sorted without holding all of them:
 3. The suffixes left are sorted by the fingerprint of their first ``length`` bytes, one bucket of fingerprints a task at a
    time; equal neighbours are repeated strings.
 
+The same is done over words for passages: strings of ``passage`` words that another document has too. These are counted beside
+the bytes and remove nothing, since a passage may be shorter than ``length`` bytes. Both units share their chunks and jobs.
+
 Buckets are cut by leading fingerprint bits, their number follows the input. A map task sends each bucket one array of
 64-bit fingerprints (a value that it has several times goes once, marked) and gets back a bit an entry, so a string that a
 third of all documents share is an entry a task, and what is shuffled is at most 8 bytes a sample window or suffix left.
@@ -20,7 +23,8 @@ alphabet: only equality matters here. Fingerprints are 64-bit polynomials; two d
 probability n^2 / 2^65.
 
 Cases: null and empty texts have no bytes; texts shorter than ``length`` keep all; overlapping repeats, also within one
-document, count; equal documents of ``length`` bytes or more lose all; repeated rows each give a row; null ids pass
+document, count; equal documents of ``length`` bytes or more lose all; a passage that one document alone repeats is
+none, and equal documents of ``passage`` words or more are passages as a whole; repeated rows each give a row; null ids pass
 through; removing bytes may cut UTF-8 sequences, so what is kept is bytes; an empty table gives no rows; other columns
 are ignored.
 """
@@ -35,10 +39,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, salt_bits, slices, texts_of
+from .common import mix64, salt_bits, slices, split_words, texts_of, word_hashes
 
 CHUNK_BYTES = 4 << 20
 BUCKET_ENTRIES = 1 << 20
+BYTES, WORDS = 0, 1  # units
 STRIDE = 1 << 19  # positions that are fingerprinted at once
 
 
@@ -80,14 +85,15 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Of the ``length`` bytes at each of the ascending places ``at``; all lie within ``data``."""
+    """Of the ``length`` symbols at each of the ascending places ``at``; all lie within ``data`` (bytes, or hashes of words)."""
     up, down, word = _powers()
     out = np.empty(len(at), np.uint64)
     for a in range(0, len(data), STRIDE):
         lo, hi = np.searchsorted(at, [a, a + STRIDE])
         if lo == hi:
             continue
-        part = word[data[a : a + STRIDE + length]]
+        part = data[a : a + STRIDE + length]
+        part = word[part] if data.dtype == np.uint8 else part
         sums = np.concatenate([[np.uint64(0)], np.cumsum(part * down[: len(part)])])
         p = at[lo:hi] - a
         out[lo:hi] = (sums[p + length] - sums[p]) * up[p]
@@ -125,18 +131,26 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _blobs(chunk: int, print_: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(bucket, chunk, distinct fingerprints ascending, a bit each: met several times in this chunk)."""
+def _blobs(chunk: int, print_: np.ndarray, bits: int, unit: int, text: np.ndarray | None) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(unit, bucket, chunk, distinct fingerprints ascending, a bit each: met several times in this chunk).
+
+    With ``text`` (each fingerprint's), several times means in several texts.
+    """
+    if text is not None:
+        order = np.lexsort((text, print_))
+        print_, text = print_[order], text[order]
+        once = np.concatenate([[True], (print_[1:] != print_[:-1]) | (text[1:] != text[:-1])]) if len(print_) else np.empty(0, bool)
+        print_ = print_[once]
     values, n = np.unique(print_, return_counts=True)
     bucket = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(values) else [0]
     for a, b in zip(edges[:-1], edges[1:]):
-        yield int(bucket[a]), chunk, _pack(values[a:b]), np.packbits(n[a:b] > 1).tobytes()
+        yield unit, int(bucket[a]), chunk, _pack(values[a:b]), np.packbits(n[a:b] > 1).tobytes()
 
 
-BLOB = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("prints", pa.binary()), ("several", pa.binary())])
-MARK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("tied", pa.binary())])
-BLOBS, MARKS = "bucket long, chunk long, prints binary, several binary", "chunk long, bucket long, tied binary"
+BLOB = pa.schema([("unit", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("prints", pa.binary()), ("several", pa.binary())])
+MARK = pa.schema([("unit", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("tied", pa.binary())])
+BLOBS, MARKS = "unit int, bucket long, chunk long, prints binary, several binary", "unit int, chunk long, bucket long, tied binary"
 
 
 def _chunk_of(table: pa.Table) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray, np.ndarray]:
@@ -148,15 +162,22 @@ def _chunk_of(table: pa.Table) -> tuple[list[bytes], list[int], np.ndarray, np.n
     return texts, counts, np.frombuffer(b"".join(texts), np.uint8), sizes, np.cumsum(sizes) - sizes
 
 
+def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, each text's number of them and their starts."""
+    codes, names, offsets = split_words(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    flat = mix64(word_hashes(names))[codes] if len(names) else np.empty(0, np.uint64)
+    return flat, np.diff(offsets), offsets[:-1]
+
+
 class Plan:
-    """The parameters of a run; it travels to the workers."""
+    """The parameters of a run over one unit; it travels to the workers."""
 
-    def __init__(self, length: int, q: int, sample_bits: int, suffix_bits: int):
-        self.length, self.v = length, q * q + q + 1
+    def __init__(self, unit: int, length: int, q: int, sample_bits: int, suffix_bits: int):
+        self.unit, self.length, self.v = unit, length, q * q + q + 1
         self.cover, self.window = difference_cover(q), length + 1 - self.v
         self.sample_bits, self.suffix_bits = sample_bits, suffix_bits
         if self.window < 1:
-            raise ValueError(f"a cover modulo {self.v} needs strings of at least as many bytes")
+            raise ValueError(f"a cover modulo {self.v} needs strings of at least as many symbols")
 
     def sample(self, data, sizes, starts) -> tuple[np.ndarray, np.ndarray]:
         places = sample_places(sizes, starts, self.cover, self.v, self.window)
@@ -164,13 +185,28 @@ class Plan:
 
     def suffixes(self, data, sizes, starts, ranks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         places, names = self.sample(data, sizes, starts)
-        left = left_suffixes(sizes, starts, places, _tied(names, ranks), self.v, self.length)
+        left = left_suffixes(sizes, starts, places, _tied(names, ranks, self.unit), self.v, self.length)
         return left, fingerprints(data, left, self.length)
 
+    def blobs(self, chunk: int, found: tuple[np.ndarray, np.ndarray], starts: np.ndarray, bits: int) -> list[dict]:
+        places, names = found
+        text = np.searchsorted(starts, places, side="right") if self.unit == WORDS else None
+        return [dict(zip(BLOB.names, r)) for r in _blobs(chunk, names, bits, self.unit, text)]
+
+    def covered(self, data, sizes, starts, ranks: pa.Table, answers: pa.Table) -> np.ndarray:
+        """For each symbol whether a repeated string covers it."""
+        left, names = self.suffixes(data, sizes, starts, ranks)
+        hit = left[_tied(names, answers, self.unit)]
+        change = np.zeros(len(data) + 1, np.int64)
+        change[hit] += 1
+        change[hit + self.length] -= 1  # no place twice
+        return np.cumsum(change[:-1]) > 0
+
 
-def _tied(prints: np.ndarray, marks: pa.Table) -> np.ndarray:
+def _tied(prints: np.ndarray, marks: pa.Table, unit: int) -> np.ndarray:
     """For each fingerprint whether it is met elsewhere, from the buckets' answers."""
     values, inverse = np.unique(prints, return_inverse=True)
+    marks = marks.filter(pc.equal(marks["unit"], unit))
     got = sorted(zip(marks["bucket"].to_pylist(), marks["tied"].to_pylist()))
     parts = []
     for _, packed in got:
@@ -182,20 +218,26 @@ def _tied(prints: np.ndarray, marks: pa.Table) -> np.ndarray:
     return flags[inverse] if len(values) else np.empty(0, bool)
 
 
-def _to_sample(plan: Plan):
+def _views(plans: list[Plan], texts: list[bytes], data: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[Plan, tuple]]:
+    """Each plan with its symbols, their number by text, and the texts' starts."""
+    for plan in plans:
+        yield plan, (data, sizes, starts) if plan.unit == BYTES else _words_of(texts)
+
+
+def _to_sample(plans: list[Plan]):
     def run(key, table):
-        _, _, data, sizes, starts = _chunk_of(table)
-        return pa.Table.from_pylist([dict(zip(BLOB.names, r)) for r in _blobs(key[0].as_py(), plan.sample(data, sizes, starts)[1], plan.sample_bits)], schema=BLOB)
+        texts, _, *own = _chunk_of(table)
+        return pa.Table.from_pylist([r for plan, view in _views(plans, texts, *own) for r in plan.blobs(key[0].as_py(), plan.sample(*view), view[2], plan.sample_bits)], schema=BLOB)
 
     return run
 
 
-def _to_suffixes(plan: Plan):
+def _to_suffixes(plans: list[Plan]):
     def run(key, table, ranks):
         if not table.num_rows:
             return BLOB.empty_table()
-        _, _, data, sizes, starts = _chunk_of(table)
-        return pa.Table.from_pylist([dict(zip(BLOB.names, r)) for r in _blobs(key[0].as_py(), plan.suffixes(data, sizes, starts, ranks)[1], plan.suffix_bits)], schema=BLOB)
+        texts, _, *own = _chunk_of(table)
+        return pa.Table.from_pylist([r for plan, view in _views(plans, texts, *own) for r in plan.blobs(key[0].as_py(), plan.suffixes(*view, ranks), view[2], plan.suffix_bits)], schema=BLOB)
 
     return run
 
@@ -216,31 +258,36 @@ def _sort_bucket(key, table):
     for b in blobs:
         out.append(len(b).to_bytes(4, "little") + np.packbits(tied[at : at + len(b)]).tobytes())
         at += len(b)
-    return pa.Table.from_arrays([table["chunk"], table["bucket"], pa.array(out, pa.binary())], schema=MARK)
+    return pa.Table.from_arrays([table["unit"], table["chunk"], table["bucket"], pa.array(out, pa.binary())], schema=MARK)
+
 
+RESULT = "text_sha256 string, n_bytes long, n_removed long, n_spans long, spans binary, kept binary, n_passages long, n_passage_words long"
 
-RESULT = "text_sha256 string, n_bytes long, n_removed long, n_spans long, spans binary, kept binary"
 
+def _runs(flags: np.ndarray) -> np.ndarray:
+    """Begin and end of each maximal run."""
+    step = np.diff(flags.astype(np.int8), prepend=0, append=0)
+    return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1)
 
-def _remove(plan: Plan):
+
+def _remove(plans: list[Plan]):
     import hashlib
 
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(table, ranks, answers):
-        texts, counts, data, sizes, starts = _chunk_of(table)
-        left, names = plan.suffixes(data, sizes, starts, ranks)
-        hit = left[_tied(names, answers)]
-        change = np.zeros(len(data) + 1, np.int64)
-        change[hit] += 1
-        change[hit + plan.length] -= 1  # no place twice
-        gone = np.cumsum(change[:-1]) > 0
+        texts, counts, data, *own = _chunk_of(table)
+        gone = {plan: (view, plan.covered(*view, ranks, answers)) for plan, view in _views(plans, texts, data, *own)}
         rows = []
-        for text, n, a, m in zip(texts, counts, starts.tolist(), sizes.tolist()):
-            own = np.ones(m, bool) if n > 1 and m >= plan.length else gone[a : a + m]
-            step = np.diff(own.astype(np.int8), prepend=0, append=0)
-            spans = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1)
-            rows.append((hashlib.sha256(text).hexdigest(), m, int(own.sum()), len(spans), spans.astype("<i8").tobytes(), data[a : a + m][~own].tobytes()))
+        for k, (text, n) in enumerate(zip(texts, counts)):
+            flags = []
+            for plan, ((_, sizes, starts), hit) in gone.items():
+                a, m = int(starts[k]), int(sizes[k])
+                flags.append(np.ones(m, bool) if n > 1 and m >= plan.length else hit[a : a + m])
+            out, *words = flags
+            spans, a = _runs(out), int(own[1][k])
+            passages = (len(_runs(words[0])), int(words[0].sum())) if words else (0, 0)
+            rows.append((hashlib.sha256(text).hexdigest(), len(text), int(out.sum()), len(spans), spans.astype("<i8").tobytes(), data[a : a + len(text)][~out].tobytes(), *passages))
         return rows
 
     def both(key, table, marks):
@@ -261,25 +308,28 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table([made["text"].cast(pa.binary()), made["n_sum"]], names=["text", "n"]).combine_chunks().to_batches()
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, q: int = 11) -> DataFrame:
-    """One row a different text: text_sha256, n_bytes, n_removed, n_spans, spans (pairs of little-endian 64-bit begin and end), kept (bytes)."""
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, q: int = 11, passage: int = 50, passage_q: int = 5) -> DataFrame:
+    """One row a different text: text_sha256, n_bytes, n_removed, n_spans, spans (pairs of little-endian 64-bit begin and end), kept (bytes),
+    n_passages and n_passage_words (runs of words that strings of ``passage`` words cover which another document has; 0: don't look)."""
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-total // CHUNK_BYTES))
-    plan = Plan(length, q, salt_bits(total // q, BUCKET_ENTRIES), salt_bits(total // 8, BUCKET_ENTRIES))
+    plans = [Plan(BYTES, length, q, salt_bits(total // q, BUCKET_ENTRIES), salt_bits(total // 8, BUCKET_ENTRIES))]
+    if passage:
+        plans.append(Plan(WORDS, passage, passage_q, salt_bits(total // (6 * passage_q), BUCKET_ENTRIES), salt_bits(total // 48, BUCKET_ENTRIES)))
     parts = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parted = text.mapInArrow(_merge, "text binary, n long").withColumn("chunk", F.pmod(F.xxhash64("text"), F.lit(chunks)))
     parted = parted.repartition(parts, "chunk")
     by = lambda df: df.groupBy("chunk")
-    ranks = by(parted).applyInArrow(_to_sample(plan), BLOBS).groupBy("bucket").applyInArrow(_sort_bucket, MARKS)
-    answers = by(parted).cogroup(by(ranks)).applyInArrow(_to_suffixes(plan), BLOBS).groupBy("bucket").applyInArrow(_sort_bucket, MARKS)
+    ranks = by(parted).applyInArrow(_to_sample(plans), BLOBS).groupBy("unit", "bucket").applyInArrow(_sort_bucket, MARKS)
+    answers = by(parted).cogroup(by(ranks)).applyInArrow(_to_suffixes(plans), BLOBS).groupBy("unit", "bucket").applyInArrow(_sort_bucket, MARKS)
     marks = ranks.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
-    return by(parted).cogroup(by(marks)).applyInArrow(_remove(plan), RESULT)
+    return by(parted).cogroup(by(marks)).applyInArrow(_remove(plans), RESULT)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = repeated_spans(docs, text_col, **options).select("text_sha256", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words."""
+    found = repeated_spans(docs, text_col, **options).withColumn("kept_sha256", F.sha2("kept", 256)).drop("spans", "kept")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))
-    return asked.join(found, "text_sha256", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return asked.join(found, "text_sha256", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words")
