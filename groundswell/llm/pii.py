@@ -1,11 +1,14 @@
 """Personal data: candidate spans scored by gradient-boosted trees, beside rules that always hold. DataFrame functions only.
 
-Rules (kinds email, ip, card, phone) give the base spans, which stay. Generators of high recall propose further, overlapping spans; a
-candidate's label is whether it is a base span of its kind. Format features (digits, signs, parts) and context features (the
-characters around it, words before it) are small integers, so all candidates of the corpus are a table of feature
-combinations with counts: at most ``CELLS`` rows, which the driver reads. Boosted trees of depth two are fitted to that table; each score is
-calibrated to the share of base spans among the candidates at or above it, and the threshold is the least score with a share of
-``precision``. Candidates at the threshold or above are added where they overlap no base span and no better candidate.
+Rules (kinds email, ip, card, phone) give the base spans, which stay. Generators of high recall propose further, overlapping spans of these
+kinds and of secrets (runs of letters and digits as keys have them). A candidate's label is evidence that isn't its format: an
+address ends in a domain of letters, an ip's parts are 255 at most, a card's digits pass Luhn, a phone is a rule's or stands behind a
+word for one, a secret stands behind a word for one or has a run of digits in every twelve characters. Format features (digits, signs, parts, size) and context features (the characters
+around it, words before it; not those that a secret's label looks for) are small integers, so all candidates of the corpus are a table of
+feature combinations with counts: at most 2 x ``CELLS`` rows, which the driver reads. Boosted trees of depth two are fitted to the candidates of
+one half of the documents (by a hash of the text), and on the other half each kind gets its own threshold: the least score at or above which
+a share of ``precision`` of its candidates has the evidence. Candidates at their kind's threshold or above are added, with or without evidence of
+their own, where they overlap no base span and no better candidate.
 
 A match's place comes from the pieces between matches: their lengths are summed in a window over the document's rows, so a text
 of very many matches costs in proportion to them. Quantifiers are possessive where nothing that follows can match less,
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import hold_splits
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
 #: Same matches as the rules' own patterns: the look-behinds skip starts within a run that can only fail like its first.
 RULES = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -37,9 +40,12 @@ GENERATORS = [
     ("ip", r"(?<![0-9.])[0-9]++(?:[.,_][0-9]++){3}"),
     ("card", r"(?<![0-9])[0-9]++(?:[\x20./_-][0-9]++)*+"),
     ("phone", r"(?<![0-9])[+(]?[0-9](?:[\x20()./0-9-]*[0-9])?"),
+    ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"),
 ]
 WORDS = r"(?i)(?:tel|phone|fax|call|mail|card|visa|konto|host|server|\bip\b)[^\n]*$"
-FEATURES = {"kind": 4, "digits": 10, "signs": 32, "parts": 6, "before": 5, "after": 5, "word": 2}
+CALLED = r"(?i)(?:tel|phone|fax|call|mobil)[^\n]*$"
+KEYED = r"(?i)(?:token|key|secret|passw|pwd|auth|credential)[^\n]{0,12}$"
+FEATURES = {"kind": 5, "digits": 10, "signs": 32, "parts": 6, "before": 5, "after": 5, "word": 2}
 CELLS = math.prod(FEATURES.values())
 
 
@@ -88,23 +94,35 @@ def matches(texts: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("end", upto).withColumn("after", F.coalesce(F.lead("first").over(own), F.lit(""))).where("value IS NOT NULL")
     rows = rows.withColumn("start", F.col("end") - F.length("value"))
     n = F.length(F.regexp_replace("value", "[^0-9]", ""))
-    keep = F.when(F.col("rule"), _valid(F.col("kind"), F.col("value"))).when(F.col("kind").isin("card", "phone"), n.between(7, 24)).otherwise(True)
-    sign = lambda c, bit: F.when(F.col("value").contains(c), bit).otherwise(0)
+    kind, value, before = F.col("kind"), F.col("value"), F.col("before")
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    keep = F.when(F.col("rule"), _valid(kind, value)).when(kind.isin("card", "phone"), n.between(7, 24)).when(kind == "secret", mixed).otherwise(True)
+    evidence = (
+        F.when(kind == "email", value.rlike(r"^[^@]*[\pL\pN][^@]*@[^@]*[\pL\pN]\.\pL{2,24}\.?$"))
+        .when(kind == "ip", _valid(F.lit("ip"), F.regexp_replace(value, "[,_]", ".")))
+        .when(kind == "card", F.when(n.between(13, 19), _luhn(F.regexp_replace(value, "[^0-9]", ""))).otherwise(False))
+        .when(kind == "phone", n.between(7, 15) & before.rlike(CALLED))
+        .otherwise(before.rlike(KEYED) | ((F.size(F.split(value, "[0-9]+")) - 1) * 12 >= F.length(value)))
+    )
+    sign = lambda c, bit: F.when(value.contains(c), bit).otherwise(0)
+    number = F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
+    size = F.length(value)
+    length = F.when(size < 24, 0).when(size < 32, 1).when(size < 40, 2).when(size < 48, 3).when(size < 96, 4).otherwise(5)
     return rows.where(keep).select(
-        key, F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("number"), "rule", F.col("start").cast("long"), F.col("end").cast("long"),
+        key, number.alias("number"), "rule", F.col("start").cast("long"), F.col("end").cast("long"), F.coalesce(evidence, F.lit(False)).alias("evidence"),
         F.struct(
-            (F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1).cast("int").alias("kind"),
+            (number - 1).alias("kind"),
             F.when(n < 7, 0).when(n < 10, 1).when(n <= 11, 2).when(n <= 13, 3).when(n == 14, 4).when(n == 15, 5).when(n == 16, 6).when(n <= 19, 7).when(n <= 21, 8).otherwise(9).alias("digits"),
             (sign("+", 1) + sign("(", 2) + sign(" ", 4) + sign("-", 8) + sign(".", 16)).alias("signs"),
-            F.least(F.size(F.split("value", r"[.,_]")), F.lit(FEATURES["parts"])).alias("parts") - 1,
+            F.when(kind == "secret", length).otherwise(F.least(F.size(F.split("value", r"[.,_]")), F.lit(FEATURES["parts"])) - 1).alias("parts"),
             _class(F.substring("before", -1, 1)).alias("before"), _class(F.col("after")).alias("after"),
-            F.when(F.col("before").rlike(WORDS), 1).otherwise(0).alias("word"),
+            F.when(F.col("before").rlike(WORDS) & (kind != "secret"), 1).otherwise(0).alias("word"),
         ).cast(", ".join(["struct<" + ", ".join(f"{f}:int" for f in FEATURES) + ">"])).alias("features"),
     )
 
 
 def boost(cells: list[tuple[tuple[int, ...], int, int]], rounds: int = 30, rate: float = 0.3, ridge: float = 1.0) -> list[tuple]:
-    """Trees of depth two for cells (features, candidates, base spans): (split, (split, low, high), (split, low, high)).
+    """Trees of depth two for cells (features, candidates, how many of them have the evidence): (split, (split, low, high), (split, low, high)).
 
     A split (feature, value) sends value or less low. Gradient boosting with the logistic loss, Newton leaves.
     """
@@ -157,7 +175,7 @@ def score_of(trees: list[tuple], features: tuple[int, ...]) -> float:
 
 
 def threshold(trees: list[tuple], cells: list[tuple], precision: float) -> float:
-    """The least score at or above which ``precision`` of the candidates are base spans; infinite if there is none."""
+    """The least score at or above which ``precision`` of the candidates have the evidence; infinite if there is none."""
     by_score: dict[float, list[int]] = {}
     for features, n, y in cells:
         cell = by_score.setdefault(round(score_of(trees, features), 9), [0, 0])
@@ -185,16 +203,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precis
     hold_splits(docs.sparkSession)  # rows are numbered by split, in two scans of the table
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
-    found = matches(base.select("row", "text"), "row")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+    found = matches(base.select(F.struct("row", half.alias("half")).alias("of"), "text"), "of").select("of.row", "of.half", "number", "rule", "start", "end", "evidence", "features")
     span = F.struct("start", "number", "end")
-    # A candidate is good if a rule has the same span and kind.
-    same = found.groupBy("row", "number", "start", "end").agg(F.bool_or("rule").alias("base"), F.max(F.when(~F.col("rule"), F.col("features"))).alias("features"))
-    cells = same.where("features IS NOT NULL").groupBy("features").agg(F.count("*").alias("n"), F.count_if("base").alias("good")).collect()  # at most CELLS rows
-    cells = sorted((tuple(r["features"]), r["n"], r["good"]) for r in cells)
-    trees = boost(cells, rounds)
-    least = threshold(trees, cells, precision) if trees else math.inf
+    same = found.groupBy("row", "number", "start", "end").agg(
+        F.bool_or("rule").alias("base"), F.first("half").alias("half"), F.bool_or("evidence").alias("evidence"), F.max(F.when(~F.col("rule"), F.col("features"))).alias("features")
+    )
+    good = F.col("evidence") | (F.col("base") & (F.col("number") == KINDS.index("phone") + 1))
+    counted = same.where("features IS NOT NULL").groupBy("half", "features").agg(F.count("*").alias("n"), F.count_if(good).alias("good")).collect()  # at most 2 x CELLS rows
+    halves = [sorted((tuple(r["features"]), r["n"], r["good"]) for r in counted if r["half"] == h) for h in (0, 1)]
+    trees = boost(halves[0], rounds)
+    least = [threshold(trees, [c for c in halves[1] if c[0][0] == k], precision) if trees else math.inf for k in range(len(KINDS))]
     score = F.when(F.col("features").isNotNull(), _score(trees)) if trees else F.lit(None).cast("double")
-    kept = same.withColumn("score", score).where(F.col("base") | (F.col("score") >= F.lit(least)))
+    limit = F.element_at(F.array(*[F.lit(float(x)) for x in least]), F.col("number"))
+    kept = same.withColumn("score", score).where(F.col("base") | (F.col("score") >= limit))
     lists = kept.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(F.col("base"), span))).alias("base"),
         F.collect_list(F.when(~F.col("base"), F.struct("score", "start", "number", "end"))).alias("more"),
@@ -217,7 +239,7 @@ def written_out(spans: str) -> Column:
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """One row a document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """One row a document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_spans (all of them)."""
     found = find(docs, **options)
-    counts = [F.size(F.filter(F.transform("base", lambda s: s["number"]), lambda n: n == F.array_position(F.array(*map(F.lit, KINDS)), F.lit(kind)))).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written_out("base"), 256).alias("base_sha256"), written_out("spans").alias("spans"))
+    counts = [F.size(F.filter(F.transform("base", lambda s: s["number"]), lambda n: n == F.lit(k + 1))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(RULES)]
+    return found.select("doc_id", *counts, F.sha2(written_out("base"), 256).alias("base_sha256"), written_out("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
