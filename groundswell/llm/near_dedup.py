@@ -18,8 +18,8 @@ Linking does not list the pairs of a key:
    compared with all on full sets, block against block: what a hub did not reach is compared with everything, and only
    confirmed links are listed.
 
-So a link within the distance is lost only where its sketches differ in more than ``sketch`` bits (probability below 1e-6
-at 0.8). Components, links and texts stay in tables in the shared folder.
+So no link within the distance is lost: sketches may differ in as many bits as signatures in symbols. Components, links and texts
+stay in tables in the shared folder.
 
 Cases: null, empty and wordless texts have the empty set and are linked with nothing; fewer words than a shingle are one
 shingle; equal sets are linked; null ids take part, and a component's id is the least that isn't null; repeated rows
@@ -236,9 +236,10 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("l_a <> l_b")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, symbols: int = 64, distance: int = 27, errors: int = 1, sketch: int = 20) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, symbols: int = 64, distance: int = 27, errors: int = 1, sketch: int | None = None) -> DataFrame:
     """One row a document: doc_id, print (hash of the text), node (null for the empty set), n_shingles, label (null for
     a node without links): nodes of one label are connected by links of similarity ``least`` percent or more."""
+    sketch = distance if sketch is None else sketch  # bits differ only where symbols do: nothing within the distance is lost
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"))
     signed = written(base.mapInArrow(_sign(words, symbols), "doc_id long, print long, node long, n long, sign binary"), "near-signs")
@@ -368,11 +369,14 @@ def _compare_blocks(words: int, least: int):
             number, begins = np.cumsum([0, *map(len, mine[1])]), None
             names, flat = np.unique(np.concatenate(mine[1]), return_inverse=True)
             begins, sizes = number[:-1], np.diff(number)
-            nodes = members["node"].to_pylist()
+            nodes, labels = members["node"].to_pylist(), members["label"].to_numpy()
+            own_labels = dict(zip(asked["node"].to_pylist(), asked["label"].to_pylist()))
             for s, node in zip(mine[0], asked["node"].to_pylist()):
                 mark = np.isin(names, s, assume_unique=True)
                 both = np.add.reduceat(mark[flat], begins, dtype=np.int64)
-                out += [(node, nodes[k]) for k in np.flatnonzero(100 * both >= least * (len(s) + sizes - both))]
+                hit = np.flatnonzero(100 * both >= least * (len(s) + sizes - both))
+                hit = hit[labels[hit] != own_labels[node]]
+                out += [(node, nodes[k]) for k in hit[np.unique(labels[hit], return_index=True)[1]].tolist()]  # one for a component
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -391,10 +395,10 @@ def _against(members: DataFrame, texts: DataFrame, words: int, least: int) -> Da
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     met = members.join(load, "other")
     ask = met.where("label <> largest").withColumn("x", slot("node", F.col("asks"))).withColumn("y", upto("blocks"))
-    ask = ask.select("other", "x", "y", "node").join(texts, "node")
+    ask = ask.select("other", "x", "y", "node", "label").join(texts, "node")
     member = met.withColumn("y", slot("node", F.col("blocks"))).withColumn("x", upto("asks"))
-    member = member.select("other", "x", "y", "node").join(texts, "node")
-    own_names = lambda df: df.select(*[F.col(c).alias(c) for c in ("other", "x", "y", "node", "text")])
+    member = member.select("other", "x", "y", "node", "label").join(texts, "node")
+    own_names = lambda df: df.select(*[F.col(c).alias(c) for c in ("other", "x", "y", "node", "label", "text")])
     ask, member = own_names(ask), own_names(member)  # both come from the same tables
     return ask.groupBy("other", "x", "y").cogroup(member.groupBy("other", "x", "y")).applyInArrow(_compare_blocks(words, least), "a long, b long")
 
