@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -81,6 +82,17 @@ def discard(*tables: DataFrame) -> None:
         _remove(table.sparkSession, table.written_to)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that have ended: Spark removes them when the driver holds no reference to them any more.
+
+    The first collection comes before the last events of a job have been told to its listeners, which hold on to it.
+    """
+    for _ in range(2):
+        time.sleep(0.7)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+
+
 def forget(spark: SparkSession | None = None) -> None:
     """Remove all tables that ``written`` has made; DataFrames that were built on them can't be run any more."""
     spark = spark or SparkSession.getActiveSession()
