@@ -134,7 +134,7 @@ def _taught(width: int, posterior: dict[int, float]):
             cut = np.searchsorted(rows[np.argsort(rows, kind="stable")], np.arange(len(s) + 1))
             order = np.argsort(rows, kind="stable")
             lists = [(cols[order[a:b]].tolist(), values[order[a:b]].tolist()) for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in lists], pa.list_(pa.int64())), pa.array([x for _, x in lists], pa.list_(pa.float64())), pa.array([posterior[int(m)] for m in made], pa.float64())], names=["cols", "vals", "target"])
+            yield pa.RecordBatch.from_arrays([part.column("hash"), pa.array([x for x, _ in lists], pa.list_(pa.int64())), pa.array([x for _, x in lists], pa.list_(pa.float64())), pa.array([posterior[int(m)] for m in made], pa.float64())], names=["hash", "cols", "vals", "target"])
 
     return run
 
@@ -163,8 +163,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     posterior = dict(zip(numbers.tolist(), post.tolist()))
     hashed = base.withColumn("hash", F.xxhash64(F.lit(29), "doc_id", "text"))
     last = hashed.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]  # hashes only: texts stay where they are
-    taken = hashed.where(F.col("hash") <= F.lit(last)).orderBy("hash", "doc_id").limit(sample).select("text")
-    rows = taken.mapInArrow(_taught(width, posterior), "cols array<long>, vals array<double>, target double").toPandas()
+    taken = hashed.where(F.col("hash") <= F.lit(last)).select("text", "hash")  # rows equal in id and text count once
+    made = taken.mapInArrow(_taught(width, posterior), "hash long, cols array<long>, vals array<double>, target double")
+    rows = made.dropDuplicates(["hash"]).toPandas().sort_values("hash", ignore_index=True)  # ``sample`` rows at most
     number = rows["cols"].map(len).to_numpy() if len(rows) else np.empty(0, np.int64)
     flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in rows[c]]) if len(rows) else np.empty(0, kind)
     weights = fit(np.repeat(np.arange(len(rows)), number), flat("cols", np.int64), flat("vals", float), rows["target"].to_numpy(), width) if len(rows) else np.zeros((1 << width) + 1)
