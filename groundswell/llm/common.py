@@ -54,6 +54,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         give_back()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, batches put together and cut so that pieces have about ``most`` bytes of ``column``."""
+    held, size = [], 0
+    for part in slices(batches, column, most):
+        n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+        if held and size + n > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(part)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on between stages, beside those of later ones."""
     pa.default_memory_pool().release_unused()

@@ -159,7 +159,7 @@ def _predictor(profiles: dict[str, list[str]], longest: int, size: int):
             there_is = np.zeros(len(known.code) + 1, bool)
             there_is[used] = True
             own = np.bincount(doc, minlength=rows)
-            best, name, second = np.full(rows, np.inf), np.full(rows, -1), np.full(rows, np.inf)
+            best, name = np.full(rows, np.inf), np.full(rows, -1)
             for k, lang in enumerate(langs):
                 place = np.full(total, -1, np.int64)
                 for r, g in enumerate(profiles[lang]):
@@ -168,7 +168,6 @@ def _predictor(profiles: dict[str, list[str]], longest: int, size: int):
                 there = place[gram]
                 far = np.bincount(doc, weights=np.where(there < 0, size, np.minimum(size, np.abs(there - rank))), minlength=rows)
                 better = far < best
-                second = np.where(better, best, np.minimum(second, far))
                 best, name = np.where(better, far, best), np.where(better, k, name)
             ok = (own > 0) & (name >= 0)
             score = np.where(ok, 1 - np.where(ok, best, 0) / np.maximum(1, own * size), 0.0)

@@ -27,8 +27,9 @@ from groundswell.session import written
 
 from .common import WORD, running_sum, salt_bits, unused
 
-#: Numerator of the golden-ratio step over 2^31 (odd, so that 2^31 points differ).
-STEP, UNIT = 1327217885, 1 << 31
+#: Numerator of the golden-ratio step over 2^62 (odd, so that 2^62 points differ): round(2^62 (sqrt(5) - 1) / 2).
+UNIT = 1 << 62
+STEP = (math.isqrt(5 << 122) - (1 << 61)) | 1
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -82,7 +83,8 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     for g in goals[:-1]:
         upto += g
         bounds.append(upto / total if total else 1.0)
-    point = ((F.col("slot") * STEP) % UNIT) / F.lit(float(UNIT))
+    whole = lambda x: F.lit(x).cast(T.DecimalType(19, 0))
+    point = ((F.col("slot").cast(T.DecimalType(19, 0)) * whole(str(STEP))) % whole(str(UNIT))).cast("double") / F.lit(float(UNIT))
     slots = spark.range(count).select(F.col("id").alias("slot"))
     own = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= point)) if bounds else F.lit(0)
     slots = slots.withColumn("source_id", own.cast("int"))
