@@ -1,29 +1,34 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 A symbol is a word (A-Z lower-cased) or the end of a text. The root gives a symbol the add-0.1 share of its count among all training
-tokens (unseen words are one symbol). Contexts are the symbols before, back to the text's start, seen at least twice in training
-(so their suffixes are too), by length until a length has no state. With a number for ``longest`` the tree is a bounded one: contexts
-of up to so many symbols, and a longer one must end a pair of a state.
-A context is a state if its next-symbol counts diverge from its suffix's by a deleted
-estimate: each training occurrence is predicted from the others, and the gain in log-likelihood over the next shorter state must
-exceed the log of the context's count. So a context whose next symbols are all new teaches nothing, and one that repeats does.
+tokens (unseen words are one symbol). A context is the symbols before, back to the text's start, and is looked at if it is seen at least twice in
+training (so its suffixes are too), at whatever length. It is a state if its next-symbol counts diverge from its suffix's by a
+deleted estimate: each training occurrence is predicted from the others, and the gain in log-likelihood over the next shorter
+state must exceed the log of the context's count. So a context whose next symbols are all new teaches nothing, and one that repeats does.
 A state's probabilities are smoothed with the next shorter one's: p = (c + k p') / (n + k), where the context has n occurrences and
-k = n^(3/4). A symbol's score is that of the longest suffix that is a state. The pairs of a context with ``CLASS`` occurrences or more are dealt out by
-hash classes of its next symbols, so that no task has all of a very frequent context; its classes' gains are summed and it is tested once.
+k = n^(3/4). A symbol's score is that of the longest suffix that is a state.
 
-Data flow: the tree isn't collected, it is as large as the corpus makes it; the driver gets only which frequent contexts are states (fewer than
-one for ``CLASS`` tokens a length) and sends them with the next length's work. Each length is a job.
+A context is closed, and longer ones aren't looked at, when none of these can be a state: a symbol seen c times gains at most
+c log(((c - 1) / p + k) / (c - 1 + k)) with k = c^(3/4) under any longer context, once-seen symbols gain nothing, and the sum has to exceed
+log 2; of one symbol alone, the log of as many occurrences as it has. Closing changes no result: it follows the counts, and
+it is what makes the levels beyond the fourth small.
+
+Data flow: the tree isn't collected, it is as large as the corpus makes it.
 1. A pass cuts the input into chunks: documents as word numbers, and the chunk's distinct word hashes. Texts aren't shuffled.
 2. Each chunk sends each bucket of hashes one sorted array with training counts and gets counts back: the root.
-3. Length by length, each chunk sends its distinct (context, symbol) pairs, by the context's hash, with training counts, the
-   context's n and the shorter state's probability; the bucket has all of a context, tests it, and answers with
-   1 + c, or for no state with -c from 2 on (the pair is a longer context), else 0. Of a frequent context it has a class: it answers with 1 + c and gives the class's gain, for
-   the sum by context.
-4. Chunks sum their tokens' scores by document.
-
-An entry is sent once a chunk, so a word or phrase of a third of all documents is as many entries as there are chunks.
-Symbols go by 64-bit hashes of words; pairs by 40 bits of the context and 24 of the symbol; p' by eighths of a nat, in the test only. ``docs`` should be a table read from files: its splits number the
-chunks, and a pass that saw others is refused.
+3. Length by length up to ``near``, each chunk sends its distinct (context, symbol) pairs of open contexts, by the context's hash, with
+   training counts and the shorter state's p; the bucket has all of a context, tests it, and answers with the pair's and the context's
+   counts, whether it is a state and whether it is open. The pairs of a context seen ``frequent`` times or more are dealt out by
+   classes of the next symbol, so that no task has all of it; its classes' gains are summed in a table, joined to the chunks that asked, and
+   decide once. Such a context is never closed.
+4. From there on a chunk sends each open (context, symbol) once with the ``WINDOW`` symbols before it, then with four times as many, and
+   so on; a bucket grows the whole subtree over them. So rounds are as many as the logarithm of the longest repeated passage.
+5. From length 3 on, a chunk's open symbols with their p, and the sums of the closed ones by document, are a table; the sums are the result.
+
+An entry is sent once a chunk, so a word or phrase of a third of all documents is as many entries as there are chunks. Words, contexts
+and windows go by 64-bit hashes, the symbols of one context by the numbers that the root's buckets give all words, the commonest the least
+(from length 3 on by 40 bits of a hash); p' in the test by its surprise, in steps of 1/200 of its
+logarithm. Texts are read once, for the chunks.
 
 Cases: null and empty texts are the end symbol alone; a null id counts as the text without characters for the fold; repeated rows
 each give a row; with no training rows all counts are 0; long texts are used whole; an empty table gives no rows; other columns
@@ -38,21 +43,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundswell.session import written
+from groundswell.session import discard, free_shuffles, shared_folder, written
 
-from .common import hold_splits, mix64, salt_bits, slices, split_words, texts_of, word_hashes
+from .common import gathered, mix64, salt_bits, split_words, texts_of, word_hashes
 
-END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-STEP = np.uint64(0x9E3779B97F4A7C15)
-NEXT_BITS = np.uint64(24)
+END, START, NONE = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179), np.uint64(0)
+STEP, BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+SYMBOL_BITS = np.uint64(40)
+LAST = np.uint64((1 << 40) - 1)  # the number of the end symbol
 BUCKET_ENTRIES = 1 << 19
-CLASS = 1 << 16
-CHUNK_BYTES = 4 << 20
-NATS = 8.0  # parts of a nat
+FREQUENT = 1 << 20
+CHUNK_BYTES = 8 << 20
+NEAR, WINDOW = 5, 8
+STEPS, LEAST = 200.0, 1e-9  # of a surprise's logarithm
 
 
 def planes(x: np.ndarray, kind: str = "<i8") -> bytes:
@@ -74,32 +81,25 @@ def unascending(b: bytes) -> np.ndarray:
     return np.cumsum(unplanes(b, "<u8"), dtype=np.uint64)
 
 
-CHUNKS = "chunk long, ids binary, train binary, tokens binary, codes binary, prints binary"
-SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("often", pa.binary()), ("shorter", pa.binary()), ("whole", pa.binary())])
-SENTS = "chunk long, bucket long, keys binary, counts binary, often binary, shorter binary, whole binary"
-ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("answer", pa.binary())])
-ANSWERS = "chunk long, bucket long, answer binary"
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]):
-    """Chunks: number, rows, word hashes ascending, each word's number, offsets, whether each row teaches."""
+def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks: rows, sizes, words by their place among the chunk's words (the commonest first), word hashes ascending with these places."""
     number = TaskContext.get().partitionId() << 32
-    for part in slices(batches, most=CHUNK_BYTES):
+    for part in gathered(batches, most=CHUNK_BYTES):
         codes, names, offsets = split_words(texts_of(part), lower=True)
-        used = np.flatnonzero(np.bincount(codes, minlength=len(names)))
+        times = np.bincount(codes, minlength=len(names))
+        used = np.flatnonzero(times)
         prints, of = np.unique(word_hashes(names.take(pa.array(used))), return_inverse=True)
-        place = np.zeros(len(names) + 1, np.int32)
-        place[used] = of
-        yield number, part, prints, place[codes], offsets, part.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        number += 1
-
-
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, part, prints, codes, offsets, train in _numbered(batches):
+        total = np.bincount(of, weights=times[used], minlength=len(prints))
+        rank = np.empty(len(prints), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(prints))
+        place = np.zeros(len(names) + 1, np.int64)
+        place[used] = rank[of]
         ids = part.column("doc_id")
         ids = np.append(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False))
-        row = [number, planes(ids), train.tobytes(), planes(np.diff(offsets)), planes(codes, "<i4"), ascending(prints)]
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), *[pa.binary()] * 5])], names=[x.split()[0] for x in CHUNKS.split(", ")])
+        train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        row = [number, planes(ids), train.tobytes(), planes(np.diff(offsets)), planes(place[codes], "<i4"), ascending(prints), planes(rank, "<i4")]
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), *[pa.binary()] * 6])], names=[x.split()[0] for x in CHUNKS.split(", ")])
+        number += 1
 
 
 class Chunk:
@@ -110,13 +110,14 @@ class Chunk:
         self.number, (self.ids, self.none) = row["chunk"], np.split(both, 2)
         self.train, tokens, codes = np.frombuffer(row["train"], bool), unplanes(row["tokens"]), unplanes(row["codes"], "<i4")
         self.prints = unascending(row["prints"])
+        by_rank = np.argsort(unplanes(row["ranks"], "<i4"))
         self.sizes = tokens + 1
         self.doc = np.repeat(np.arange(len(tokens)), self.sizes)
         self.at_end = np.cumsum(self.sizes) - 1
         word = np.ones(len(self.doc), bool)
         word[self.at_end] = False
         self.code = np.full(len(word), len(self.prints))  # the end symbol's number
-        self.code[word] = codes
+        self.code[word] = by_rank[codes]
         self.symbol = np.append(self.prints, END)[self.code]
         self.teaches = self.train[self.doc]
 
@@ -124,180 +125,407 @@ class Chunk:
 
     def context(self, k: int, at: np.ndarray, shorter: np.ndarray) -> np.ndarray:
         """Hashes of the k symbols before each of ``at`` (the start counts as one) from those of k - 1."""
-        before = np.where(self.place[at] >= k, self.symbol[np.maximum(0, at - k)], START)
-        return mix64(shorter * STEP + before)
+        return mix64(shorter * STEP + self.before(k, at))
 
+    def before(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The k-th symbol before each of ``at``: the start before the first one, none before the start."""
+        there = self.symbol[np.maximum(0, at - k)]
+        return np.where(self.place[at] >= k, there, np.where(self.place[at] == k - 1, START, NONE))
 
-def _cut(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, often: np.ndarray | None = None, shorter: np.ndarray | None = None, whole: np.ndarray | None = None) -> list[dict]:
-    """Ascending keys by bucket of their leading bits; of ``whole`` (the keys' contexts) one a frequent class is sent."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else [0]
-    return [
-        {"chunk": chunk, "bucket": int(bucket[a]), "keys": ascending(keys[a:b]), "counts": planes(counts[a:b], "<i4"), "often": None if often is None else planes(often[a:b], "<i4"), "shorter": None if shorter is None else planes(shorter[a:b], "u1"), "whole": None if whole is None else planes(whole[a:b][_classes(keys[a:b], often[a:b])[1]], "<u8")}
-        for a, b in zip(edges[:-1], edges[1:])
-    ]
 
+def surprise_sent(p: np.ndarray) -> np.ndarray:
+    """-log p in even steps of its logarithm, as 16 bits."""
+    return np.clip(np.round(np.log(np.maximum(-np.log(p), LEAST) / LEAST) * STEPS), 0, 65535).astype(np.uint16)
 
-def _classes(keys: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of frequent contexts among ascending keys, and the place of each one's first key."""
-    at = np.flatnonzero(often)
-    names, first = np.unique(keys[at] >> NEXT_BITS, return_index=True)
-    return names, at[first]
 
+def p_tested(sent: np.ndarray) -> np.ndarray:
+    return np.exp(-LEAST * np.exp(sent / STEPS))
 
-def _send_words(bits: int):
-    """The distinct words of each chunk with their training counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, prints, codes, offsets, train in _numbered(batches):
-            counts = np.bincount(codes, weights=np.repeat(train, np.diff(offsets)), minlength=len(prints)).astype(np.int64)
-            yield from pa.Table.from_pylist(_cut(number, prints, counts, bits), schema=SENT).to_batches()
+def weight_of(n):
+    """The weight of the next shorter state against n occurrences."""
+    return n**0.75
 
-    return run
 
+def most_gain(c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What a symbol seen c times can gain at most under any longer context."""
+    k = weight_of(np.maximum(c, 1.0))
+    return np.where(c >= 2, c * np.log((np.maximum(c - 1, 0) / p + k) / np.maximum(c - 1 + k, 1e-9)), 0.0)
 
-def _gathered(table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """All entries of a bucket: sizes of the arrays sent, distinct keys, each entry's key number, sums by key."""
-    keys = [unascending(x) for x in table["keys"].to_pylist()]
-    counts = np.concatenate([unplanes(x, "<i4") for x in table["counts"].to_pylist()])
-    names, which = np.unique(np.concatenate(keys), return_inverse=True)
-    return [len(k) for k in keys], names, which, np.bincount(which, weights=counts, minlength=len(names)).astype(np.int64)
 
+def divergence(c: np.ndarray, p: np.ndarray, n: np.ndarray, of: np.ndarray, contexts: int) -> np.ndarray:
+    """Each context's gain over the shorter state, from its symbols' counts c, their p and its own n (by symbol)."""
+    k = weight_of(np.maximum(n, 1.0))
+    left = (np.maximum(c - 1, 0) + k * p) / (np.maximum(n, 1) - 1 + k)
+    return np.bincount(of, weights=c * (np.log(left) - np.log(p)), minlength=contexts)
 
-def _replies(table, sizes: list[int], values: np.ndarray):
-    ends = np.cumsum(sizes)
-    out = [planes(values[e - n : e], "<i4") for e, n in zip(ends.tolist(), sizes)]
-    return pa.Table.from_arrays([table["chunk"], table["bucket"], pa.array(out, pa.binary())], schema=ANSWER)
 
+def is_open(c: np.ndarray, p: np.ndarray, of: np.ndarray, contexts: int) -> np.ndarray:
+    """Whether a longer context can be a state. p (after the context's own test) may be sent with a step's error next time."""
+    p = np.exp(np.log(p) * (1 + 1.5 / STEPS))
+    gains, several = most_gain(c, p), c >= 2
+    total, number = np.bincount(of, weights=gains, minlength=contexts), np.bincount(of, weights=several, minlength=contexts)
+    out = total > np.log(2)
+    alone = several & (number[of] == 1)  # of one symbol, the gain less the log of its count is largest at 2 or at all
+    two = most_gain(np.full(int(alone.sum()), 2.0), p[alone])
+    out[of[alone]] &= (two > np.log(2)) | (gains[alone] > np.log(c[alone]))
+    return out
 
-ROOTS = ANSWERS + ", known long, total long"
 
+CHUNKS = "chunk long, ids binary, train binary, tokens binary, codes binary, prints binary, ranks binary"
+SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("symbols", pa.binary()), ("counts", pa.binary()), ("often", pa.binary()), ("shorter", pa.binary()), ("window", pa.binary()), ("carry", pa.list_(pa.binary()))])
+SENTS = "chunk long, bucket long, keys binary, symbols binary, counts binary, often binary, shorter binary, window binary, carry array<binary>"
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("times", pa.binary()), ("whole", pa.binary()), ("flags", pa.binary()), ("p", pa.binary()), ("asked", pa.list_(pa.int64())), ("contexts", pa.list_(pa.int64())), ("gains", pa.list_(pa.float64())), ("often", pa.list_(pa.int64()))])
+ANSWERS = "chunk long, bucket long, times binary, whole binary, flags binary, p binary, asked array<long>, contexts array<long>, gains array<double>, often array<long>"
+STATE, OPEN, PENDING = 1, 2, 4  # flags
 
-def _count_words(key, table):
-    """The words' counts; a bucket's first answer has the bucket's numbers of known words and of tokens."""
-    sizes, _, which, sums = _gathered(table)
-    made, rest = _replies(table, sizes, sums[which]), [0] * (len(sizes) - 1)
-    known, total = (pa.array([x, *rest], pa.int64()) for x in (int((sums > 0).sum()), int(sums.sum())))
-    return made.append_column("known", known).append_column("total", total)
 
+def _edges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, Iterator[tuple[int, int]]]:
+    """The bucket of each of the ascending keys by their leading bits, and where buckets begin and end."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    return bucket, zip(edges[:-1].tolist(), edges[1:].tolist())
 
-def weight_of(n):
-    """The weight of the next shorter state against n occurrences."""
-    return n**0.75
 
+def _send_words(bits: int):
+    """The distinct words of each chunk with their training counts."""
 
-TESTED = ANSWERS + ", states long, contexts array<long>, gains array<double>, often array<long>"
-
-
-def _test_contexts(bounded: bool):
-    """1 + c for the pairs of a state or of a frequent context; for others -c from 2 on, or 0 in a bounded tree.
-
-    A bucket's first answer has the number of its states, and the frequent contexts with their gains here and their n.
-    """
-
-    def run(key, table):
-        sizes, names, which, c = _gathered(table)
-        p, sent = np.empty(len(names)), np.empty(len(names))
-        p[which] = np.exp(np.concatenate([unplanes(x, "u1") for x in table["shorter"].to_pylist()]) / -NATS)
-        sent[which] = np.concatenate([unplanes(x, "<i4") for x in table["often"].to_pylist()])
-        _, first, of = np.unique(names >> NEXT_BITS, return_index=True, return_inverse=True)
-        n = np.where(sent > 0, sent, np.bincount(of, weights=c)[of])
-        n = np.maximum(n, 1)
-        k = weight_of(n)
-        left = (np.maximum(c - 1, 0) + k * p) / (n - 1 + k)
-        gain = np.bincount(of, weights=c * (np.log(left) - np.log(p)))
-        parts = [_classes(unascending(k), unplanes(o, "<i4"))[0] for k, o in zip(table["keys"].to_pylist(), table["often"].to_pylist())]
-        classes, one = np.unique(np.concatenate(parts), return_index=True)
-        contexts = np.concatenate([unplanes(x, "<u8") for x in table["whole"].to_pylist()])[one]
-        place = of[np.searchsorted(names >> NEXT_BITS, classes)]
-        state, pending = gain > np.log(n[first]), np.zeros(len(first), bool)
-        pending[place] = True
-        made, rest = _replies(table, sizes, np.where((state | pending)[of], c + 1, 0 if bounded else np.where(c > 1, -c, 0))[which]), [None] * (len(sizes) - 1)
-        ends = ((int((state & ~pending).sum()), pa.int64()), (contexts.view(np.int64).tolist(), pa.list_(pa.int64())), (gain[place].tolist(), pa.list_(pa.float64())), (n[first][place].astype(np.int64).tolist(), pa.list_(pa.int64())))
-        for name, (x, kind) in zip(("states", "contexts", "gains", "often"), ends):
-            made = made.append_column(name, pa.array([x, *rest], kind))
-        return made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Chunk(row)
+                counts = np.bincount(own.code, weights=own.teaches, minlength=len(own.prints) + 1)[:-1].astype(np.int64)
+                bucket, edges = _edges(own.prints, bits)
+                yield from pa.Table.from_pylist([{"chunk": own.number, "bucket": int(bucket[a]), "keys": ascending(own.prints[a:b]), "counts": planes(counts[a:b], "<i4")} for a, b in edges], schema=SENT).to_batches()
 
     return run
 
 
-def _verdicts(tested: DataFrame) -> np.ndarray:
-    """The frequent contexts that are states, ascending: the gains of a context's classes together exceed the log of its n."""
-    parts = tested.where("contexts IS NOT NULL").select(F.explode(F.arrays_zip("contexts", "gains", "often")).alias("x")).select("x.*")
-    sums = parts.groupBy("contexts").agg(F.sum("gains").alias("gain"), F.max("often").alias("n"))
-    return np.sort(np.array([r["contexts"] for r in sums.where("gain > ln(n)").select("contexts").collect()], np.int64).view(np.uint64))
+ROOTS = "chunk long, bucket long, times binary, numbers binary, known long, total long"
+
+
+def _count_words(key, table):
+    """The words' counts and numbers within the bucket; a bucket's first answer has the bucket's numbers of known words and of tokens."""
+    keys = [unascending(x) for x in table["keys"].to_pylist()]
+    counts = np.concatenate([unplanes(x, "<i4") for x in table["counts"].to_pylist()])
+    names, which = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(which, weights=counts, minlength=len(names)).astype(np.int64)
+    number = np.empty(len(names), np.int64)
+    number[np.argsort(-sums, kind="stable")] = np.arange(len(names))
+    ends, rest = np.cumsum([len(k) for k in keys])[:-1], [0] * (len(keys) - 1)
+    parts, numbers = np.split(sums[which], ends), np.split(number[which], ends)
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "times": pa.array([planes(x, "<i4") for x in parts], pa.binary()), "numbers": pa.array([planes(x) for x in numbers], pa.binary()), "known": pa.array([int((sums > 0).sum()), *rest], pa.int64()), "total": pa.array([int(sums.sum()), *rest], pa.int64())})
+
+
+def _order(keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The order by (key, symbol); symbols have 40 bits."""
+    first = np.argsort(keys)
+    rank = np.empty(len(keys), np.uint64)
+    rank[first] = np.cumsum(_starts(keys[first])) - 1
+    if len(keys) >= 1 << 24:
+        return np.lexsort((symbols, keys))
+    return np.argsort((rank << SYMBOL_BITS) | symbols)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = False
+        for x in columns:
+            new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _test_contexts(key, table):
+    """Answers to a bucket's pairs. The first answer has the classes of frequent contexts here, with their gains and n."""
+    keys = [unascending(x) for x in table["keys"].to_pylist()]
+    cat = lambda name, kind: np.concatenate([unplanes(x, kind) for x in table[name].to_pylist()])
+    route, symbol, count, often, sent = np.concatenate(keys), cat("symbols", "<u8"), cat("counts", "<i4"), cat("often", "<i8"), cat("shorter", "<u2")
+    order = _order(route, symbol)
+    route, symbol = route[order], symbol[order]
+    new = _starts(route, symbol)
+    pair = np.cumsum(new) - 1
+    c = np.bincount(pair, weights=count[order])
+    p, often_ = p_tested(sent[order][new]), often[order][new]
+    fresh = _starts(route[new])
+    of = np.cumsum(fresh) - 1
+    m = int(of[-1]) + 1 if len(of) else 0
+    n = np.where(often_ > 0, often_, np.bincount(of, weights=c, minlength=m)[of])
+    gain, whole, pending = divergence(c, p, n, of, m), n[fresh], often_[fresh] > 0
+    state = ~pending & (whole >= 2) & (gain > np.log(np.maximum(whole, 1)))
+    k = weight_of(np.maximum(n, 1.0))
+    after = np.where(state[of], (c + k * p) / (n + k), p)
+    open_ = pending | ((whole >= 2) & is_open(c, after, of, m))
+    flags = (STATE * state + OPEN * open_ + PENDING * pending).astype(np.uint8)[of]
+    said = {"times": ("<i4", c), "whole": ("<i4", np.where(flags & STATE, n, 0)), "flags": ("u1", flags)}
+    ends = np.cumsum([len(x) for x in keys])[:-1]
+    out = {"chunk": table["chunk"], "bucket": table["bucket"]}
+    for name, (kind, values) in said.items():
+        back = np.empty(len(order), np.int64)
+        back[order] = values[pair]
+        out[name] = pa.array([planes(x, kind) for x in np.split(back, ends)], pa.binary())
+    out["p"] = pa.nulls(table.num_rows, pa.binary())
+    # A frequent context's classes: the chunks that have it, and once its gain here.
+    asked = [unplanes(x, "<u8").view(np.int64).tolist() if x is not None else None for x in table["window"].to_pylist()]
+    names, rest = {}, [None] * (table.num_rows - 1)
+    if any(asked):
+        all_routes = [k[_starts(k) & (unplanes(o, "<i8") > 0)] for k, o in zip(keys, table["often"].to_pylist())]
+        for r, c_ in zip(all_routes, asked):
+            names.update(zip(r.tolist(), c_ or []))
+    hot = np.flatnonzero(pending)
+    routes = route[new][fresh][hot]
+    first = ([names[r] for r in routes.tolist()], gain[hot].tolist(), whole[hot].astype(np.int64).tolist()) if len(hot) else (None, None, None)
+    out["asked"] = pa.array([x or None for x in asked], pa.list_(pa.int64()))
+    for name, x, kind in zip(("contexts", "gains", "often"), first, (pa.int64(), pa.float64(), pa.int64())):
+        out[name] = pa.array([x, *rest], pa.list_(kind))
+    return pa.table(out, schema=ANSWER)
+
+
+def _grow(key, table):
+    """The subtrees over a bucket's contexts, as far as the windows reach: each entry's p, and whether it is still open."""
+    keys = [unascending(x) for x in table["keys"].to_pylist()]
+    cat = lambda name, kind: np.concatenate([unplanes(x, kind) for x in table[name].to_pylist()])
+    symbol, count, p = cat("symbols", "<u8"), cat("counts", "<i4"), cat("shorter", "<f8")
+    windows = [unplanes(x, "<u8").reshape(len(k), -1) for k, x in zip(keys, table["window"].to_pylist())]
+    window, group = np.concatenate(windows), np.concatenate(keys)
+    at = np.arange(len(group))
+    for j in range(window.shape[1]):
+        before = window[at, j]
+        at = at[before != NONE]
+        group = mix64(group[before != NONE] * STEP + window[at, j])
+        order = _order(group, symbol[at] >> (np.uint64(64) - SYMBOL_BITS))
+        at, group = at[order], group[order]
+        new = _starts(group, symbol[at] >> (np.uint64(64) - SYMBOL_BITS))
+        pair = np.cumsum(new) - 1
+        c, own = np.bincount(pair, weights=count[at]), p[at][new]
+        fresh = _starts(group[new])
+        of = np.cumsum(fresh) - 1
+        m = int(of[-1]) + 1 if len(of) else 0
+        whole = np.bincount(of, weights=c, minlength=m)
+        n = whole[of]
+        state = (whole >= 2) & (divergence(c, p_tested(surprise_sent(own)), n, of, m) > np.log(np.maximum(whole, 1)))
+        k = weight_of(np.maximum(n, 1.0))
+        after = np.where(state[of], (c + k * own) / (n + k), own)
+        p[at] = after[pair]
+        open_ = ((whole >= 2) & is_open(c, after, of, m))[of][pair]
+        at, group = at[open_], group[open_]
+        if not len(at):
+            break
+    flags = np.zeros(len(p), np.uint8)
+    flags[at] = OPEN
+    ends = np.cumsum([len(x) for x in keys])[:-1]
+    out = {"chunk": table["chunk"], "bucket": table["bucket"], "p": pa.array([planes(x, "<f8") for x in np.split(p, ends)], pa.binary()), "flags": pa.array([planes(x, "u1") for x in np.split(flags, ends)], pa.binary())}
+    return pa.table([out.get(f.name, pa.nulls(table.num_rows, f.type)) for f in ANSWER], schema=ANSWER)
 
 
 class Model:
     """What the workers need to go from a chunk and its answers to probabilities."""
 
-    def __init__(self, total: int, kinds: int, ends: int, bits: int, frequent: int, bounded: bool):
-        self.total, self.kinds, self.ends, self.bits, self.frequent, self.bounded = total, kinds, ends, bits, frequent, bounded
-        self.states: list[np.ndarray] = []  # by length: frequent contexts that are states
+    def __init__(self, total: int, kinds: int, ends: int, bits: int, frequent: int):
+        self.total, self.kinds, self.ends, self.bits, self.frequent = total, kinds, ends, bits, frequent
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.total + 0.1 * (self.kinds + 1))
 
-    def pairs(self, own: Chunk, k: int, seen: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ascending distinct pairs of the contexts of length k that are seen twice; symbols that end one, their places among them, their contexts.
-
-        ``at`` and ``hashes`` are those of k - 1: the suffix of a context that is seen twice is, too.
-        """
-        there = (own.place[at] >= k - 1) & (seen[at] > 1)
-        at = at[there]
-        hashes = own.context(k, at, hashes[there])
-        last = mix64(own.symbol[at])
-        part = last % (1 + seen[at] // self.frequent).astype(np.uint64)
-        key = (mix64(hashes + part) >> NEXT_BITS << NEXT_BITS) | (last >> (np.uint64(64) - NEXT_BITS))
-        keys, which = np.unique(key, return_inverse=True)
-        return keys, which, at, hashes
-
-    def upto(self, own: Chunk, answers, k: int):
-        """Probabilities at the longest states of fewer than k symbols, root counts, and for ``pairs`` how often each context of k symbols is seen, places and hashes."""
-        counts = np.append(_joined(answers, 0), self.ends)
-        root = counts[own.code]
-        p = self.root(root)
-        first = own.place == 0
-        at, whole = np.arange(len(own.doc)), np.zeros(len(own.doc), np.uint64)
-        seen = np.where(first, self.ends, np.concatenate([[0], root[:-1]]))  # the start is seen once a training text
-        for j in range(1, k):
-            keys, place, at, whole = self.pairs(own, j, seen, at, whole)
-            c = _joined(answers, j)
-            if len(c) != len(keys):
-                raise ValueError(f"{len(c)} answers for {len(keys)} pairs")
-            c = c[place]
-            state = (c > 0) & ((seen[at] < self.frequent) | np.isin(whole, self.states[j - 1]))
-            times = np.where(c > 0, c - 1, -c)
-            here, c = at[state], times[state]
-            n = seen[here]
-            k_ = weight_of(n.astype(float))
-            p[here] = (c + k_ * p[here]) / (n + k_)
-            pair = np.zeros(len(own.doc), np.int64)  # a pair that is seen twice is a longer context; in a bounded tree, a state's
-            pair[here if self.bounded else at] = c if self.bounded else times
-            seen = np.concatenate([[0], pair[:-1]])
-            seen[first] = 0
-        return p, root, (seen, at, whole)
-
-
-def _joined(answers, level: int) -> np.ndarray:
-    """The answers to what a chunk has sent for a level, in its order."""
-    rows = answers.filter(pc.equal(answers["level"], level))
-    got = sorted(zip(rows["bucket"].to_pylist(), rows["answer"].to_pylist()))
-    return np.concatenate([unplanes(b, "<i4") for _, b in got]).astype(np.int64) if got else np.empty(0, np.int64)
 
+def _joined(answers: pa.Table, level: int, column: str, kind: str) -> np.ndarray:
+    """The answers to what a chunk has sent for a level, in its order."""
+    rows = answers.filter(pc.and_(pc.equal(answers["level"], level), pc.is_valid(answers["bucket"])))
+    got = sorted(zip(rows["bucket"].to_pylist(), rows[column].to_pylist()))
+    return np.concatenate([unplanes(b, kind) for _, b in got if b is not None] or [np.empty(0, kind)])
+
+
+class Walk:
+    """A chunk's open symbols (``at``): the hashes of their contexts of length ``k``, and all symbols' probabilities so far."""
+
+    def __init__(self, model: Model, own: Chunk, answers: pa.Table):
+        self.model, self.own = model, own
+        counts = np.append(_joined(answers, 0, "times", "<i4").astype(np.int64), model.ends)
+        buckets = _edges(own.prints, model.bits)[0]
+        numbers = (_joined(answers, 0, "numbers", "<i8") << model.bits) | buckets
+        self.numbers = np.append(numbers.astype(np.uint64), LAST)
+        self.root = counts[own.code]
+        self.p = model.root(self.root)
+        self.at, self.hashes, self.k = np.arange(len(own.doc)), np.zeros(len(own.doc), np.uint64), 0
+        self.seen = np.where(own.place == 0, model.ends, np.concatenate([[0], self.root[:-1]]))  # the start is seen once a training text
+        self.keep(self.seen > 1)
+
+    def keep(self, which: np.ndarray) -> None:
+        self.at, self.hashes, self.seen = self.at[which], self.hashes[which], self.seen[which]
+
+    def longer(self) -> None:
+        """On to contexts one symbol longer; symbols whose contexts have reached the start are done."""
+        self.keep(self.own.place[self.at] >= self.k)
+        self.k += 1
+        self.hashes = self.own.context(self.k, self.at, self.hashes)
+
+    def short(self) -> np.ndarray:
+        """The open symbols in 40 bits; from length 3 on the root's answers aren't at hand."""
+        return self.numbers[self.own.code[self.at]] if self.k < 3 else mix64(self.own.symbol[self.at]) >> (np.uint64(64) - SYMBOL_BITS)
+
+    def pairs(self) -> dict:
+        """The distinct pairs in the order in which they are sent, and each open symbol's place among them."""
+        short = self.short()
+        often = np.where(self.seen >= self.model.frequent, self.seen, 0)
+        part = mix64(short) % (1 + often // self.model.frequent).astype(np.uint64)
+        route = mix64(self.hashes + part)
+        order = _order(route, short)
+        new = _starts(route[order], short[order])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        one = order[new]
+        return {"place": place, "one": one, "keys": route[one], "symbols": short[one], "often": often[one]}
+
+    def heard(self, answers: pa.Table, sent: dict) -> None:
+        """Take a level's answers in: new probabilities, and only open symbols stay."""
+        times, whole, flags = (_joined(answers, self.k, c, kind) for c, kind in (("times", "<i4"), ("whole", "<i4"), ("flags", "u1")))
+        if len(flags) != len(sent["keys"]):
+            raise ValueError(f"{len(flags)} answers for {len(sent['keys'])} pairs")
+        place = sent["place"]
+        c, n, flags = times[place].astype(float), np.where(sent["often"] > 0, sent["often"], whole)[place].astype(float), flags[place]
+        said = answers.filter(pc.and_(pc.equal(answers["level"], self.k), pc.is_valid(answers["verdict"])))
+        yes = np.concatenate([np.empty(0, np.int64), *(np.array(x, np.int64) for x in said["verdict"].to_pylist())]).view(np.uint64)
+        state = ((flags & STATE) > 0) | (((flags & PENDING) > 0) & np.isin(self.hashes, yes))
+        here, k = self.at[state], weight_of(n[state])
+        self.p[here] = (c[state] + k * self.p[here]) / (n[state] + k)
+        # How often a longer context is seen is the count of the pair before it, where that was open (as a frequent context's always is).
+        pair = np.full(len(self.own.doc) + 1, -1, np.int64)
+        pair[self.at + 1] = c
+        self.seen = pair[self.at]
+        self.keep(((flags & OPEN) > 0) & ((self.seen < 0) | (self.seen > 1)))
+
+    def after(self, answers: pa.Table, level: int) -> "Walk":
+        """On to contexts of ``level`` symbols, from the answers to all shorter ones."""
+        while True:
+            self.longer()
+            if self.k == level:
+                return self
+            self.heard(answers, self.pairs())
+
+    def rows(self, sent: dict) -> list[dict]:
+        own, out = self.own, []
+        n = np.bincount(sent["place"], weights=own.teaches[self.at], minlength=len(sent["keys"])).astype(np.int64)
+        shorter = surprise_sent(self.p[self.at[sent["one"]]])
+        whole = self.hashes[sent["one"]]
+        bucket, edges = _edges(sent["keys"], self.model.bits)
+        for a, b in edges:
+            often = sent["often"][a:b]
+            asked = whole[a:b][_starts(sent["keys"][a:b]) & (often > 0)]  # one for a class
+            out.append({"chunk": own.number, "bucket": int(bucket[a]), "keys": ascending(sent["keys"][a:b]), "symbols": planes(sent["symbols"][a:b], "<u8"), "counts": planes(n[a:b], "<i4"), "often": planes(often, "<i8"), "shorter": planes(shorter[a:b], "<u2"), "window": planes(asked, "<u8") if len(asked) else None})
+        return out
+
+
+def _send_pairs(model: Model, level: int):
+    """The pairs of the contexts of ``level`` symbols (at most 3); at 3 with the walk so far."""
 
-def _send_pairs(model: Model, k: int):
     def run(key, chunks, answers):
-        own = Chunk(chunks.to_pylist()[0])
-        p, _, (seen, *shorter) = model.upto(own, answers, k)
-        keys, place, at, context = model.pairs(own, k, seen, *shorter)
-        n = np.bincount(place, weights=own.teaches[at], minlength=len(keys)).astype(np.int64)
-        shorter = np.zeros(len(keys), np.uint8)
-        shorter[place] = np.minimum(255, np.round(-np.log(p[at]) * NATS)).astype(np.uint8)
-        often, whole = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
-        often[place] = np.where(seen[at] >= model.frequent, seen[at], 0)  # else the bucket has all of the context and counts itself
-        whole[place] = context
-        return pa.Table.from_pylist(_cut(own.number, keys, n, model.bits, often, shorter, whole), schema=SENT)
+        walk = Walk(model, Chunk(chunks.to_pylist()[0]), answers).after(answers, level)
+        rows = walk.rows(walk.pairs())
+        return pa.Table.from_pylist([*rows, _carried(walk, _sums(walk))] if level == 3 else rows, schema=SENT)
+
+    return run
+
+
+def _sums(walk: Walk) -> list[np.ndarray]:
+    """By document: known tokens, base score, and the score of the symbols that are closed."""
+    own = walk.own
+    add = lambda x: np.bincount(own.doc, weights=x, minlength=len(own.sizes))
+    closed = np.log10(walk.p)
+    closed[walk.at] = 0
+    return [add(walk.root > 0), add(np.log10(walk.model.root(walk.root))), add(closed)]
+
+
+def _carried(walk: Walk, sums: list[np.ndarray]) -> dict:
+    often = np.where(walk.seen >= walk.model.frequent, walk.seen, 0)
+    steps = np.diff(walk.at, prepend=0)
+    carry = [planes(steps, "<i8"), planes(walk.p[walk.at], "<f4"), planes(often, "<i8"), *(planes(x, "<f8") for x in sums)]
+    return {"chunk": walk.own.number, "bucket": None, "carry": carry}
+
+
+class Resumed(Walk):
+    """A walk from what the level before has left."""
+
+    def __init__(self, model: Model, own: Chunk, carry: list[bytes], k: int):
+        self.model, self.own, self.k = model, own, k
+        steps, p, self.seen = (unplanes(b, kind) for b, kind in zip(carry[:3], ("<i8", "<f4", "<i8")))
+        self.at = np.cumsum(steps)
+        self.hashes = np.zeros(len(self.at), np.uint64)
+        for j in range(1, k + 1):
+            self.hashes = own.context(j, self.at, self.hashes)
+        self.p = np.ones(len(own.doc))
+        self.p[self.at] = p
+        self.sums = [unplanes(b, "<f8") for b in carry[3:]]
+
+    def entries(self, width: int) -> dict:
+        """The distinct open (context, symbol, ``width`` symbols before the context), told apart by rolling hashes."""
+        own, symbol, route = self.own, mix64(self.own.symbol[self.at]), mix64(self.hashes)
+        n = len(own.symbol)
+        up, down = (np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64))) for b in (BASE, pow(BASE, -1, 1 << 64)))
+        sums = np.append(np.uint64(0), np.cumsum(own.symbol * down[:n]))
+        end = self.at - self.k
+        length = np.minimum(width, own.place[self.at] - self.k)
+        rolled = mix64((sums[end] - sums[end - length]) * up[end - length])
+        all_ = mix64(mix64(mix64(self.hashes * STEP + symbol) * STEP + rolled) * STEP + length.astype(np.uint64))
+        order = np.lexsort((all_, route))
+        new = _starts(route[order], all_[order])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        one = order[new]
+        return {"place": place, "one": one, "keys": route[one], "symbols": symbol[one]}
+
+    def grown(self, answers: pa.Table, width: int) -> None:
+        """Take the answers to entries in."""
+        place = self.entries(width)["place"]
+        p, flags = _joined(answers, self.k, "p", "<f8"), _joined(answers, self.k, "flags", "u1")
+        if len(p) != (place.max(initial=-1) + 1):
+            raise ValueError(f"{len(p)} answers for {place.max(initial=-1) + 1} entries")
+        self.p[self.at] = p[place]
+        for _ in range(width):
+            self.k += 1
+            self.hashes = self.own.context(self.k, self.at, self.hashes)
+        self.seen = np.zeros(len(self.at), np.int64)
+        self.keep((flags[place] & OPEN) > 0)
+
+    def close(self, before: np.ndarray) -> None:
+        """Add what has been closed since ``before`` was open."""
+        done = np.ones(len(before), bool)
+        done[np.searchsorted(before, self.at)] = False
+        self.sums[2] += np.bincount(self.own.doc[before[done]], weights=np.log10(self.p[before[done]]), minlength=len(self.own.sizes))
+
+    def entry_rows(self, width: int) -> list[dict]:
+        sent = self.entries(width)
+        n = np.bincount(sent["place"], weights=self.own.teaches[self.at], minlength=len(sent["keys"])).astype(np.int64)
+        one = self.at[sent["one"]]
+        p = self.p[one]
+        bucket, edges = _edges(sent["keys"], self.model.bits)
+        windows = lambda a, b: np.stack([self.own.before(self.k + 1 + j, one[a:b]) for j in range(width)], axis=1)
+        return [{"chunk": self.own.number, "bucket": int(bucket[a]), "keys": ascending(sent["keys"][a:b]), "symbols": planes(sent["symbols"][a:b], "<u8"), "counts": planes(n[a:b], "<i4"), "shorter": planes(p[a:b], "<f8"), "window": planes(windows(a, b).ravel(), "<u8")} for a, b in edges]
+
+
+def _resume(model: Model, k: int, heard: int, width: int):
+    """One round more: ``heard`` is the last one's window (0: pairs of length k), ``width`` the next one's (0: pairs)."""
+
+    def run(key, chunks, given):
+        carry = given.filter(pc.is_valid(given["carry"]))["carry"].to_pylist()
+        if not carry:
+            raise ValueError("a chunk without a walk")
+        answers = given.filter(pc.is_null(given["carry"]))
+        walk = Resumed(model, Chunk(chunks.to_pylist()[0]), carry[0], k)
+        before = walk.at
+        if heard:
+            walk.grown(answers, heard)
+        else:
+            walk.heard(answers, walk.pairs())
+        if width:
+            walk.keep(walk.own.place[walk.at] >= walk.k)
+            rows = walk.entry_rows(width)
+        else:
+            walk.longer()
+            rows = walk.rows(walk.pairs())
+        walk.close(before)
+        return pa.Table.from_pylist([*rows, _carried(walk, walk.sums)], schema=SENT)
 
     return run
 
@@ -306,13 +534,11 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _score(model: Model):
-    def run(key, chunks, answers):
-        own = Chunk(chunks.to_pylist()[0])
-        p, root, _ = model.upto(own, answers, len(model.states) + 1)
-        add = lambda x: np.bincount(own.doc, weights=x, minlength=len(own.sizes))
+    def run(key, chunks, carried):
+        own, sums = Chunk(chunks.to_pylist()[0]), [unplanes(b, "<f8") for b in carried["carry"].to_pylist()[0][3:]]
         return pa.Table.from_arrays([
-            pa.array(own.ids, pa.int64(), mask=own.none.astype(bool)), pa.array(~own.train), pa.array(own.sizes), pa.array(add(root > 0).astype(np.int64)),
-            pa.array(np.full(len(own.sizes), model.total), pa.int64()), pa.array(add(np.log10(model.root(root)))), pa.array(add(np.log10(p))),
+            pa.array(own.ids, pa.int64(), mask=own.none.astype(bool)), pa.array(~own.train), pa.array(own.sizes), pa.array(sums[0].astype(np.int64)),
+            pa.array(np.full(len(own.sizes), model.total), pa.int64()), pa.array(sums[1]), pa.array(sums[2]),
         ], names=[x.split()[0] for x in SCORED.split(", ")])
 
     return run
@@ -323,30 +549,63 @@ def trained_on(id_col: str = "doc_id", folds: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != 0
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, longest: int | None = 2, frequent: int = CLASS) -> DataFrame:
-    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; the whole tree where ``longest`` is None."""
-    hold_splits(docs.sparkSession)
+def _judged(tested: DataFrame, level: int) -> DataFrame:
+    """A level's answers, with the frequent contexts of each chunk that are states: the gains of a context's classes together exceed the log of its n."""
+    answers = tested.select("chunk", "bucket", "times", "whole", "flags", "p").withColumn("verdict", F.lit(None).cast("array<long>"))
+    if tested.where("contexts IS NOT NULL").limit(1).count():
+        parts = tested.where("contexts IS NOT NULL").select(F.explode(F.arrays_zip("contexts", "gains", "often")).alias("x")).select("x.*")
+        states = parts.groupBy("contexts").agg(F.sum("gains").alias("gain"), F.max("often").alias("n")).where("gain > ln(n)").select(F.col("contexts").alias("context"))
+        asked = tested.where("asked IS NOT NULL").select("chunk", F.explode("asked").alias("context")).distinct()
+        verdicts = asked.join(states, "context").groupBy("chunk").agg(F.collect_list("context").alias("verdict"))
+        answers = answers.unionByName(verdicts, allowMissingColumns=True)
+    return answers.withColumn("level", F.lit(level)).withColumn("carry", F.lit(None).cast("array<binary>"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, frequent: int = FREQUENT, near: int = NEAR, window: int = WINDOW) -> DataFrame:
+    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``frequent``, ``near`` (3 at least)
+    and ``window`` change how work is dealt out, not the result."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     teach = F.coalesce(trained_on(id_col) if train is None else train, F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), teach.alias("train"))
     size, ends = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     bits = salt_bits(size // 8, BUCKET_ENTRIES)
-    words = base.mapInArrow(_send_words(bits), SENTS).groupBy("bucket")
+    shared_folder(spark)  # where the checkpoint goes
+    parts, adaptive = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.conf.get("spark.sql.adaptive.enabled")
+    try:  # every round reads the chunks; a plan that isn't adaptive keeps its partitioning through the checkpoint
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        dealt = base.mapInArrow(_chunk, CHUNKS).repartition(parts, "chunk").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    words = dealt.mapInArrow(_send_words(bits), SENTS).groupBy("bucket")
     roots = written(words.applyInArrow(_count_words, ROOTS), "lm-roots")
+    del words
+    free_shuffles(spark)
     known, total = roots.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    model = Model(total + ends, known + (ends > 0), ends, bits, frequent, longest is not None)
-    dealt = base.mapInArrow(_chunk, CHUNKS).repartition("chunk").persist(StorageLevel.DISK_ONLY)  # every length reads the chunks
-    answers = roots.drop("known", "total").withColumn("level", F.lit(0))
-    while longest is None or len(model.states) < longest:
-        k = len(model.states) + 1
-        sent = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_pairs(model, k), SENTS)
-        tested = written(sent.groupBy("bucket").applyInArrow(_test_contexts(model.bounded), TESTED), f"lm-tested-{k}")
-        docs.sparkSession.sparkContext._jvm.System.gc()  # the shuffles of ended jobs go when the driver has no reference to them
-        frequents = _verdicts(tested)
-        if longest is None and not len(frequents) + (tested.agg(F.sum("states")).first()[0] or 0):
-            break
-        model.states.append(frequents)
-        answers = answers.unionByName(tested.select("chunk", "bucket", "answer").withColumn("level", F.lit(k)))
-    scored = written(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model), SCORED), "lm-scored")
-    dealt.unpersist()
+    model = Model(total + ends, known + (ends > 0), ends, bits, frequent)
+    meet = lambda other, run, schema: dealt.groupBy("chunk").cogroup(other.groupBy("chunk")).applyInArrow(run, schema)
+
+    def tested(sent: DataFrame, run, label: str) -> DataFrame:
+        made = written(sent.groupBy("bucket").applyInArrow(run, ANSWERS), label)
+        free_shuffles(spark)
+        return made
+
+    answers, read = roots.select("chunk", "bucket", "times", "numbers").withColumn("level", F.lit(0)), [roots]
+    for level in (1, 2):
+        got = tested(meet(answers, _send_pairs(model, level), SENTS), _test_contexts, f"lm-tested-{level}")
+        answers = answers.unionByName(_judged(got, level), allowMissingColumns=True)
+        read.append(got)
+    step = written(meet(answers, _send_pairs(model, 3), SENTS), "lm-walk-3")
+    discard(*read)
+    k, heard = 3, 0
+    while step.where("bucket IS NOT NULL").limit(1).count():
+        got = tested(step.where("bucket IS NOT NULL"), _grow if heard else _test_contexts, f"lm-tested-{k}")
+        given = _judged(got, k).unionByName(step.where("bucket IS NULL").select("chunk", "carry"), allowMissingColumns=True)
+        width, last = 0 if k < near else 4 * heard if heard else window, step
+        step = written(meet(given, _resume(model, k, heard, width), SENTS), "lm-walk")
+        discard(got, last)
+        # Pairs are of one symbol more; entries are of what has been heard, with symbols before it.
+        k, heard = (k + heard if heard else k if width else k + 1), width
+    scored = written(meet(step.where("bucket IS NULL").select("chunk", "carry"), _score(model), SCORED), "lm-scored")
+    discard(step)
     return scored
