@@ -3,7 +3,8 @@
 1. Probes are grouped by square blocks, build points by the blocks within a halo of them: one shuffle. Within a task points are sorted by
    cells; a probe looks at the 3 x 3 cells around it, and those whose k-th neighbour is farther than a cell's edge look again with
    cells twice as wide, up to the halo. So the cost a probe follows k, not the block.
-2. A probe whose k-th neighbour is farther than the halo (a stray point, a sparse place) descends a pyramid of occupied cells, each with its
+2. Probes whose k-th neighbour is farther look once more in blocks and halos four times as wide, only where there are such probes.
+3. A probe with fewer than k even there (a stray point, a sparse place) descends a pyramid of occupied cells, each with its
    count and the box of its points: at each level the cells stay that are no farther than the least distance within which cells hold
    more than k points. Only the points of the last cells are fetched, so a stray point costs a few cells, wherever it lies.
 
@@ -192,17 +193,23 @@ def nearest(probes: DataFrame, build: DataFrame, k: int, dims: list[str], payloa
     other = written(build.select(F.col("point_id").alias("near_id"), *[F.col(d).alias(f"o_{d}") for d in dims], *[F.col(p).alias(f"o_{p}") for p in extra]), "build")
     edge = edge or _block_edge(other, f"o_{dims[0]}", f"o_{dims[1]}", other.count(), per_block)
     edge = math.ceil(edge / FINE) * FINE if whole else edge
-    halo = edge // 4 if whole else edge / 4
     schema = f"point_id long, rank int, d2 {'long' if whole else 'double'}, near_id long" + "".join(f", {p} {kinds[p]}" for p in extra)
-    cell = lambda c: F.floor(c / F.lit(edge)).cast("long")
-    around = lambda c: F.explode(F.sequence(cell(c - F.lit(halo)), cell(c + F.lit(halo))))
-    there = other.withColumn("bx", around(F.col(f"o_{dims[0]}"))).withColumn("by", around(F.col(f"o_{dims[1]}")))
-    run = _search(k, dims, np.int64 if whole else float, payload, halo)
-    found = written(_cells(asks, dims[0], dims[1], edge).groupBy("bx", "by").cogroup(there.groupBy("bx", "by")).applyInArrow(run, schema), "neighbours")
-    left = written(asks.join(found.where("rank = 1").select("point_id"), "point_id", "left_anti"), "unresolved")
-    if not left.limit(1).count():
-        return found
-    rest = _descend(left, other, k, dims, payload, edge // FINE if whole else edge / FINE)
+    foot, found, left = (edge // FINE if whole else edge / FINE), None, asks
+    for wide in (edge, 4 * edge):  # once more with wider halos, where probes are left only
+        halo = wide // 4 if whole else wide / 4
+        cell = lambda c: F.floor(c / F.lit(wide)).cast("long")  # noqa: E731, B023
+        around = lambda c: F.explode(F.sequence(cell(c - F.lit(halo)), cell(c + F.lit(halo))))  # noqa: E731, B023
+        there = other.withColumn("bx", around(F.col(f"o_{dims[0]}"))).withColumn("by", around(F.col(f"o_{dims[1]}")))
+        own = _cells(left, dims[0], dims[1], wide)
+        if found is not None:
+            there = there.join(own.select("bx", "by").distinct(), ["bx", "by"], "left_semi")
+        run = _search(k, dims, np.int64 if whole else float, payload, halo)
+        more = written(own.groupBy("bx", "by").cogroup(there.groupBy("bx", "by")).applyInArrow(run, schema), "neighbours")
+        found = more if found is None else found.unionByName(more)
+        left = written(left.join(more.where("rank = 1").select("point_id"), "point_id", "left_anti"), "unresolved")
+        if not left.limit(1).count():
+            return found
+    rest = _descend(left, other, k, dims, payload, foot)
     return found.unionByName(written(rest.select(*[F.col(f.name).cast(f.dataType) for f in found.schema]), "neighbours"))
 
 
