@@ -64,7 +64,7 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     if not _WRITTEN:
         atexit.register(forget)
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

@@ -131,6 +131,51 @@ def test_blocks_follow_the_occupied_area(spark):
     assert held <= 1024
 
 
+def test_neighbours_are_not_kept_between_jobs(spark, rows, monkeypatch):
+    """No table on disk has more rows than the cloud, whatever k; so no query needs disk for k rows a point."""
+    sizes = []
+
+    def noted(df, label="table", own=neighbours.written):
+        table = own(df, label)
+        sizes.append((label, table.count()))
+        return table
+
+    monkeypatch.setattr(neighbours, "written", noted)
+    near = neighbours.nearest(cloud(spark, rows), cloud(spark, rows), 8, ["x", "y", "z"])
+    assert near.count() == 8 * len(rows)
+    assert neighbours.flag_outliers(cloud(spark, rows)).count() == len(rows)
+    assert sizes and all(n <= len(rows) for label, n in sizes if label not in ("neighbours", "near-cells"))
+    assert sum(n for label, n in sizes if label == "neighbours") < 8 * len(rows) / 2  # of stray points only
+
+
+def test_points_without_a_place_or_numbers_keep_their_row(spark, rows):
+    from pyspark.sql import functions as F
+
+    lost = [(9000, None, 1.0, 1.0, 2), (9001, 1.0, float("nan"), 1.0, 5)]
+    df = cloud(spark, rows + lost).withColumn("name", F.concat(F.lit("p"), F.col("point_id"))).withColumn("note", F.when(F.col("point_id") % 3 == 0, F.col("point_id")))
+    got = {r["point_id"]: r for r in neighbours.flag_outliers(df).collect()}
+    plain = {r["point_id"]: r for r in neighbours.flag_outliers(cloud(spark, rows)).collect()}
+    assert len(got) == len(rows) + 2 and neighbours.flag_outliers(df).columns == [*df.columns, "mean_dist", "is_outlier"]
+    assert all(got[i]["mean_dist"] is None and not got[i]["is_outlier"] for i in (9000, 9001))
+    assert all(got[i]["mean_dist"] == pytest.approx(r["mean_dist"]) and got[i]["is_outlier"] == r["is_outlier"] for i, r in plain.items())
+    assert all(r["name"] == f"p{i}" and r["note"] == (i if i % 3 == 0 else None) for i, r in got.items())
+
+
+def test_cells_are_aggregated_where_their_points_are(spark, rows, monkeypatch):
+    """One shuffle, of points and not of their hits; the same cells for any block."""
+    from groundswell.operators import rasterize
+
+    df, grid = cloud(spark, rows).where("x < 100"), GridSpec.from_points(cloud(spark, rows).where("x < 100"), 0.25)
+    made = rasterize.rasterize(df, grid, how="idw")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning")  # printed from the end
+    want = {(r["row"], r["col"]): r["value"] for r in made.collect()}
+    monkeypatch.setattr(rasterize, "BLOCK", 3)
+    got = {(r["row"], r["col"]): r["value"] for r in rasterize.rasterize(df, grid, how="idw").collect()}
+    assert got == pytest.approx(want)
+
+
 def test_missing_modules_are_named(monkeypatch):
     monkeypatch.setattr(validate.importlib.util, "find_spec", lambda name: None if name == "lazrs" else object())
     assert validate.tools() == {"onnxruntime": True, "lazrs": False, "zstandard": True}
