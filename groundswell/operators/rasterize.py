@@ -1,7 +1,8 @@
 """Points to grid cells: disc or bin aggregates in one pass, and filling of gaps from cells around.
 
-A point goes to every cell whose centre is strictly within the radius (explode over the few cells in reach, then a
-grouped aggregate that combines before its shuffle). Distances are in doubled units, so integer coordinates stay exact.
+Points, not their hits, are shuffled: a point goes to the blocks of cells in its reach, mostly one. There it is dealt to every cell whose centre
+is strictly within the radius (explode over the few cells in reach), and cells are aggregated where they are, without a shuffle of
+their own. Distances are in doubled units, so integer coordinates stay exact.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from groundswell.model import IDW_POWER, GridSpec, require
 from groundswell.operators.blocks import blockwise
 
+BLOCK = 64  # cells along the edge of a block that is aggregated in one task
+
 
 def cell_hits(points: DataFrame, grid: GridSpec, x: str = "x", y: str = "y", radius: float | None = None, binning: str = "disc") -> DataFrame:
     """Points with row and col of each cell they count for, and q: four times the squared distance to its centre."""
@@ -39,7 +42,7 @@ def cell_hits(points: DataFrame, grid: GridSpec, x: str = "x", y: str = "y", rad
 def idw(value: Column, power: float = IDW_POWER, tie: str = "point_id") -> Column:
     """Inverse-distance mean of a cell's hits; a point on the centre wins, of several the one of the least id."""
     w = 1 / F.pow(F.col("q").cast("double"), F.lit(power / 2))
-    exact = F.min(F.when(F.col("q") == 0, F.struct(F.col(tie), value.cast("double").alias("v"))))["v"]
+    exact = F.min_by(value.cast("double"), F.when(F.col("q") == 0, F.col(tie)))
     far = F.col("q") != 0
     return F.coalesce(exact, F.sum(F.when(far, value * w)) / F.sum(F.when(far, w)))
 
@@ -51,9 +54,17 @@ def rasterize(points: DataFrame, grid: GridSpec, value: str = "z", how: str = "i
 
 
 def rasterize_all(points: DataFrame, grid: GridSpec, values: dict[str, Column], radius: float | None = None, binning: str = "disc", x: str = "x", y: str = "y") -> DataFrame:
-    """Several aggregates of the same hits in one shuffle."""
-    hits = cell_hits(points, grid, x, y, radius, binning)
-    return hits.groupBy("row", "col").agg(*[v.alias(k) for k, v in values.items()])
+    """Several aggregates of the same hits in one shuffle, of points by block."""
+    reach = 0 if binning == "bin" else 1 if radius is None else math.floor(radius / grid.res + 0.5)
+    dealt = points
+    for name, c, least, cells in (("_bc", x, grid.x_min, grid.width), ("_br", y, grid.y_min, grid.height)):
+        at = F.floor((F.col(c) - F.lit(least)) / F.lit(grid.res))
+        first, last = F.greatest(at - reach, F.lit(0)), F.least(at + reach, F.lit(cells - 1))
+        place = lambda i: F.floor(i / BLOCK).cast("int")
+        dealt = dealt.where(first <= last).withColumn(name, F.explode(F.sequence(place(first), place(last))))
+    hits = cell_hits(dealt.repartition("_br", "_bc"), grid, x, y, radius, binning)
+    inside = (F.floor(F.col("col") / BLOCK) == F.col("_bc")) & (F.floor((F.lit(grid.height - 1) - F.col("row")) / BLOCK) == F.col("_br"))
+    return hits.where(inside).groupBy("_br", "_bc", "row", "col").agg(*[v.alias(k) for k, v in values.items()]).drop("_br", "_bc")
 
 
 def fill_gaps(cells: DataFrame, grid: GridSpec, window: int, exponent: float = 1.0, metric: str = "chebyshev", block: int = 112) -> DataFrame:

@@ -16,7 +16,7 @@ from groundswell.operators.focal import focal
 from groundswell.operators.predict import predict
 from groundswell.operators.rasterize import fill_gaps, idw, rasterize, rasterize_all
 from groundswell.plans.surrogate import POINTS_SQL, UNIT, grid, nearest_sql, points
-from groundswell.session import importable, written
+from groundswell.session import discard, importable, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,7 +196,8 @@ def fill_sql(name: str, source: str, window: int, weight: int) -> str:
 def terrain(spark, sf_dir) -> tuple[DataFrame, GridSpec]:
     cloud = written(points(spark, sf_dir), "points")
     spec = grid(cloud)
-    ground = neighbours.flag_outliers(cloud).where("classification = 2")
+    ground = neighbours.flag_outliers(cloud).where("classification = 2").select("point_id", "x", "y", "z")
+    discard(cloud)  # its columns went along
     cells = rasterize_all(ground, spec, {"value": F.round(idw(F.col("z")) * MILLI)})
     return cells, spec
 
@@ -264,7 +265,9 @@ FOCAL = """fo AS MATERIALIZED (SELECT a."row", a.col, any_value(a.value) AS valu
 
 def smooth_terrain(spark, sf_dir) -> tuple[DataFrame, DataFrame, GridSpec]:
     cells, spec = terrain(spark, sf_dir)
-    full = written(fill_gaps(cells, spec, 12), "dtm")
+    cells = written(cells, "terrain")
+    full = neighbours.settled(written(fill_gaps(cells, spec, 12), "dtm"))
+    discard(cells)
     return full, focal(full, spec), spec
 
 
@@ -320,7 +323,7 @@ FROM df_all c LEFT JOIN df USING ("row", col) LEFT JOIN cf USING ("row", col) LE
 def stacked(spark, sf_dir) -> tuple[DataFrame, GridSpec]:
     """The four bands on the shared grid, as a written table."""
     full, smooth, spec = smooth_terrain(spark, sf_dir)
-    veg = written(canopy(spark, sf_dir)[0], "canopy")
+    veg = neighbours.settled(written(canopy(spark, sf_dir)[0], "canopy"))
     relief = B.relief(full, smooth, float(LIM))
     chm = fill_gaps(veg.select("row", "col", F.col("chm").alias("value")), spec, 3)
     known = veg.select("row", "col", vegetation_density(F.col("low"), F.col("high")).alias("value"))
