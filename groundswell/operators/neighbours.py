@@ -34,7 +34,7 @@ CELLS_AT_ONCE = 1 << 18
 BOUND_AT_ONCE = 1 << 24
 FINE = 8  # cells of the pyramid's foot along a block's edge
 TOP = 4096
-LARGE = 1 << 21  # points from which shuffle files are let go of between jobs
+LARGE = 1 << 20  # points from which shuffle files are let go of between jobs
 FEW_CELLS = 1 << 20  # cells that may be broadcast
 NUMBERS = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_()}
 HEADER = struct.Struct("<BBq")
@@ -392,7 +392,7 @@ def _nowhere(df: DataFrame, dims: list[str]):
 
 
 def _kept(df: DataFrame, label: str) -> DataFrame:
-    return df if hasattr(df, "written_to") else written(df, label)
+    return df if hasattr(df, "written_to") else written(df, label, "zstd")
 
 
 def settled(table: DataFrame, large: bool | None = None) -> DataFrame:
@@ -454,7 +454,7 @@ class _Task:
 
     def each(self, what: str) -> DataFrame:
         """A row for each probe with what is said of it, null for those without as many others."""
-        table = settled(written(self.say(what), "each"), self.large)
+        table = settled(written(self.say(what), "each", "zstd"), self.large)
         left = table.where("NOT done")
         rest = self.rest(left)
         if rest is None:

@@ -16,7 +16,7 @@ from groundswell.operators.focal import focal
 from groundswell.operators.predict import predict
 from groundswell.operators.rasterize import fill_gaps, idw, rasterize, rasterize_all
 from groundswell.plans.surrogate import POINTS_SQL, UNIT, grid, nearest_sql, points
-from groundswell.session import discard, importable, written
+from groundswell.session import discard, forget, importable, tables, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -193,8 +193,17 @@ def fill_sql(name: str, source: str, window: int, weight: int) -> str:
   WHERE (i <> 0 OR j <> 0) AND s."row" = e."row" + i AND s.col = e.col + j GROUP BY e."row", e.col)"""
 
 
+def alone(make: Query, spark, sf_dir, label: str) -> tuple[DataFrame, GridSpec]:
+    """Cells and their grid, the cells written and settled; tables that were written on the way are removed."""
+    before = tables()
+    cells, spec = make(spark, sf_dir)
+    table = neighbours.settled(written(cells, label))
+    forget(spark, before | {table.written_to})
+    return table, spec
+
+
 def terrain(spark, sf_dir) -> tuple[DataFrame, GridSpec]:
-    cloud = written(points(spark, sf_dir), "points")
+    cloud = written(points(spark, sf_dir), "points", "zstd")
     spec = grid(cloud)
     ground = neighbours.flag_outliers(cloud).where("classification = 2").select("point_id", "x", "y", "z")
     discard(cloud)  # its columns went along
@@ -223,7 +232,7 @@ vg AS MATERIALIZED (SELECT "row", col, max(hag)::DOUBLE AS chm, count(*) FILTER
 
 def canopy(spark, sf_dir) -> tuple[DataFrame, GridSpec]:
     """chm, low and high of each cell from one pass over the points' hits."""
-    cloud = written(points(spark, sf_dir), "points")
+    cloud = written(points(spark, sf_dir), "points", "zstd")
     spec = grid(cloud)
     tall = neighbours.height_above_ground(cloud)
     values = {"chm": F.max("hag").cast("double"), "low": F.count_if(F.col("hag") < 80).cast("double"), "high": F.count_if(F.col("hag") <= 1200).cast("double")}
@@ -250,7 +259,7 @@ SPARSE = """sp AS MATERIALIZED (SELECT CAST(h - 1 - (y - y0)//25 AS INTEGER) AS
 
 @query(f'WITH {POINTS_SQL}, {SPARSE}, {fill_sql("f", "sp", 12, 27720)} SELECT "row", col, round(value, 6) AS value FROM f')
 def window_fill(spark, sf_dir):
-    cloud = written(points(spark, sf_dir), "points")
+    cloud = written(points(spark, sf_dir), "points", "zstd")
     spec = grid(cloud)
     return whole(fill_gaps(rasterize(cloud.where("classification = 2"), spec, how="max", binning="bin"), spec, 12), "value")
 
@@ -264,8 +273,7 @@ FOCAL = """fo AS MATERIALIZED (SELECT a."row", a.col, any_value(a.value) AS valu
 
 
 def smooth_terrain(spark, sf_dir) -> tuple[DataFrame, DataFrame, GridSpec]:
-    cells, spec = terrain(spark, sf_dir)
-    cells = written(cells, "terrain")
+    cells, spec = alone(terrain, spark, sf_dir, "terrain")
     full = neighbours.settled(written(fill_gaps(cells, spec, 12), "dtm"))
     discard(cells)
     return full, focal(full, spec), spec
@@ -323,7 +331,7 @@ FROM df_all c LEFT JOIN df USING ("row", col) LEFT JOIN cf USING ("row", col) LE
 def stacked(spark, sf_dir) -> tuple[DataFrame, GridSpec]:
     """The four bands on the shared grid, as a written table."""
     full, smooth, spec = smooth_terrain(spark, sf_dir)
-    veg = neighbours.settled(written(canopy(spark, sf_dir)[0], "canopy"))
+    veg, _ = alone(canopy, spark, sf_dir, "canopy")
     relief = B.relief(full, smooth, float(LIM))
     chm = fill_gaps(veg.select("row", "col", F.col("chm").alias("value")), spec, 3)
     known = veg.select("row", "col", vegetation_density(F.col("low"), F.col("high")).alias("value"))

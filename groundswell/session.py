@@ -54,7 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, label: str = "table") -> DataFrame:
+def written(df: DataFrame, label: str = "table", codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 
     The table stays as long as a result may need it: until ``forget``, or the end of the program.
@@ -64,7 +64,7 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     if not _WRITTEN:
         atexit.register(forget)
     _WRITTEN.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
@@ -93,10 +93,16 @@ def free_shuffles(spark: SparkSession) -> None:
     time.sleep(0.3)
 
 
-def forget(spark: SparkSession | None = None) -> None:
-    """Remove all tables that ``written`` has made; DataFrames that were built on them can't be run any more."""
+def tables() -> set[str]:
+    """Where the tables are that ``written`` has made."""
+    return set(_WRITTEN)
+
+
+def forget(spark: SparkSession | None = None, but: set[str] | frozenset[str] = frozenset()) -> None:
+    """Remove all tables that ``written`` has made, ``but`` some; DataFrames that were built on them can't be run any more."""
     spark = spark or SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
     for path in list(_WRITTEN):
-        _remove(spark, path)
+        if path not in but:
+            _remove(spark, path)

@@ -135,8 +135,8 @@ def test_neighbours_are_not_kept_between_jobs(spark, rows, monkeypatch):
     """No table on disk has more rows than the cloud, whatever k; so no query needs disk for k rows a point."""
     sizes = []
 
-    def noted(df, label="table", own=neighbours.written):
-        table = own(df, label)
+    def noted(df, label="table", codec="snappy", own=neighbours.written):
+        table = own(df, label, codec)
         sizes.append((label, table.count()))
         return table
 
@@ -176,6 +176,21 @@ def test_cells_are_aggregated_where_their_points_are(spark, rows, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def test_tables_on_the_way_are_removed(spark):
+    from groundswell import session
+    from groundswell.plans import queries
+
+    before = session.tables()
+
+    def make(spark, _):
+        return session.written(spark.range(3), "way").where("id > 0"), "grid"
+
+    table, grid = queries.alone(make, spark, "", "end")
+    assert session.tables() - before == {table.written_to} and grid == "grid"
+    assert sorted(r[0] for r in table.collect()) == [1, 2]
+    session.discard(table)
+
+
 def test_missing_modules_are_named(monkeypatch):
     monkeypatch.setattr(validate.importlib.util, "find_spec", lambda name: None if name == "lazrs" else object())
     assert validate.tools() == {"onnxruntime": True, "lazrs": False, "zstandard": True}
