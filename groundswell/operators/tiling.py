@@ -1,9 +1,9 @@
 """Overlapping tiles: plan, padding, augmentation, weights, model calls, weighted blending.
 
-A scene is cut into blocks (arrays, not pixels), which is the only shuffle of pixels. Each block goes to all tiles that have a part of it, of
-every augmentation: padding, turns and flips are index arithmetic in the task that puts a tile together. There the model runs on a batch of
-tiles, and their predictions, turned back, go to the blocks they cover as weighted sums, which are added, divided by augmentation and
-averaged by block.
+A scene is cut into blocks (arrays, not pixels), which is the only shuffle of pixels. Tiles that lie side by side, of every augmentation, are a
+group, and a block goes once to each group that has a part of it: padding, turns and flips are index arithmetic in the group's task. There
+the model runs on batches of tiles, each tile once, and predictions, turned back, are summed by weight. A block that only one group gives
+is done then; else its sums go on, to be added by block. Weights aren't sent, they follow from the plan of the tiles.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from groundswell.operators.predict import caller
 from groundswell.session import importable
 
 AUGMENTATIONS = ["identity", "rot90", "flipud"]
+GROUP, GROUP_CELLS = 4, 448  # a group is so many tiles along a side, or as many as begin within so many cells
 
 
 def starts(size: int, tile: int = TILE, stride: int = STRIDE, drop_border: int = 0, strict: bool = False) -> list[int]:
@@ -163,25 +164,76 @@ class _Axis:
         a = np.abs(np.arange(self.tile) + t * self.stride - self.border)
         return np.where(a >= self.size, 2 * (self.size - 1) - a, a)
 
-    def needing(self, low: int, high: int) -> set[int]:
-        """The tiles with a cell that comes from ``low`` to ``high``."""
-        end = 2 * (self.size - 1)
-        runs = [(low, high), (-min(high, self.border), -max(low, 1)), (end - min(high, self.size - 2), end - max(low, self.size - 1 - self.after))]
-        found: set[int] = set()
-        for a, b in runs:
-            if a <= b:
-                a, b = a + self.border, b + self.border
-                found |= set(range(max(0, -((self.tile - 1 - a) // self.stride)), min(self.tiles - 1, b // self.stride) + 1))
-        return found
+
+class _Side:
+    """One side of a scene: the tiles of each augmentation as they lie on it, and the groups and blocks they belong to."""
+
+    def __init__(self, number: int, side: int, span: int, tiles: list[tuple[np.ndarray, int, int]]):
+        # Of each tile: the scene's index of each of its cells, the first cell it gives, and how many.
+        self.cells = [t[0] for t in tiles]
+        self.first, self.size = [t[1] for t in tiles], [t[2] for t in tiles]
+        self.group = [int(c.min()) // span for c in self.cells]
+        self.of: dict[int, list[int]] = {}
+        self.over: list[list[int]] = [[] for _ in range(number)]  # tiles that give cells of a block
+        self.needed: list[set[int]] = [set() for _ in range(number)]  # groups that take a block
+        self.given: list[set[int]] = [set() for _ in range(number)]  # groups that give cells of it
+        for t, c in enumerate(self.cells):
+            self.of.setdefault(self.group[t], []).append(t)
+            for b in range(int(c.min()) // side, int(c.max()) // side + 1):
+                self.needed[b].add(self.group[t])
+            if self.size[t]:
+                for b in range(self.first[t] // side, (self.first[t] + self.size[t] - 1) // side + 1):
+                    self.over[b].append(t)
+                    self.given[b].add(self.group[t])
+
+
+def _sides(op: str, height: int, width: int, tile: int, stride: int, border: int, side: int, span: int) -> tuple[_Side, _Side]:
+    """A scene's rows and columns under an augmentation; a turn makes rows of columns."""
+
+    def one(size: int, turned: bool) -> _Side:
+        axis, tiles = _Axis(size, tile, stride, border), []
+        for t in range(axis.tiles):
+            cells, first = axis.sources(t), t * stride
+            number = max(0, min(tile - 2 * border, size - first))
+            tiles.append((size - 1 - cells, size - first - number, number) if turned else (cells, first, number))
+        return _Side(-(-size // side), side, span, tiles)
+
+    return one(height, op == "flipud"), one(width, op == "rot90")
 
 
 def _predicted(wide: DataFrame, ops: list[str], height: int, width: int, bands: list[str], tile: int, stride: int, border: int, call: Callable, batch: int) -> DataFrame:
-    """(row, col, p) of a scene: blocks to batches of tiles, the model, blocks back."""
+    """(row, col, p) of a scene: blocks to groups of neighbouring tiles, the model, blocks back."""
     side = math.gcd(stride, tile)
     out = tile - 2 * border
     inner = weights_array(out)
-    # For each augmentation the axes of its scene; a turn makes rows of columns.
-    axes = {op: tuple(_Axis(n, tile, stride, border) for n in ((width, height) if op == "rot90" else (height, width))) for op in ops}
+    span = max(GROUP, GROUP_CELLS // stride) * stride
+    sides = [_sides(op, height, width, tile, stride, border, side, span) for op in ops]
+    needed, given = ([[set().union(*(getattr(s[k], name)[b] for s in sides)) for b in range(len(sides[0][k].over))] for k in (0, 1)] for name in ("needed", "given"))
+
+    def to_scene(p: np.ndarray, op: str) -> np.ndarray:
+        """A tile's array, turned back to how it lies in the scene."""
+        return p.T[:, ::-1] if op == "rot90" else p[::-1] if op == "flipud" else p
+
+    def cut(a: np.ndarray, op: str, down: int, across: int) -> np.ndarray:
+        """Of a tile that has been turned back the cells within the scene: tiles begin within it and may end beyond."""
+        a = a[out - down :] if op == "flipud" else a[:down]
+        return a[:, out - across :] if op == "rot90" else a[:, :across]
+
+    def mean(up: np.ndarray, under: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mean over augmentations, and where there is one."""
+        number = (under != 0).sum(axis=0)
+        total = np.where(under != 0, up / (under + BLEND_EPS), 0).sum(axis=0)
+        return total / np.maximum(number, 1), number > 0
+
+    def weights_of(y: int, x: int) -> np.ndarray:
+        """The sum of a block's weights for each augmentation, of all tiles."""
+        under = np.zeros((len(ops), side, side))
+        for k, (op, (rows, cols)) in enumerate(zip(ops, sides)):
+            turned = to_scene(inner, op)
+            for i in rows.over[y]:
+                for j in cols.over[x]:
+                    _add(under[k], cut(turned, op, rows.size[i], cols.size[j]), rows.first[i] - y * side, cols.first[j] - x * side)
+        return under
 
     def to_block(key, table):
         a = np.zeros((len(bands), side, side), np.float32)
@@ -191,87 +243,77 @@ def _predicted(wide: DataFrame, ops: list[str], height: int, width: int, bands:
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([a.tobytes()], pa.binary())], names=["by", "bx", "data"])
 
     def spread(batches):
-        """A row for each tile that needs a block."""
+        """A row for each group of tiles that needs a block."""
         for part in batches:
-            by, bx = part.column("by").to_pylist(), part.column("bx").to_pylist()
-            for k, (y, x) in enumerate(zip(by, bx)):
-                r0, r1, c0, c1 = y * side, min(height, (y + 1) * side) - 1, x * side, min(width, (x + 1) * side) - 1
-                rows = []
-                for number, op in enumerate(ops):
-                    rr, cc = (r0, r1), (c0, c1)
-                    if op == "flipud":
-                        rr = height - 1 - r1, height - 1 - r0
-                    if op == "rot90":
-                        rr, cc = (width - 1 - c1, width - 1 - c0), (r0, r1)
-                    down, across = axes[op]
-                    rows += [(number, ty * across.tiles + tx) for ty in down.needing(*rr) for tx in across.needing(*cc)]
-                if rows:
-                    n = pa.array(np.zeros(len(rows), np.int64))
-                    tiles = np.array([t for _, t in rows], np.int64)
-                    cols = [pa.array([o for o, _ in rows], pa.int32()), pa.array(tiles // max(1, batch)), pa.array(tiles)]
-                    yield pa.RecordBatch.from_arrays([*cols, *(part.column(c).slice(k, 1).take(n) for c in ("by", "bx", "data"))], names=["op", "batch", "tile", "by", "bx", "data"])
-
-    def whence(op: str, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """The scene's rows and columns behind a tile: of its rows and columns, or, turned, of its columns and rows."""
-        down, across = axes[op]
-        r, c = down.sources(t // across.tiles), across.sources(t % across.tiles)
-        return (c, width - 1 - r) if op == "rot90" else (height - 1 - r if op == "flipud" else r, c)
-
-    def to_tiles(key, table):
-        op = ops[key[0].as_py()]
-        number, by, bx, data = (table[c].to_pylist() for c in ("tile", "by", "bx", "data"))
-        tiles = sorted(set(number))
-        a = np.zeros((len(tiles), len(bands), tile, tile), np.float32)
-        for k, t in enumerate(tiles):
-            r, c = whence(op, t)
-            y0, x0 = r.min() // side, c.min() // side
-            region = np.zeros((len(bands), (r.max() // side - y0 + 1) * side, (c.max() // side - x0 + 1) * side), np.float32)
-            for n, y, x, d in zip(number, by, bx, data):
-                if n == t:
-                    region[:, (y - y0) * side : (y - y0 + 1) * side, (x - x0) * side : (x - x0 + 1) * side] = np.frombuffer(d, np.float32).reshape(len(bands), side, side)
-            cut = region[:, r - y0 * side][:, :, c - x0 * side]
-            a[k] = cut.transpose(0, 2, 1) if op == "rot90" else cut
-        p = np.asarray(call(a), np.float64)[:, 0]
-        if p.shape[1] != out:  # a model without borders gives its whole tile
-            p = p[:, border : tile - border, border : tile - border]
-        rows = []
-        down, across = axes[op]
-        for k, t in enumerate(tiles):
-            y, x = t // across.tiles * stride, t % across.tiles * stride
-            own, weight = (q[: max(0, down.size - y), : max(0, across.size - x)] for q in (p[k] * inner, inner))
-            if not own.size:
-                continue
-            if op == "rot90":
-                own, weight, y, x = own.T[:, ::-1], weight.T[:, ::-1], x, width - y - own.shape[0]
-            elif op == "flipud":
-                own, weight, y = own[::-1], weight[::-1], height - y - own.shape[0]
-            for block_y in range(y // side, (y + own.shape[0] - 1) // side + 1):
-                for block_x in range(x // side, (x + own.shape[1] - 1) // side + 1):
-                    up, under = np.zeros((side, side)), np.zeros((side, side))
-                    a0, a1 = max(y, block_y * side), min(y + own.shape[0], (block_y + 1) * side)
-                    b0, b1 = max(x, block_x * side), min(x + own.shape[1], (block_x + 1) * side)
-                    there = slice(a0 - block_y * side, a1 - block_y * side), slice(b0 - block_x * side, b1 - block_x * side)
-                    here = slice(a0 - y, a1 - y), slice(b0 - x, b1 - x)
-                    up[there], under[there] = own[here], weight[here]
-                    rows.append((key[0].as_py(), t, block_y, block_x, up.tobytes(), under.tobytes()))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["op", "tile", "by", "bx", "up", "under"])
+            for k, (y, x) in enumerate(zip(part.column("by").to_pylist(), part.column("bx").to_pylist())):
+                to = [(gy, gx) for gy in sorted(needed[0][y]) for gx in sorted(needed[1][x])]
+                if to:
+                    n = pa.array(np.zeros(len(to), np.int64))
+                    yield pa.RecordBatch.from_arrays([*(pa.array([t[j] for t in to], pa.int32()) for j in (0, 1)), *(part.column(c).slice(k, 1).take(n) for c in ("by", "bx", "data"))], names=["gy", "gx", "by", "bx", "data"])
+
+    def to_sums(key, table):
+        """The weighted sums of a group's tiles by block, or what comes of them where no other group adds to the block."""
+        gy, gx = (k.as_py() for k in key)
+        by, bx = table["by"].to_pylist(), table["bx"].to_pylist()
+        ends = [[cell for s in sides for t in s[k].of.get(g, []) for cell in (int(s[k].cells[t].min()), int(s[k].cells[t].max()))] for k, g in ((0, gy), (1, gx))]
+        (y0, y1), (x0, x1) = ((min(e) // side, max(e) // side + 1) for e in ends)
+        region = np.zeros((len(bands), (y1 - y0) * side, (x1 - x0) * side), np.float32)
+        for y, x, d in zip(by, bx, table["data"]):
+            if y0 <= y < y1 and x0 <= x < x1:
+                region[:, (y - y0) * side : (y - y0 + 1) * side, (x - x0) * side : (x - x0 + 1) * side] = np.frombuffer(d.as_buffer(), np.float32).reshape(len(bands), side, side)
+        up, touched = np.zeros((len(ops), *region.shape[1:])), np.zeros((y1 - y0, x1 - x0), bool)
+        for k, (op, (rows, cols)) in enumerate(zip(ops, sides)):
+            tiles = [(i, j) for i in rows.of.get(gy, []) for j in cols.of.get(gx, []) if rows.size[i] and cols.size[j]]
+            for n in range(0, len(tiles), max(1, batch)):
+                some = tiles[n : n + max(1, batch)]
+                a = np.zeros((len(some), len(bands), tile, tile), np.float32)
+                for m, (i, j) in enumerate(some):
+                    seen = region[:, rows.cells[i] - y0 * side][:, :, cols.cells[j] - x0 * side]
+                    a[m] = seen.transpose(0, 2, 1) if op == "rot90" else seen
+                p = np.asarray(call(a), np.float64)[:, 0]
+                if p.shape[1] != out:  # a model without borders gives its whole tile
+                    p = p[:, border : tile - border, border : tile - border]
+                for (i, j), q in zip(some, p):
+                    y, x = rows.first[i] - y0 * side, cols.first[j] - x0 * side
+                    _add(up[k], cut(to_scene(q * inner, op), op, rows.size[i], cols.size[j]), y, x)
+                    touched[y // side : (y + rows.size[i] - 1) // side + 1, x // side : (x + cols.size[j] - 1) // side + 1] = True
+        made = []
+        for y, x in zip(*np.nonzero(touched)):
+            own = up[:, y * side : (y + 1) * side, x * side : (x + 1) * side]
+            y, x = int(y) + y0, int(x) + x0
+            alone = len(given[0][y]) == 1 and len(given[1][x]) == 1
+            if alone:
+                v, there = mean(own, weights_of(y, x))
+                own = np.where(there, v, np.nan).astype(np.float32)
+            made.append((gy, gx, y, x, alone, np.ascontiguousarray(own).tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        return pa.Table.from_arrays([pa.array([r[j] for r in made], k) for j, k in enumerate(kinds)], names=["gy", "gx", "by", "bx", "alone", "data"])
 
     def add(key, table):
-        up, under = np.zeros((len(ops), side * side)), np.zeros((len(ops), side * side))
-        rows = sorted(zip(table["op"].to_pylist(), table["tile"].to_pylist(), table["up"].to_pylist(), table["under"].to_pylist()), key=lambda r: r[:2])
-        for op, _, a, b in rows:
-            up[op] += np.frombuffer(a, np.float64)
-            under[op] += np.frombuffer(b, np.float64)
-        there = under != 0
-        number = there.sum(axis=0)
-        at = np.flatnonzero(number)
-        v = np.where(there, up / (under + BLEND_EPS), 0).sum(axis=0)[at] / number[at]
-        row, col = np.divmod(at, side)
-        return pa.table({"row": pa.array(row + key[0].as_py() * side, pa.int32()), "col": pa.array(col + key[1].as_py() * side, pa.int32()), "p": pa.array(v.astype(np.float32))})
+        y, x = (k.as_py() for k in key)
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("gy", "gx", "alone", "data"))))
+        if rows[0][2]:
+            v = np.frombuffer(rows[0][3], np.float32).reshape(side, side)
+            there = ~np.isnan(v)
+            if not there.all():  # a prediction that is nan is one, a cell without tiles isn't
+                there = mean(np.zeros((len(ops), side, side)), weights_of(y, x))[1]
+        else:
+            up = sum(np.frombuffer(d, np.float64).reshape(len(ops), side, side) for *_, d in rows)
+            v, there = mean(up, weights_of(y, x))
+        row, col = np.nonzero(there)
+        return pa.table({"row": pa.array(row + y * side, pa.int32()), "col": pa.array(col + x * side, pa.int32()), "p": pa.array(v[row, col].astype(np.float32))})
 
     place = [F.expr(f"cast({c} div {side} as int)").alias(n) for c, n in (("row", "by"), ("col", "bx"))]
     blocks = wide.select("row", "col", *bands, *place).groupBy("by", "bx").applyInArrow(to_block, "by int, bx int, data binary")
-    dealt = blocks.mapInArrow(spread, "op int, batch long, tile long, by int, bx int, data binary")
-    parts = dealt.groupBy("op", "batch").applyInArrow(to_tiles, "op int, tile long, by int, bx int, up binary, under binary")
-    return parts.groupBy("by", "bx").applyInArrow(add, "row int, col int, p float")
+    dealt = blocks.mapInArrow(spread, "gy int, gx int, by int, bx int, data binary")
+    groups = sorted({(gy, gx) for rows, cols in sides for gy in rows.of for gx in cols.of})
+    every = wide.sparkSession.createDataFrame([(gy, gx, -1, -1, b"") for gy, gx in groups], dealt.schema)  # groups without any data are predicted too
+    sums = dealt.unionByName(every).groupBy("gy", "gx").applyInArrow(to_sums, "gy int, gx int, by int, bx int, alone boolean, data binary")
+    return sums.groupBy("by", "bx").applyInArrow(add, "row int, col int, p float")
+
+
+def _add(to: np.ndarray, part: np.ndarray, y: int, x: int) -> None:
+    """Add an array at a place that may lie partly beyond the other's ends."""
+    y0, x0, y1, x1 = max(0, y), max(0, x), min(to.shape[0], y + part.shape[0]), min(to.shape[1], x + part.shape[1])
+    if y0 < y1 and x0 < x1:
+        to[y0:y1, x0:x1] += part[y0 - y : y1 - y, x0 - x : x1 - x]

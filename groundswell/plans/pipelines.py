@@ -113,7 +113,7 @@ def infer(raster: DataFrame, grid: GridSpec, model: Callable | bytes, config: Mo
         if k == 0:
             scene, record = tiling.segment(raster, grid, model, bands, c.tile, c.stride, c.augmentation, c.drop_border, nodata, batch_size=c.batch_size)
         elif scene is not None:
-            scene = written(scene, "probability")
+            scene = neighbours.settled(written(scene, "probability"))
     return scene, record
 
 

@@ -494,7 +494,7 @@ def infer_end_to_end(spark, sf_dir):
 
     A model of single cells must come out of the blending as it is."""
     wide, spec = normal(spark, sf_dir)
-    scene_, _ = tiling.segment(written(wide, "normal"), spec, channel_levels, BANDS, TILE, STRIDE)
+    scene_, _ = tiling.segment(wide, spec, channel_levels, BANDS, TILE, STRIDE)
     return scene_.select("row", "col", F.round(F.col("p").cast("double"), 4).alias("p"))
 
 
@@ -560,7 +560,7 @@ def trail_map_geotiff(spark, sf_dir):
     from groundswell.sources.raster import read_raster, write_raster
 
     wide, spec = normal(spark, sf_dir)
-    found, _ = infer(written(wide, "normal"), spec, channel_levels, ModelConfig(tile=min(224, spec.height, spec.width) // 2 * 2, stride=min(224, spec.height, spec.width) // 2, batch_size=4))
+    found, _ = infer(wide, spec, channel_levels, ModelConfig(tile=min(224, spec.height, spec.width) // 2 * 2, stride=min(224, spec.height, spec.width) // 2, batch_size=4))
     path = _file(spark, ".tif")
     write_raster(found.withColumn("p", F.round("p", 4)), spec, path, "geotiff", ["p"])
     return read_raster(spark, path, "geotiff")[0]

@@ -362,3 +362,23 @@ def test_streaming_intake(spark, tmp_path):
     ids = []
     watch(spark, str(tmp_path), lambda df, n: ids.extend(r["point_id"] for r in df.collect()), f"{tmp_path}/las-state", once=True, fmt="las").awaitTermination(60)
     assert len(ids) == len(set(ids)) == 50
+
+
+def test_groups_of_tiles(spark, monkeypatch):
+    """Any group gives the same; a block goes to few groups, and tiles without any data are predicted like others."""
+    a = np.zeros((2, 70, 53))
+    a[:, 3:9, 4:11] = np.random.default_rng(6).random((2, 6, 7))
+    some = [(r, c, float(a[0, r, c]), float(a[1, r, c])) for r in range(3, 9) for c in range(4, 11)]
+    wide = spark.createDataFrame(some, "row int, col int, a double, b double")
+    model = lambda x: 0.25 + np.broadcast_to(x.mean(axis=(1, 2, 3), keepdims=True), (len(x), 1, *x.shape[2:]))
+    want = expected(a, model, 16, 8)
+    for group, cells in ((1, 1), (2, 1), (4, 448)):
+        monkeypatch.setattr(tiling, "GROUP", group)
+        monkeypatch.setattr(tiling, "GROUP_CELLS", cells)
+        got = array_of(tiling.segment(wide, grid_of(a[0]), model, ["a", "b"], 16, 8, batch_size=3)[0], a.shape[1:], "p")
+        assert np.allclose(got, want, atol=1e-5)
+    monkeypatch.undo()
+    for tile, stride in ((32, 16), (224, 112)):
+        sides = [tiling._sides(op, 3200, 3100, tile, stride, 0, stride, max(tiling.GROUP, tiling.GROUP_CELLS // stride) * stride) for op in tiling.AUGMENTATIONS]
+        sent = [sum(len(set().union(*(s[k].needed[b] for s in sides))) for b in range(len(sides[0][k].over))) / len(sides[0][k].over) for k in (0, 1)]
+        assert sent[0] * sent[1] < 4  # it was 12, one for each tile of each augmentation
