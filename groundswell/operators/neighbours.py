@@ -38,6 +38,7 @@ LARGE = 1 << 20  # points from which shuffle files are let go of between jobs
 FEW_CELLS = 1 << 20  # cells that may be broadcast
 NUMBERS = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_()}
 HEADER = struct.Struct("<BBq")
+ASCENDING, WHOLE = 8, {"f": 16, "d": 32}  # how numbers are packed, beside their kind
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -57,22 +58,42 @@ def _plain(column) -> tuple[np.ndarray, np.ndarray | None]:
 
 
 def _pack(values: np.ndarray, known: np.ndarray | None) -> bytes:
-    """Integers as differences from the least, as narrow as they come; a byte each for which are there, if any isn't."""
-    base = 0
+    """Integers as differences from the least (of ascending ones: from the one before), as narrow as they come, whole floats like integers;
+    a byte each for which are there, if any isn't. Bytes of one place lie together, compressed."""
+    base, how = 0, 0
+    if values.dtype.kind == "f" and _is_whole(values):
+        values, how = values.astype(np.int64), WHOLE[values.dtype.char]
     if values.dtype.kind == "i":
         base = int(values.min())
-        over = values.view(np.uint64) - np.array([base]).view(np.uint64)[0]
+        if len(values) > 1 and values[0] == base and (values[1:] >= values[:-1]).all():
+            over, how = np.diff(values, prepend=base).view(np.uint64), how | ASCENDING
+        else:
+            over = values.view(np.uint64) - np.array([base]).view(np.uint64)[0]
         values = over.astype(np.min_scalar_type(over.max()))
     mask = b"" if known is None or known.all() else known.tobytes()
-    return HEADER.pack(b"BHILfd".index(values.dtype.char.encode()), len(mask) > 0, base) + values.tobytes() + mask
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return HEADER.pack("BHILQfd".index(values.dtype.char) | how, len(mask) > 0, base) + pa.compress(planes + mask, "zstd", asbytes=True)
+
+
+def _is_whole(values: np.ndarray) -> bool:
+    """Whether floats are integers that come back as they were: no fraction, no -0.0, none too large, nan or infinite."""
+    with np.errstate(invalid="ignore"):
+        return bool((np.abs(values) <= 1 << 53).all() and (values == np.floor(values)).all() and not np.signbit(values[values == 0]).any())
 
 
 def _unpack(packed: bytes, number: int) -> tuple[np.ndarray, np.ndarray | None]:
-    code, masked, base = HEADER.unpack_from(packed)
-    values = np.frombuffer(packed, np.dtype("BHILfd"[code]), number, HEADER.size)
-    if code < 4:
-        values = (values.astype(np.uint64) + np.array([base]).view(np.uint64)[0]).view(np.int64)
-    return values, np.frombuffer(packed, bool, number, len(packed) - number) if masked else None
+    how, masked, base = HEADER.unpack_from(packed)
+    kind = np.dtype("BHILQfd"[how & 7])
+    size = number * kind.itemsize
+    body = pa.decompress(memoryview(packed)[HEADER.size :], size + number * masked, "zstd", asbytes=True)
+    values = np.ascontiguousarray(np.frombuffer(body, np.uint8, size).reshape(kind.itemsize, number).T).view(kind).ravel()
+    if kind.kind == "u":
+        over = values.astype(np.uint64)
+        over = np.cumsum(over, dtype=np.uint64) if how & ASCENDING else over
+        values = (over + np.array([base]).view(np.uint64)[0]).view(np.int64)
+    for char, bit in WHOLE.items():
+        values = values.astype(char) if how & bit else values
+    return values, np.frombuffer(body, bool, number, size) if masked else None
 
 
 def _deal(columns: list[str], slim: int, dims: list[str], edge, halo, role: int):
@@ -106,7 +127,7 @@ def _deal(columns: list[str], slim: int, dims: list[str], edge, halo, role: int)
                     parts.append((there, x[there], y[there], 2))
         made: list[tuple] = []
         for rows, bx, by, kind in parts:
-            order = np.lexsort((by, bx))
+            order = np.lexsort((cols[0][0][rows], by, bx))  # by id within a block: differences are small
             rows, bx, by = rows[order], bx[order], by[order]
             cuts = np.flatnonzero(np.diff(bx, prepend=bx[:1] - 1).astype(bool) | np.diff(by, prepend=by[:1] - 1).astype(bool))
             mine = [(v[rows], None if m is None else m[rows]) for v, m in (cols if kind == role else cols[:slim])]
@@ -235,7 +256,7 @@ def _array(values: np.ndarray, known: np.ndarray | None, kind: pa.DataType) -> p
     return pa.array(values.astype(kind.to_pandas_dtype()), kind, mask=mask)
 
 
-def _block(k: int, dims: list[str], kind: type, halo, carried: dict[str, str], payload: dict[str, str], same: bool, say: str):
+def _block(k: int, dims: list[str], kind: type, halo, carried: dict[str, str], places: set[str], payload: dict[str, str], same: bool, say: str):
     """A block's task. ``say``: rows (of neighbours), left (probes with fewer than k), mean or first (of each probe, left ones too)."""
     width = 1 + len(dims)
 
@@ -251,7 +272,9 @@ def _block(k: int, dims: list[str], kind: type, halo, carried: dict[str, str], p
         bound = _bounds(k, p[left], pid[left], q, qid)
         if say == "left":
             return pa.table({"point_id": pid[left], **{d: p[left, j] for j, d in enumerate(dims)}, "bound": bound})
-        made = {"point_id": pid, **{d: p[:, j] for j, d in enumerate(dims)}} | {c: _array(v, m, NUMBERS[t]) for (c, t), (v, m) in zip(carried.items(), own[width:])}
+        there = np.zeros(len(pid), bool)
+        there[left] = True  # a place is kept where it is asked for, and of probes that look on
+        made = {"point_id": pid, **{d: pa.array(p[:, j], mask=None if d in places else ~there) for j, d in enumerate(dims)}} | {c: _array(v, m, NUMBERS[t]) for (c, t), (v, m) in zip(carried.items(), own[width:])}
         done = np.ones(len(pid), bool)
         done[left] = False
         upto = np.full(len(pid), np.inf)
@@ -413,6 +436,7 @@ class _Task:
         self.number = "long" if self.whole else "double"
         self.kinds = {d: self.number for d in dims}
         self.carried = {c: kinds[c] for c in carry if c not in ("point_id", *dims)}
+        self.places = {d for d in dims if d in carry}
         self.extra = {payload: others[payload]} if payload else {}
         if payload and self.extra[payload] not in NUMBERS:
             raise ValueError(f"{payload} isn't a number")
@@ -443,7 +467,7 @@ class _Task:
             "mean": [*own, *[f"{c} {t}" for c, t in self.carried.items()], "mean_dist double", "done boolean", "bound double"],
             "first": [*own, *[f"{c} {t}" for c, t in self.carried.items()], f"d2 {self.number}", "near_id long", *[f"o_{c} {t}" for c, t in self.extra.items()], "done boolean", "bound double"],
         }[what]
-        return dealt.groupBy("bx", "by").applyInArrow(_block(self.k, dims, kind, self.halo, self.carried, self.extra, self.same, what), ", ".join(schema))
+        return dealt.groupBy("bx", "by").applyInArrow(_block(self.k, dims, kind, self.halo, self.carried, self.places, self.extra, self.same, what), ", ".join(schema))
 
     def rest(self, left: DataFrame) -> DataFrame | None:
         """The neighbours of probes that have fewer than k in a halo, as rows (payload with o_); None without such probes."""
@@ -533,10 +557,11 @@ def outlier_stats(means: DataFrame, multiplier: float = OUTLIER_MULTIPLIER, stdd
     return means.agg(F.avg("mean_dist").alias("mean"), spread.alias("stddev"), (F.avg("mean_dist") + multiplier * spread).alias("threshold"))
 
 
-def flag_outliers(points: DataFrame, k: int = OUTLIER_K, multiplier: float = OUTLIER_MULTIPLIER, class_code: int = NOISE_CLASS, stddev: str = "sample", dims: tuple[str, ...] = ("x", "y", "z"), edge: float | None = None) -> DataFrame:
-    """Points with mean_dist and is_outlier; outliers get the noise class, none is dropped."""
-    kept = _kept(points, "points")
-    met = _of_each(kept, kept, kept, k, list(dims), None, "mean", edge, kept.columns).select(*kept.columns, "mean_dist")
+def flag_outliers(points: DataFrame, k: int = OUTLIER_K, multiplier: float = OUTLIER_MULTIPLIER, class_code: int = NOISE_CLASS, stddev: str = "sample", dims: tuple[str, ...] = ("x", "y", "z"), edge: float | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Points with mean_dist and is_outlier; outliers get the noise class, none is dropped. ``columns``: what is kept of a point, else all."""
+    columns = columns or points.columns
+    kept = _kept(points if hasattr(points, "written_to") else points.select(*dict.fromkeys(["point_id", *dims, *columns])), "points")
+    met = _of_each(kept, kept, kept, k, list(dims), None, "mean", edge, columns).select(*columns, "mean_dist")
     limit = outlier_stats(met, multiplier, stddev).first()["threshold"]
     flag = F.coalesce(F.col("mean_dist") > F.lit(limit), F.lit(False)) if limit is not None else F.lit(False)
     return met.withColumn("is_outlier", flag).withColumn("classification", F.when(F.col("is_outlier"), class_code).otherwise(F.col("classification")).cast("int"))

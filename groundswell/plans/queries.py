@@ -135,7 +135,7 @@ def outlier_stats(spark, sf_dir):
 
 @query(f"WITH {POINTS_SQL}, {FLAGS} SELECT point_id, is_outlier, cls AS classification FROM fl")
 def outlier_flag(spark, sf_dir):
-    return neighbours.flag_outliers(points(spark, sf_dir)).select("point_id", "is_outlier", "classification")
+    return neighbours.flag_outliers(points(spark, sf_dir), columns=["point_id", "classification"]).select("point_id", "is_outlier", "classification")
 
 
 HAG = f"""grd AS MATERIALIZED (SELECT * FROM pts WHERE classification = 2), veg AS MATERIALIZED (SELECT * FROM pts WHERE classification <> 2),
@@ -154,7 +154,7 @@ def hag_nn(spark, sf_dir):
 
 @query(f"WITH {POINTS_SQL}, {FLAGS} SELECT point_id FROM fl WHERE cls = 2")
 def filter_ground(spark, sf_dir):
-    return neighbours.flag_outliers(points(spark, sf_dir)).where("classification = 2").select("point_id")
+    return neighbours.flag_outliers(points(spark, sf_dir), columns=["point_id", "classification"]).where("classification = 2").select("point_id")
 
 
 @query(f"WITH {POINTS_SQL}, {HAG} SELECT point_id, hag FROM hg WHERE hag < 80")

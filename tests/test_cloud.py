@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from groundswell.model import GridSpec
@@ -197,3 +198,51 @@ def test_missing_modules_are_named(monkeypatch):
     validate.need("onnxruntime")
     with pytest.raises(validate.ValidationError, match="lazrs"):
         validate.need("onnxruntime", "lazrs")
+
+
+@pytest.mark.parametrize("kind", ["int64", "float64", "float32"])
+def test_packed_columns_come_back_and_are_small(kind):
+    r = np.random.default_rng(3)
+    known = r.random(4000) < 0.9
+    for values in (r.integers(-(2**40), 2**40, 4000), np.sort(r.integers(0, 2**52, 4000)), r.integers(0, 8000, 4000), np.full(4000, 7), np.array([-(2**62), 2**62]), np.array([5])):
+        values = values.astype(kind)
+        for mask in (None, known[: len(values)]):
+            got, there = neighbours._unpack(neighbours._pack(values, mask), len(values))
+            assert got.dtype == values.dtype and np.array_equal(got, values)
+            assert there is None or np.array_equal(there, mask)
+    assert len(neighbours._pack(r.integers(0, 8000, 4000).astype(kind), None)) < 1.9 * 4000
+    assert len(neighbours._pack(np.sort(r.integers(0, 2**52, 4000)), None)) < 6 * 4000
+    odd = np.array([-0.0, np.nan, np.inf, 0.5, 2.0**60]).astype("float32" if kind == "float32" else "float64")
+    assert neighbours._unpack(neighbours._pack(odd, None), 5)[0].tobytes() == odd.tobytes()
+
+
+def test_flags_keep_only_what_is_asked_for(spark, rows, monkeypatch):
+    """Of a point that has its neighbours no place is kept on disk unless asked for."""
+    held = {}
+
+    def noted(df, label="table", codec="snappy", own=neighbours.written):
+        held[label] = table = own(df, label, codec)
+        return table
+
+    monkeypatch.setattr(neighbours, "written", noted)
+    few = neighbours.flag_outliers(cloud(spark, rows), columns=["point_id", "classification"])
+    assert few.columns == ["point_id", "classification", "mean_dist", "is_outlier"]
+    assert held["each"].where("done AND (x IS NOT NULL OR y IS NOT NULL OR z IS NOT NULL)").count() == 0
+    want = {r["point_id"]: (r["classification"], r["is_outlier"], r["mean_dist"]) for r in neighbours.flag_outliers(cloud(spark, rows)).collect()}
+    assert {r["point_id"]: (r["classification"], r["is_outlier"], r["mean_dist"]) for r in few.collect()} == want
+
+
+def test_a_stage_list_keeps_no_copy_of_its_table(spark, rows, tmp_path, monkeypatch):
+    from groundswell.plans import stages
+
+    cloud(spark, rows).write.parquet(str(tmp_path / "cloud"))
+    labels = []
+
+    def noted(df, label="table", codec="snappy", own=neighbours.written):
+        labels.append(label)
+        return own(df, label, codec)
+
+    monkeypatch.setattr(neighbours, "written", noted)
+    chain = [{"type": "readers.parquet", "filename": str(tmp_path / "cloud")}, {"type": "filters.outlier", "mean_k": 8}]
+    assert stages.run(None, chain, spark=spark)[0].count() == len(rows)
+    assert "each" in labels and "points" not in labels
