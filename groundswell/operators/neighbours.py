@@ -415,7 +415,12 @@ def _nowhere(df: DataFrame, dims: list[str]):
 
 
 def _kept(df: DataFrame, label: str) -> DataFrame:
-    return df if hasattr(df, "written_to") else written(df, label, "zstd")
+    return df if _lasts(df) else written(df, label, "zstd")
+
+
+def _lasts(df: DataFrame) -> bool:
+    """Whether rows are in files already: written by us, or a reader's table, which isn't ours to remove."""
+    return hasattr(df, "written_to") or hasattr(df, "lasting")
 
 
 def settled(table: DataFrame, large: bool | None = None) -> DataFrame:
@@ -560,7 +565,7 @@ def outlier_stats(means: DataFrame, multiplier: float = OUTLIER_MULTIPLIER, stdd
 def flag_outliers(points: DataFrame, k: int = OUTLIER_K, multiplier: float = OUTLIER_MULTIPLIER, class_code: int = NOISE_CLASS, stddev: str = "sample", dims: tuple[str, ...] = ("x", "y", "z"), edge: float | None = None, columns: list[str] | None = None) -> DataFrame:
     """Points with mean_dist and is_outlier; outliers get the noise class, none is dropped. ``columns``: what is kept of a point, else all."""
     columns = columns or points.columns
-    kept = _kept(points if hasattr(points, "written_to") else points.select(*dict.fromkeys(["point_id", *dims, *columns])), "points")
+    kept = _kept(points if _lasts(points) else points.select(*dict.fromkeys(["point_id", *dims, *columns])), "points")
     met = _of_each(kept, kept, kept, k, list(dims), None, "mean", edge, columns).select(*columns, "mean_dist")
     limit = outlier_stats(met, multiplier, stddev).first()["threshold"]
     flag = F.coalesce(F.col("mean_dist") > F.lit(limit), F.lit(False)) if limit is not None else F.lit(False)

@@ -329,14 +329,18 @@ FROM df_all c LEFT JOIN df USING ("row", col) LEFT JOIN cf USING ("row", col) LE
 
 
 def stacked(spark, sf_dir) -> tuple[DataFrame, GridSpec]:
-    """The four bands on the shared grid, as a written table."""
+    """The four bands on the shared grid, as the one table that is left of their making."""
+    return alone(bands_of, spark, sf_dir, "stack")
+
+
+def bands_of(spark, sf_dir) -> tuple[DataFrame, GridSpec]:
     full, smooth, spec = smooth_terrain(spark, sf_dir)
     veg, _ = alone(canopy, spark, sf_dir, "canopy")
     relief = B.relief(full, smooth, float(LIM))
     chm = fill_gaps(veg.select("row", "col", F.col("chm").alias("value")), spec, 3)
     known = veg.select("row", "col", vegetation_density(F.col("low"), F.col("high")).alias("value"))
     none = spec.all_cells(spark).join(known, ["row", "col"], "left").select("row", "col", F.coalesce("value", F.lit(0.1)).alias("value"))
-    return written(B.stack({"dtm": full, "chm": chm, "mrm": relief, "vdi": none}), "stack"), spec
+    return B.stack({"dtm": full, "chm": chm, "mrm": relief, "vdi": none}), spec
 
 
 STACK_OUT = ", ".join(f"round({b}, 6) AS {b}" for b in BANDS)

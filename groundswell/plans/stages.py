@@ -77,7 +77,7 @@ def run(points: DataFrame | None, stages: list, grid: GridSpec | None = None, re
                 read.append(read_points(spark, stage["filename"], fmt, default_crs="local")[0])
                 points = merge(*read)
                 if fmt == "parquet" and len(read) == 1:
-                    points.written_to = stage["filename"]  # a table as it is: no copy of it is kept
+                    points.lasting = True  # a table as it is: no copy of it is kept
             continue
         if points is None:
             raise ValueError("no points: give some, or a reader with a file name")

@@ -246,3 +246,20 @@ def test_a_stage_list_keeps_no_copy_of_its_table(spark, rows, tmp_path, monkeypa
     chain = [{"type": "readers.parquet", "filename": str(tmp_path / "cloud")}, {"type": "filters.outlier", "mean_k": 8}]
     assert stages.run(None, chain, spark=spark)[0].count() == len(rows)
     assert "each" in labels and "points" not in labels
+
+
+def test_bands_leave_one_table(spark):
+    """What reads the stacked bands finds them made, and nothing else of their making on disk."""
+    import os
+
+    from groundswell import session
+    from groundswell.plans import queries
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    before = session.tables()
+    table, spec = queries.stacked(spark, folder)
+    assert session.tables() - before == {table.written_to}
+    assert table.count() == spec.width * spec.height
+    session.discard(table)
