@@ -58,18 +58,21 @@ LAST = np.uint64((1 << 40) - 1)  # the number of the end symbol
 BUCKET_ENTRIES = 1 << 19
 FREQUENT = 1 << 20
 CHUNK_BYTES = 8 << 20
-NEAR, WINDOW = 5, 8
+NEAR, WINDOW, GRAM = 4, 8, 4
 STEPS, LEAST = 200.0, 1e-9  # of a surprise's logarithm
 
 
+_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def planes(x: np.ndarray, kind: str = "<i8") -> bytes:
     """Integers byte by byte of all, compressed: leading zeros and small values take little."""
     x = np.ascontiguousarray(x, kind)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return _COMPRESS.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def unplanes(b: bytes, kind: str = "<i8") -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(b)
+    raw = _DECOMPRESS.decompress(b)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
@@ -173,8 +176,8 @@ def is_open(c: np.ndarray, p: np.ndarray, of: np.ndarray, contexts: int) -> np.n
 
 
 CHUNKS = "chunk long, ids binary, train binary, tokens binary, codes binary, prints binary, ranks binary"
-SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("symbols", pa.binary()), ("counts", pa.binary()), ("often", pa.binary()), ("shorter", pa.binary()), ("window", pa.binary()), ("carry", pa.list_(pa.binary()))])
-SENTS = "chunk long, bucket long, keys binary, symbols binary, counts binary, often binary, shorter binary, window binary, carry array<binary>"
+SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("symbols", pa.binary()), ("counts", pa.binary()), ("often", pa.binary()), ("shorter", pa.binary()), ("window", pa.binary()), ("text", pa.binary()), ("lengths", pa.binary()), ("carry", pa.list_(pa.binary()))])
+SENTS = "chunk long, bucket long, keys binary, symbols binary, counts binary, often binary, shorter binary, window binary, text binary, lengths binary, carry array<binary>"
 ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("times", pa.binary()), ("whole", pa.binary()), ("flags", pa.binary()), ("p", pa.binary()), ("asked", pa.list_(pa.int64())), ("contexts", pa.list_(pa.int64())), ("gains", pa.list_(pa.float64())), ("often", pa.list_(pa.int64()))])
 ANSWERS = "chunk long, bucket long, times binary, whole binary, flags binary, p binary, asked array<long>, contexts array<long>, gains array<double>, often array<long>"
 STATE, OPEN, PENDING = 1, 2, 4  # flags
@@ -218,13 +221,27 @@ def _count_words(key, table):
 
 
 def _order(keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The order by (key, symbol); symbols have 40 bits."""
-    first = np.argsort(keys)
-    rank = np.empty(len(keys), np.uint64)
-    rank[first] = np.cumsum(_starts(keys[first])) - 1
-    if len(keys) >= 1 << 24:
-        return np.lexsort((symbols, keys))
-    return np.argsort((rank << SYMBOL_BITS) | symbols)
+    """An order in which equal keys, and within them equal symbols, are together, keys ascending.
+
+    Sorted once by 40 bits of the key and 24 of the symbol's hash; rows that these don't tell apart are put in order after.
+    """
+    high = keys >> np.uint64(24)
+    both = (high << np.uint64(24)) | (mix64(symbols) >> np.uint64(40))
+    order = np.argsort(both)
+    if len(order) < 2:
+        return order
+    high, both_, keys_, symbols_ = high[order], both[order], keys[order], symbols[order]
+    unlike = np.zeros(len(order), bool)
+    for runs, differ in ((_starts(high), keys_), (_starts(both_), symbols_)):
+        mixed = ~runs[1:] & (differ[1:] != differ[:-1])
+        if mixed.any():
+            run = np.cumsum(runs) - 1
+            which = np.zeros(int(run[-1]) + 1, bool)
+            which[run[1:][mixed]] = True
+            unlike |= which[run]
+    rows = order[unlike]
+    order[unlike] = rows[np.lexsort((symbols[rows], both[rows], keys[rows]))]
+    return order
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -283,41 +300,79 @@ def _test_contexts(key, table):
     return pa.table(out, schema=ANSWER)
 
 
-def _grow(key, table):
-    """The subtrees over a bucket's contexts, as far as the windows reach: each entry's p, and whether it is still open."""
-    keys = [unascending(x) for x in table["keys"].to_pylist()]
-    cat = lambda name, kind: np.concatenate([unplanes(x, kind) for x in table[name].to_pylist()])
-    symbol, count, p = cat("symbols", "<u8"), cat("counts", "<i4"), cat("shorter", "<f8")
-    windows = [unplanes(x, "<u8").reshape(len(k), -1) for k, x in zip(keys, table["window"].to_pylist())]
-    window, group = np.concatenate(windows), np.concatenate(keys)
-    at = np.arange(len(group))
-    for j in range(window.shape[1]):
-        before = window[at, j]
-        at = at[before != NONE]
-        group = mix64(group[before != NONE] * STEP + window[at, j])
-        order = _order(group, symbol[at] >> (np.uint64(64) - SYMBOL_BITS))
-        at, group = at[order], group[order]
-        new = _starts(group, symbol[at] >> (np.uint64(64) - SYMBOL_BITS))
-        pair = np.cumsum(new) - 1
-        c, own = np.bincount(pair, weights=count[at]), p[at][new]
-        fresh = _starts(group[new])
-        of = np.cumsum(fresh) - 1
-        m = int(of[-1]) + 1 if len(of) else 0
-        whole = np.bincount(of, weights=c, minlength=m)
-        n = whole[of]
-        state = (whole >= 2) & (divergence(c, p_tested(surprise_sent(own)), n, of, m) > np.log(np.maximum(whole, 1)))
-        k = weight_of(np.maximum(n, 1.0))
-        after = np.where(state[of], (c + k * own) / (n + k), own)
-        p[at] = after[pair]
-        open_ = ((whole >= 2) & is_open(c, after, of, m))[of][pair]
-        at, group = at[open_], group[open_]
-        if not len(at):
+class Rolled:
+    """Hashes of runs of an array, each in one step, from sums of its prefixes."""
+
+    def __init__(self, symbols: np.ndarray):
+        self.up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(symbols), b, np.uint64))) for b in (BASE, pow(BASE, -1, 1 << 64)))
+        self.sums = np.append(np.uint64(0), np.cumsum(symbols * down[:-1]))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[end] - self.sums[start]) * self.up[start])
+
+
+def _alike(rolled: Rolled, end: np.ndarray, leader: np.ndarray, done: int, most: int) -> int:
+    """How many symbols, a power of two or none, all entries share with the ``leader`` of their group beyond those ``done``."""
+    far, step = 0, 1
+    while step <= most:
+        here = rolled.of(end - done - step, end - done)
+        if (here != here[leader]).any():
             break
-    flags = np.zeros(len(p), np.uint8)
-    flags[at] = OPEN
-    ends = np.cumsum([len(x) for x in keys])[:-1]
-    out = {"chunk": table["chunk"], "bucket": table["bucket"], "p": pa.array([planes(x, "<f8") for x in np.split(p, ends)], pa.binary()), "flags": pa.array([planes(x, "u1") for x in np.split(flags, ends)], pa.binary())}
-    return pa.table([out.get(f.name, pa.nulls(table.num_rows, f.type)) for f in ANSWER], schema=ANSWER)
+        far, step = step, 2 * step
+    return far
+
+
+def _grow(width: int):
+    """The subtrees over a bucket's contexts, as far as ``width`` symbols reach: each entry's p, and whether it is still open."""
+
+    def run(key, table):
+        cat = lambda name, kind: np.concatenate([unplanes(x, kind) for x in table[name].to_pylist()])
+        sizes = [len(unplanes(x, "<u8")) for x in table["keys"].to_pylist()]
+        texts = [unplanes(x, "<u8") for x in table["text"].to_pylist()]
+        first = np.repeat(np.cumsum([0, *map(len, texts)])[:-1], sizes)  # where the chunk's text begins
+        text, keys, symbol, length = np.concatenate(texts), cat("keys", "<u8"), cat("symbols", "<u8"), cat("lengths", "<i4")
+        end = first + np.concatenate([np.cumsum(unplanes(x, "<i4"), dtype=np.int64) for x in table["window"].to_pylist()])
+        rolled = Rolled(text)
+        same = mix64(mix64(mix64(keys * STEP + symbol) * STEP + rolled.of(end - length, end)) * STEP + length.astype(np.uint64))
+        _, one, back = np.unique(same, return_index=True, return_inverse=True)
+        count, p = np.bincount(back, weights=cat("counts", "<i4")), np.exp(-cat("shorter", "<f4").astype(float))[one]
+        group, symbol, end, length = keys[one], symbol[one], end[one], length[one]
+        at, j = np.arange(len(one)), 0
+        while j < width:
+            there = length[at] >= j  # after its last symbol, an entry that is shorter than the window has the start
+            at, group = at[there], group[there]
+            group = mix64(group * STEP + np.where(length[at] > j, text[np.maximum(end[at] - 1 - j, 0)], START))
+            order = _order(group, symbol[at])
+            at, group = at[order], group[order]
+            new = _starts(group, symbol[at])
+            pair = np.cumsum(new) - 1
+            c, own = np.bincount(pair, weights=count[at]), p[at][new]
+            fresh = _starts(group[new])
+            of = np.cumsum(fresh) - 1
+            m = int(of[-1]) + 1 if len(of) else 0
+            whole = np.bincount(of, weights=c, minlength=m)
+            n = whole[of]
+            state = (whole >= 2) & (divergence(c, p_tested(surprise_sent(own)), n, of, m) > np.log(np.maximum(whole, 1)))
+            k = weight_of(np.maximum(n, 1.0))
+            after = np.where(state[of], (c + k * own) / (n + k), own)
+            p[at] = after[pair]
+            open_ = ((whole >= 2) & is_open(c, after, of, m))[of][pair]
+            still = not state[of][pair][open_].any()
+            at, group, j = at[open_], group[open_], j + 1
+            if not len(at):
+                break
+            if still:  # while no group splits and none was a state, the tests go as they did
+                begins = _starts(group)
+                far = _alike(rolled, end[at], np.flatnonzero(begins)[np.cumsum(begins) - 1], j, min(width, int(length[at].min())) - j)
+                j += far
+        p = -np.log(p)
+        flags = np.zeros(len(p), np.uint8)
+        flags[at] = OPEN
+        ends = np.cumsum(sizes)[:-1]
+        out = {"chunk": table["chunk"], "bucket": table["bucket"], "p": pa.array([planes(x, "<f4") for x in np.split(p[back], ends)], pa.binary()), "flags": pa.array([planes(x, "u1") for x in np.split(flags[back], ends)], pa.binary())}
+        return pa.table([out.get(f.name, pa.nulls(table.num_rows, f.type)) for f in ANSWER], schema=ANSWER)
+
+    return run
 
 
 class Model:
@@ -437,10 +492,10 @@ def _sums(walk: Walk) -> list[np.ndarray]:
     return [add(walk.root > 0), add(np.log10(walk.model.root(walk.root))), add(closed)]
 
 
-def _carried(walk: Walk, sums: list[np.ndarray]) -> dict:
+def _carried(walk: Walk, sums: list[np.ndarray], place: np.ndarray = np.empty(0, np.int32)) -> dict:
     often = np.where(walk.seen >= walk.model.frequent, walk.seen, 0)
     steps = np.diff(walk.at, prepend=0)
-    carry = [planes(steps, "<i8"), planes(walk.p[walk.at], "<f4"), planes(often, "<i8"), *(planes(x, "<f8") for x in sums)]
+    carry = [planes(steps, "<i8"), planes(-np.log(walk.p[walk.at]), "<f4"), planes(often, "<i8"), planes(place, "<i4"), *(planes(x, "<f8") for x in sums)]
     return {"chunk": walk.own.number, "bucket": None, "carry": carry}
 
 
@@ -449,44 +504,53 @@ class Resumed(Walk):
 
     def __init__(self, model: Model, own: Chunk, carry: list[bytes], k: int):
         self.model, self.own, self.k = model, own, k
-        steps, p, self.seen = (unplanes(b, kind) for b, kind in zip(carry[:3], ("<i8", "<f4", "<i8")))
+        steps, p, self.seen, self.asked = (unplanes(b, kind) for b, kind in zip(carry[:4], ("<i8", "<f4", "<i8", "<i4")))
         self.at = np.cumsum(steps)
-        self.hashes = np.zeros(len(self.at), np.uint64)
-        for j in range(1, k + 1):
-            self.hashes = own.context(j, self.at, self.hashes)
         self.p = np.ones(len(own.doc))
-        self.p[self.at] = p
-        self.sums = [unplanes(b, "<f8") for b in carry[3:]]
+        self.p[self.at] = np.exp(-p.astype(float))
+        self.sums = [unplanes(b, "<f8") for b in carry[4:]]
+
+    def recall(self) -> None:
+        """The hashes of the contexts, symbol by symbol as for pairs."""
+        self.hashes = np.zeros(len(self.at), np.uint64)
+        for j in range(1, self.k + 1):
+            self.hashes = self.own.context(j, self.at, self.hashes)
 
     def entries(self, width: int) -> dict:
-        """The distinct open (context, symbol, ``width`` symbols before the context), told apart by rolling hashes."""
-        own, symbol, route = self.own, mix64(self.own.symbol[self.at]), mix64(self.hashes)
-        n = len(own.symbol)
-        up, down = (np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64))) for b in (BASE, pow(BASE, -1, 1 << 64)))
-        sums = np.append(np.uint64(0), np.cumsum(own.symbol * down[:n]))
-        end = self.at - self.k
-        length = np.minimum(width, own.place[self.at] - self.k)
-        rolled = mix64((sums[end] - sums[end - length]) * up[end - length])
-        all_ = mix64(mix64(mix64(self.hashes * STEP + symbol) * STEP + rolled) * STEP + length.astype(np.uint64))
-        order = np.lexsort((all_, route))
-        new = _starts(route[order], all_[order])
+        """The distinct open (context, symbol, ``width`` symbols before the context), told apart by rolling hashes, by bucket and place.
+
+        A context's bucket is that of its least hash of ``GRAM`` symbols: neighbours in a text mostly share it, and so the text sent.
+        """
+        own, symbols, k = self.own, mix64(self.own.symbol) >> (np.uint64(64) - SYMBOL_BITS), self.k
+        symbol, end = symbols[self.at], self.at - k
+        rolled, length = Rolled(own.symbol), np.minimum(width, own.place[self.at] - k)
+        keys = rolled.of(end, self.at)
+        same = mix64(mix64(mix64(keys * STEP + symbol) * STEP + rolled.of(end - length, end)) * STEP + length.astype(np.uint64))
+        _, one, back = np.unique(same, return_index=True, return_inverse=True)
+        gram = min(GRAM, k)
+        least = mix64(rolled.of(np.arange(len(own.symbol) - gram + 1), np.arange(gram, len(own.symbol) + 1)))
+        grams, wide = k - gram + 1, 1  # the least of as many, from the first on
+        while wide < grams:
+            step = min(wide, grams - wide)
+            least, wide = np.minimum(least[:-step], least[step:]), wide + step
+        bits = max(0, self.model.bits - 2)
+        bucket = (mix64(least[end[one]]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(one), np.int64)
+        order = np.lexsort((one, bucket))
         place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        one = order[new]
-        return {"place": place, "one": one, "keys": route[one], "symbols": symbol[one]}
+        place[order] = np.arange(len(order))
+        one, bucket = one[order], bucket[order]
+        return {"place": place[back], "one": one, "bucket": bucket, "keys": keys[one], "symbols": symbol[one], "end": end[one], "length": length[one], "texts": symbols}
 
     def grown(self, answers: pa.Table, width: int) -> None:
         """Take the answers to entries in."""
-        place = self.entries(width)["place"]
-        p, flags = _joined(answers, self.k, "p", "<f8"), _joined(answers, self.k, "flags", "u1")
+        place = self.asked
+        p, flags = _joined(answers, self.k, "p", "<f4"), _joined(answers, self.k, "flags", "u1")
         if len(p) != (place.max(initial=-1) + 1):
             raise ValueError(f"{len(p)} answers for {place.max(initial=-1) + 1} entries")
-        self.p[self.at] = p[place]
-        for _ in range(width):
-            self.k += 1
-            self.hashes = self.own.context(self.k, self.at, self.hashes)
+        self.p[self.at] = np.exp(-p.astype(float))[place]
+        self.k += width
+        self.at = self.at[(flags[place] & OPEN) > 0]
         self.seen = np.zeros(len(self.at), np.int64)
-        self.keep((flags[place] & OPEN) > 0)
 
     def close(self, before: np.ndarray) -> None:
         """Add what has been closed since ``before`` was open."""
@@ -494,14 +558,19 @@ class Resumed(Walk):
         done[np.searchsorted(before, self.at)] = False
         self.sums[2] += np.bincount(self.own.doc[before[done]], weights=np.log10(self.p[before[done]]), minlength=len(self.own.sizes))
 
-    def entry_rows(self, width: int) -> list[dict]:
-        sent = self.entries(width)
+    def entry_rows(self, sent: dict) -> list[dict]:
         n = np.bincount(sent["place"], weights=self.own.teaches[self.at], minlength=len(sent["keys"])).astype(np.int64)
-        one = self.at[sent["one"]]
-        p = self.p[one]
-        bucket, edges = _edges(sent["keys"], self.model.bits)
-        windows = lambda a, b: np.stack([self.own.before(self.k + 1 + j, one[a:b]) for j in range(width)], axis=1)
-        return [{"chunk": self.own.number, "bucket": int(bucket[a]), "keys": ascending(sent["keys"][a:b]), "symbols": planes(sent["symbols"][a:b], "<u8"), "counts": planes(n[a:b], "<i4"), "shorter": planes(p[a:b], "<f8"), "window": planes(windows(a, b).ravel(), "<u8")} for a, b in edges]
+        surprise = -np.log(self.p[self.at[sent["one"]]])
+        bucket, end, length = sent["bucket"], sent["end"], sent["length"]
+        begin = end - length
+        if len(end):  # what the entry before has sent in the same bucket isn't sent again
+            begin[1:] = np.where(bucket[1:] == bucket[:-1], np.maximum(begin[1:], end[:-1]), begin[1:])
+        more = np.maximum(end - begin, 0)
+        upto = np.cumsum(more)
+        text = sent["texts"][np.arange(int(more.sum())) + np.repeat(begin - (upto - more), more)]
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else []
+        cuts = np.append(0, upto)
+        return [{"chunk": self.own.number, "bucket": int(bucket[a]), "keys": planes(sent["keys"][a:b], "<u8"), "symbols": planes(sent["symbols"][a:b], "<u8"), "counts": planes(n[a:b], "<i4"), "shorter": planes(surprise[a:b], "<f4"), "window": planes(more[a:b], "<i4"), "text": planes(text[cuts[a] : cuts[b]], "<u8"), "lengths": planes(length[a:b], "<i4")} for a, b in zip(edges, edges[1:])]
 
 
 def _resume(model: Model, k: int, heard: int, width: int):
@@ -517,15 +586,18 @@ def _resume(model: Model, k: int, heard: int, width: int):
         if heard:
             walk.grown(answers, heard)
         else:
+            walk.recall()
             walk.heard(answers, walk.pairs())
         if width:
-            walk.keep(walk.own.place[walk.at] >= walk.k)
-            rows = walk.entry_rows(width)
+            there = walk.own.place[walk.at] >= walk.k
+            walk.at, walk.seen = walk.at[there], walk.seen[there]
+            sent = walk.entries(width)
+            rows, place = walk.entry_rows(sent), sent["place"]
         else:
             walk.longer()
-            rows = walk.rows(walk.pairs())
+            rows, place = walk.rows(walk.pairs()), np.empty(0, np.int32)
         walk.close(before)
-        return pa.Table.from_pylist([*rows, _carried(walk, walk.sums)], schema=SENT)
+        return pa.Table.from_pylist([*rows, _carried(walk, walk.sums, place)], schema=SENT)
 
     return run
 
@@ -535,7 +607,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score(model: Model):
     def run(key, chunks, carried):
-        own, sums = Chunk(chunks.to_pylist()[0]), [unplanes(b, "<f8") for b in carried["carry"].to_pylist()[0][3:]]
+        own, sums = Chunk(chunks.to_pylist()[0]), [unplanes(b, "<f8") for b in carried["carry"].to_pylist()[0][4:]]
         return pa.Table.from_arrays([
             pa.array(own.ids, pa.int64(), mask=own.none.astype(bool)), pa.array(~own.train), pa.array(own.sizes), pa.array(sums[0].astype(np.int64)),
             pa.array(np.full(len(own.sizes), model.total), pa.int64()), pa.array(sums[1]), pa.array(sums[2]),
@@ -599,9 +671,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     discard(*read)
     k, heard = 3, 0
     while step.where("bucket IS NOT NULL").limit(1).count():
-        got = tested(step.where("bucket IS NOT NULL"), _grow if heard else _test_contexts, f"lm-tested-{k}")
+        got = tested(step.where("bucket IS NOT NULL"), _grow(heard) if heard else _test_contexts, f"lm-tested-{k}")
         given = _judged(got, k).unionByName(step.where("bucket IS NULL").select("chunk", "carry"), allowMissingColumns=True)
-        width, last = 0 if k < near else 4 * heard if heard else window, step
+        width, last = 0 if k < near else (3 if k < 40 else 8) * k if heard else window, step
         step = written(meet(given, _resume(model, k, heard, width), SENTS), "lm-walk")
         discard(got, last)
         # Pairs are of one symbol more; entries are of what has been heard, with symbols before it.
