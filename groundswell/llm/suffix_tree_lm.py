@@ -21,14 +21,17 @@ Data flow: the tree isn't collected, it is as large as the corpus makes it.
    counts, whether it is a state and whether it is open. The pairs of a context seen ``frequent`` times or more are dealt out by
    classes of the next symbol, so that no task has all of it; its classes' gains are summed in a table, joined to the chunks that asked, and
    decide once. Such a context is never closed.
-4. From there on a chunk sends each open (context, symbol) once with the ``WINDOW`` symbols before it, then with four times as many, and
-   so on; a bucket grows the whole subtree over them. So rounds are as many as the logarithm of the longest repeated passage.
-5. From length 3 on, a chunk's open symbols with their p, and the sums of the closed ones by document, are a table; the sums are the result.
+4. From there on a chunk sends each open (context, symbol) once with the ``WINDOW`` symbols before it, then with three and at last eight
+   times as many as the context has; a bucket grows the whole subtree over them. So rounds are as many as the logarithm of the longest
+   repeated passage. Neighbours in a text mostly go to one bucket and share the text they send.
+5. From length 3 on, a chunk's open symbols with their p, and the sums of the closed ones by document, are a table; the sums are the
+   result. Once windows are sent, the texts with open symbols go along, and the chunks aren't read again.
 
 An entry is sent once a chunk, so a word or phrase of a third of all documents is as many entries as there are chunks. Words, contexts
 and windows go by 64-bit hashes, the symbols of one context by the numbers that the root's buckets give all words, the commonest the least
 (from length 3 on by 40 bits of a hash); p' in the test by its surprise, in steps of 1/200 of its
-logarithm. Texts are read once, for the chunks.
+logarithm.
+Texts are read once, for the chunks.
 
 Cases: null and empty texts are the end symbol alone; a null id counts as the text without characters for the fold; repeated rows
 each give a row; with no training rows all counts are 0; long texts are used whole; an empty table gives no rows; other columns
@@ -492,10 +495,10 @@ def _sums(walk: Walk) -> list[np.ndarray]:
     return [add(walk.root > 0), add(np.log10(walk.model.root(walk.root))), add(closed)]
 
 
-def _carried(walk: Walk, sums: list[np.ndarray], place: np.ndarray = np.empty(0, np.int32)) -> dict:
+def _carried(walk: Walk, sums: list[np.ndarray]) -> dict:
     often = np.where(walk.seen >= walk.model.frequent, walk.seen, 0)
     steps = np.diff(walk.at, prepend=0)
-    carry = [planes(steps, "<i8"), planes(-np.log(walk.p[walk.at]), "<f4"), planes(often, "<i8"), planes(place, "<i4"), *(planes(x, "<f8") for x in sums)]
+    carry = [planes(steps, "<i8"), planes(-np.log(walk.p[walk.at]), "<f4"), planes(often, "<i8"), *(planes(x, "<f8") for x in sums)]
     return {"chunk": walk.own.number, "bucket": None, "carry": carry}
 
 
@@ -504,11 +507,11 @@ class Resumed(Walk):
 
     def __init__(self, model: Model, own: Chunk, carry: list[bytes], k: int):
         self.model, self.own, self.k = model, own, k
-        steps, p, self.seen, self.asked = (unplanes(b, kind) for b, kind in zip(carry[:4], ("<i8", "<f4", "<i8", "<i4")))
+        steps, p, self.seen = (unplanes(b, kind) for b, kind in zip(carry[:3], ("<i8", "<f4", "<i8")))
         self.at = np.cumsum(steps)
         self.p = np.ones(len(own.doc))
         self.p[self.at] = np.exp(-p.astype(float))
-        self.sums = [unplanes(b, "<f8") for b in carry[4:]]
+        self.sums = [unplanes(b, "<f8") for b in carry[3:]]
 
     def recall(self) -> None:
         """The hashes of the contexts, symbol by symbol as for pairs."""
@@ -516,19 +519,63 @@ class Resumed(Walk):
         for j in range(1, self.k + 1):
             self.hashes = self.own.context(j, self.at, self.hashes)
 
+    def close(self, before: np.ndarray) -> None:
+        """Add what has been closed since ``before`` was open."""
+        done = np.ones(len(before), bool)
+        done[np.searchsorted(before, self.at)] = False
+        self.sums[2] = self.sums[2] + np.bincount(self.own.doc[before[done]], weights=np.log10(self.p[before[done]]), minlength=len(self.own.sizes))
+
+
+class Deep:
+    """The open symbols of a chunk beyond the pairs, with the texts up to them and no others: all of it goes from round to round."""
+
+    def __init__(self, model: Model, number: int, carry: list[bytes], k: int):
+        self.model, self.number, self.k = model, number, k
+        self.codes, self.prints = unplanes(carry[0], "<i4"), unplanes(carry[1], "<u8")
+        self.at = np.cumsum(unplanes(carry[2], "<i4"), dtype=np.int64)
+        self.place, self.doc = unplanes(carry[3], "<i4").astype(np.int64), np.cumsum(unplanes(carry[4], "<i4"), dtype=np.int64)
+        self.teaches, self.asked = unplanes(carry[5], "u1"), unplanes(carry[6], "<i4")
+        self.sums, self.symbol = [unplanes(b, "<f8") for b in carry[7:]], self.prints[self.codes]
+
+    @classmethod
+    def of(cls, walk: Resumed) -> "Deep":
+        """From a walk by pairs; symbols whose contexts reach the start are closed in its sums before."""
+        deep, own = cls.__new__(cls), walk.own
+        deep.model, deep.number, deep.k, deep.at, deep.sums = walk.model, own.number, walk.k, walk.at, walk.sums
+        deep.codes, deep.prints = own.code, np.append(own.prints, END)
+        deep.place, deep.doc, deep.teaches, deep.p = own.place[walk.at], own.doc[walk.at], own.teaches[walk.at], walk.p[walk.at]
+        return deep.trimmed()
+
+    def trimmed(self) -> "Deep":
+        """Only texts with open symbols, up to the last of them."""
+        last = np.flatnonzero(np.append(self.doc[1:] != self.doc[:-1], True)) if len(self.doc) else np.empty(0, np.int64)
+        sizes = self.place[last] + 1
+        begin = np.cumsum(sizes) - sizes
+        codes = self.codes[np.arange(int(sizes.sum())) + np.repeat(self.at[last] - self.place[last] - begin, sizes)]
+        self.at = np.repeat(begin, np.diff(last, prepend=-1)) + self.place
+        used = np.bincount(codes, minlength=len(self.prints)) > 0
+        self.codes, self.prints = (np.cumsum(used) - 1)[codes], self.prints[used]
+        self.symbol = self.prints[self.codes]
+        return self
+
+    def carried(self, asked: np.ndarray) -> dict:
+        steps = lambda x: planes(np.diff(x, prepend=0), "<i4")
+        carry = [planes(self.codes, "<i4"), planes(self.prints, "<u8"), steps(self.at), planes(self.place, "<i4"), steps(self.doc), planes(self.teaches, "u1"), planes(asked, "<i4"), *(planes(x, "<f8") for x in self.sums)]
+        return {"chunk": self.number, "bucket": None, "carry": carry}
+
     def entries(self, width: int) -> dict:
         """The distinct open (context, symbol, ``width`` symbols before the context), told apart by rolling hashes, by bucket and place.
 
         A context's bucket is that of its least hash of ``GRAM`` symbols: neighbours in a text mostly share it, and so the text sent.
         """
-        own, symbols, k = self.own, mix64(self.own.symbol) >> (np.uint64(64) - SYMBOL_BITS), self.k
+        symbols, k = mix64(self.symbol) >> (np.uint64(64) - SYMBOL_BITS), self.k
         symbol, end = symbols[self.at], self.at - k
-        rolled, length = Rolled(own.symbol), np.minimum(width, own.place[self.at] - k)
+        rolled, length = Rolled(self.symbol), np.minimum(width, self.place - k)
         keys = rolled.of(end, self.at)
         same = mix64(mix64(mix64(keys * STEP + symbol) * STEP + rolled.of(end - length, end)) * STEP + length.astype(np.uint64))
         _, one, back = np.unique(same, return_index=True, return_inverse=True)
         gram = min(GRAM, k)
-        least = mix64(rolled.of(np.arange(len(own.symbol) - gram + 1), np.arange(gram, len(own.symbol) + 1)))
+        least = mix64(rolled.of(np.arange(len(self.symbol) - gram + 1), np.arange(gram, len(self.symbol) + 1)))
         grams, wide = k - gram + 1, 1  # the least of as many, from the first on
         while wide < grams:
             step = min(wide, grams - wide)
@@ -539,7 +586,7 @@ class Resumed(Walk):
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         one, bucket = one[order], bucket[order]
-        return {"place": place[back], "one": one, "bucket": bucket, "keys": keys[one], "symbols": symbol[one], "end": end[one], "length": length[one], "texts": symbols}
+        return {"place": place[back], "first": one, "bucket": bucket, "keys": keys[one], "symbols": symbol[one], "end": end[one], "length": length[one], "texts": symbols}
 
     def grown(self, answers: pa.Table, width: int) -> None:
         """Take the answers to entries in."""
@@ -547,20 +594,14 @@ class Resumed(Walk):
         p, flags = _joined(answers, self.k, "p", "<f4"), _joined(answers, self.k, "flags", "u1")
         if len(p) != (place.max(initial=-1) + 1):
             raise ValueError(f"{len(p)} answers for {place.max(initial=-1) + 1} entries")
-        self.p[self.at] = np.exp(-p.astype(float))[place]
-        self.k += width
-        self.at = self.at[(flags[place] & OPEN) > 0]
-        self.seen = np.zeros(len(self.at), np.int64)
-
-    def close(self, before: np.ndarray) -> None:
-        """Add what has been closed since ``before`` was open."""
-        done = np.ones(len(before), bool)
-        done[np.searchsorted(before, self.at)] = False
-        self.sums[2] += np.bincount(self.own.doc[before[done]], weights=np.log10(self.p[before[done]]), minlength=len(self.own.sizes))
+        self.p, self.k = np.exp(-p.astype(float))[place], self.k + width
+        open_ = ((flags[place] & OPEN) > 0) & (self.place >= self.k)
+        self.sums[2] = self.sums[2] + np.bincount(self.doc[~open_], weights=np.log10(self.p[~open_]), minlength=len(self.sums[2]))
+        self.at, self.place, self.doc, self.teaches, self.p = (x[open_] for x in (self.at, self.place, self.doc, self.teaches, self.p))
 
     def entry_rows(self, sent: dict) -> list[dict]:
-        n = np.bincount(sent["place"], weights=self.own.teaches[self.at], minlength=len(sent["keys"])).astype(np.int64)
-        surprise = -np.log(self.p[self.at[sent["one"]]])
+        n = np.bincount(sent["place"], weights=self.teaches, minlength=len(sent["keys"])).astype(np.int64)
+        surprise = -np.log(self.p[sent["first"]])
         bucket, end, length = sent["bucket"], sent["end"], sent["length"]
         begin = end - length
         if len(end):  # what the entry before has sent in the same bucket isn't sent again
@@ -570,11 +611,15 @@ class Resumed(Walk):
         text = sent["texts"][np.arange(int(more.sum())) + np.repeat(begin - (upto - more), more)]
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else []
         cuts = np.append(0, upto)
-        return [{"chunk": self.own.number, "bucket": int(bucket[a]), "keys": planes(sent["keys"][a:b], "<u8"), "symbols": planes(sent["symbols"][a:b], "<u8"), "counts": planes(n[a:b], "<i4"), "shorter": planes(surprise[a:b], "<f4"), "window": planes(more[a:b], "<i4"), "text": planes(text[cuts[a] : cuts[b]], "<u8"), "lengths": planes(length[a:b], "<i4")} for a, b in zip(edges, edges[1:])]
+        return [{"chunk": self.number, "bucket": int(bucket[a]), "keys": planes(sent["keys"][a:b], "<u8"), "symbols": planes(sent["symbols"][a:b], "<u8"), "counts": planes(n[a:b], "<i4"), "shorter": planes(surprise[a:b], "<f4"), "window": planes(more[a:b], "<i4"), "text": planes(text[cuts[a] : cuts[b]], "<u8"), "lengths": planes(length[a:b], "<i4")} for a, b in zip(edges, edges[1:])]
+
+    def round(self, width: int) -> pa.Table:
+        sent = self.entries(width)
+        return pa.Table.from_pylist([*self.entry_rows(sent), self.carried(sent["place"])], schema=SENT)
 
 
-def _resume(model: Model, k: int, heard: int, width: int):
-    """One round more: ``heard`` is the last one's window (0: pairs of length k), ``width`` the next one's (0: pairs)."""
+def _resume(model: Model, k: int, width: int):
+    """One round more after pairs of length k: ``width`` is the next one's window (0: pairs)."""
 
     def run(key, chunks, given):
         carry = given.filter(pc.is_valid(given["carry"]))["carry"].to_pylist()
@@ -583,21 +628,30 @@ def _resume(model: Model, k: int, heard: int, width: int):
         answers = given.filter(pc.is_null(given["carry"]))
         walk = Resumed(model, Chunk(chunks.to_pylist()[0]), carry[0], k)
         before = walk.at
-        if heard:
-            walk.grown(answers, heard)
-        else:
-            walk.recall()
-            walk.heard(answers, walk.pairs())
+        walk.recall()
+        walk.heard(answers, walk.pairs())
         if width:
-            there = walk.own.place[walk.at] >= walk.k
-            walk.at, walk.seen = walk.at[there], walk.seen[there]
-            sent = walk.entries(width)
-            rows, place = walk.entry_rows(sent), sent["place"]
-        else:
-            walk.longer()
-            rows, place = walk.rows(walk.pairs()), np.empty(0, np.int32)
+            walk.keep(walk.own.place[walk.at] >= walk.k)
+            walk.close(before)
+            return Deep.of(walk).round(width)
+        walk.longer()
+        rows = walk.rows(walk.pairs())
         walk.close(before)
-        return pa.Table.from_pylist([*rows, _carried(walk, walk.sums, place)], schema=SENT)
+        return pa.Table.from_pylist([*rows, _carried(walk, walk.sums)], schema=SENT)
+
+    return run
+
+
+def _deepen(model: Model, k: int, heard: int, width: int):
+    """One round more after a window of ``heard`` symbols from length k on; the texts that it needs are in the carry."""
+
+    def run(key, given):
+        carry = given.filter(pc.is_valid(given["carry"]))
+        if not carry.num_rows:
+            raise ValueError("a chunk without a walk")
+        walk = Deep(model, carry["chunk"][0].as_py(), carry["carry"].to_pylist()[0], k)
+        walk.grown(given.filter(pc.is_null(given["carry"])), heard)
+        return walk.trimmed().round(width)
 
     return run
 
@@ -607,7 +661,7 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score(model: Model):
     def run(key, chunks, carried):
-        own, sums = Chunk(chunks.to_pylist()[0]), [unplanes(b, "<f8") for b in carried["carry"].to_pylist()[0][4:]]
+        own, sums = Chunk(chunks.to_pylist()[0]), [unplanes(b, "<f8") for b in carried["carry"].to_pylist()[0][-3:]]
         return pa.Table.from_arrays([
             pa.array(own.ids, pa.int64(), mask=own.none.astype(bool)), pa.array(~own.train), pa.array(own.sizes), pa.array(sums[0].astype(np.int64)),
             pa.array(np.full(len(own.sizes), model.total), pa.int64()), pa.array(sums[1]), pa.array(sums[2]),
@@ -674,7 +728,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         got = tested(step.where("bucket IS NOT NULL"), _grow(heard) if heard else _test_contexts, f"lm-tested-{k}")
         given = _judged(got, k).unionByName(step.where("bucket IS NULL").select("chunk", "carry"), allowMissingColumns=True)
         width, last = 0 if k < near else (3 if k < 40 else 8) * k if heard else window, step
-        step = written(meet(given, _resume(model, k, heard, width), SENTS), "lm-walk")
+        more = given.groupBy("chunk").applyInArrow(_deepen(model, k, heard, width), SENTS) if heard else meet(given, _resume(model, k, width), SENTS)
+        step = written(more, "lm-walk")
         discard(got, last)
         # Pairs are of one symbol more; entries are of what has been heard, with symbols before it.
         k, heard = (k + heard if heard else k if width else k + 1), width

@@ -522,6 +522,54 @@ def test_lm_scoring(docs, rows, empty, monkeypatch):
     assert suffix_tree_lm.score(empty).count() == 0
 
 
+def long_contexts():
+    """Open symbols of texts with long repeats, after contexts of four symbols."""
+    r = np.random.default_rng(8)
+    passage, other = r.integers(0, 50, 900).tolist(), r.integers(0, 50, 40).tolist()
+    texts = [[60] * 600, [60] * 500 + [61], passage, other + passage, other[3:] + passage[:400] + [62] + passage[401:], passage[:700] + [63]] * 2
+    deep = suffix_tree_lm.Deep.__new__(suffix_tree_lm.Deep)
+    sizes = np.array([len(x) for x in texts])
+    deep.model, deep.number, deep.k = suffix_tree_lm.Model(10, 3, 1, 3, 1 << 20), 0, 4
+    deep.codes, deep.prints, deep.sums = np.concatenate(texts), suffix_tree_lm.mix64(np.arange(1, 71, dtype=np.uint64)), [np.zeros(len(texts))] * 3
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    deep.at = np.flatnonzero(place >= 4)
+    deep.place, deep.doc, deep.teaches = place[deep.at], np.repeat(np.arange(len(texts)), sizes)[deep.at], np.ones(len(deep.at), bool)
+    deep.p = np.full(len(deep.at), 0.02)
+    return deep.trimmed()
+
+
+def test_long_contexts_share_the_text_they_send(monkeypatch):
+    """A window for each entry would be as many symbols as entries times the window."""
+    import pyarrow as pa
+
+    deep = long_contexts()
+    deep.k, width = 64, 512
+    there = deep.place >= deep.k
+    deep.at, deep.place, deep.doc, deep.teaches, deep.p = (x[there] for x in (deep.at, deep.place, deep.doc, deep.teaches, deep.p))
+    sent = deep.entries(width)
+    rows = deep.entry_rows(sent)
+    text = sum(len(suffix_tree_lm.unplanes(x["text"], "<u8")) for x in rows)
+    assert len(sent["keys"]) > 2000 and text < 0.06 * width * len(sent["keys"])
+    p = {}
+    for label in ("in stretches", "symbol by symbol"):
+        p[label] = []
+        for row in rows:
+            got = suffix_tree_lm._grow(width)(None, pa.Table.from_pylist([row], schema=suffix_tree_lm.SENT)).to_pylist()[0]
+            p[label] += [*suffix_tree_lm.unplanes(got["p"], "<f4").tolist(), *suffix_tree_lm.unplanes(got["flags"], "u1").tolist()]
+        monkeypatch.setattr(suffix_tree_lm, "_alike", lambda *a: 0)
+    assert p["in stretches"] == p["symbol by symbol"] and len(set(p["in stretches"])) > 10
+
+
+def test_lm_scoring_of_chunks_of_one_document(spark):
+    """A partition's only document, and a run of one word in which each context is longer than the one before."""
+    texts = ["again " * 300 + "once", "again " * 300 + "once", "again " * 200 + "twice", "again " * 300 + "twice"]
+    docs = spark.createDataFrame(list(enumerate(texts * 4, 1)), "doc_id long, text string")
+    apart = sorted(map(tuple, suffix_tree_lm.score(docs.repartitionByRange(16, "doc_id")).collect()))
+    together = sorted(map(tuple, suffix_tree_lm.score(docs.coalesce(1)).collect()))
+    for a, b in zip(apart, together, strict=True):
+        assert a[:5] == b[:5] and abs(a[6] - b[6]) < 1e-3
+
+
 def test_closing_loses_no_state():
     """Of one symbol, no count between two and all gains more than both ends allow; of several, no subset does."""
     c = np.arange(2, 20_000)
